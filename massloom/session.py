@@ -55,7 +55,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a written table; a session that has ended only has local files deleted."""
     if path.startswith("file:"):
-        shutil.rmtree(local_path(path), ignore_errors=True)
+        here = local_path(path)
+        if os.path.isfile(here):
+            os.remove(here)
+        else:
+            shutil.rmtree(here, ignore_errors=True)
         return
     try:
         jvm = spark.sparkContext._jvm
@@ -77,6 +81,23 @@ def write_table(df: DataFrame, name: str) -> str:
     return path
 
 
+def send_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a file to the shared folder and have it sent to every executor, also to later ones; returns its name for SparkFiles.get."""
+    path = new_path(spark, name)
+    if path.startswith("file:") or path.startswith("/"):
+        os.makedirs(os.path.dirname(local_path(path)), exist_ok=True)
+        with open(local_path(path), "wb") as f:
+            f.write(data)
+    else:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(data)
+        out.close()
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written once and read back."""
     spark = df.sparkSession
