@@ -10,6 +10,7 @@ from massloom.llm.components import connected_groups
 from massloom.llm.sql import SQL
 from massloom.llm.survivors import descending, survivors
 from massloom.llm.term_counts import count_terms, separators
+from massloom.llm.tokens import encode_texts
 from massloom.llm.top_n import cluster_rows, top_n
 from massloom.session import materialize, table
 
@@ -78,5 +79,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("node").alias("accession"), F.col("group_id").alias("group_accession"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_bundles, p6_terms, p6_found, p7_found)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids)}
 __all__ = ["QUERIES", "SQL"]
