@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from massloom.functions.text import WHITE, strip
 from massloom.llm.components import connected_groups
+from massloom.llm.packing import pack
+from massloom.llm.percentiles import day_sketches, merged, percentiles, readable_number
+from massloom.llm.reading_level import reading_levels
 from massloom.llm.sql import SQL
 from massloom.llm.survivors import descending, survivors
 from massloom.llm.term_counts import count_terms, separators
-from massloom.llm.tokens import encode_texts
+from massloom.llm.tokens import count_tokens, encode_texts
 from massloom.llm.top_n import cluster_rows, top_n
 from massloom.session import materialize, table
 
@@ -83,5 +86,45 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids)}
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens")
+
+
+def p9_one_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", capacities=(4096,))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the containers of each capacity is used."""
+    containers = p9_containers(spark, sf_dir).groupBy("capacity", "container_id").agg(F.sum("n_tokens").alias("used"))
+    return containers.groupBy("capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.round(F.sum("used") / F.sum("capacity"), 4).alias("share_used"))
+
+
+def _ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "psms").select("full_file_path", F.to_date("exported_at").alias("export_day"), readable_number(F.col("mass_diff_ppm")).alias("ppm"))
+
+
+#: The quantiles that the percentile queries give.
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file over all days, from the sketches of its days."""
+    days = day_sketches(_ppm(spark, sf_dir), ["full_file_path", "export_day"], "ppm")
+    return percentiles(merged(days, ["full_file_path"]), ["full_file_path"], SHARES)
+
+
+def p2_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each export day over all files, from the sketches of files and days."""
+    days = day_sketches(_ppm(spark, sf_dir), ["full_file_path", "export_day"], "ppm")
+    return percentiles(merged(days, ["export_day"]), ["export_day"], SHARES).withColumn("export_day", F.col("export_day").cast("string"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p3_found, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids, p9_containers, p9_one_capacity, p9_fill, p10_found)}
 __all__ = ["QUERIES", "SQL"]

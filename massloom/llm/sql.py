@@ -31,7 +31,25 @@ terms AS (
   SELECT sums.*, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records > 0.01 * holders THEN 'common' END AS mark FROM sums JOIN holders USING (field_name))
 """
 
+#: Sketches are exact up to K values of a group, which no group of the small tables exceeds but the hot file of the larger ones does.
+_PERCENTILES = """
+WITH cells AS (
+  SELECT {key}, CAST(trim(mass_diff_ppm) AS DOUBLE) AS ppm FROM (
+    SELECT full_file_path, CAST(CAST(exported_at AS DATE) AS VARCHAR) AS export_day, mass_diff_ppm FROM psms
+    WHERE regexp_full_match(trim(mass_diff_ppm), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?'))),
+ranked AS (SELECT {key}, ppm, row_number() OVER (PARTITION BY {key} ORDER BY ppm) AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM cells)
+SELECT {key}, max(n) AS n_values, {values}, CAST(0 AS BIGINT) AS rank_error FROM ranked GROUP BY {key}
+"""
+
+
+def _percentiles(key: str) -> str:
+    values = ", ".join(f"max(CASE WHEN rn = greatest(1, ceil(CAST({p} AS DOUBLE) / 100 * n)) THEN ppm END) AS p{p:02d}" for p in (1, 5, 25, 50, 75, 95, 99))
+    return _PERCENTILES.format(key=key, values=values)
+
+
 SQL = {
+    "p2_percentiles": _percentiles("full_file_path"),
+    "p2_days": _percentiles("export_day"),
     "p3_found": f"""
         SELECT psm_id, CAST(place_no AS INTEGER) AS place_no FROM (
           SELECT psm_id, row_number() OVER (PARTITION BY base_sequence ORDER BY score DESC, psm_id) AS place_no FROM psms
