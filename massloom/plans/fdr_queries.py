@@ -19,7 +19,7 @@ def _order() -> list:
     return [-F.col("score"), F.coalesce(-F.when(~F.isnan("delta_score"), F.col("delta_score")), F.lit(1e308)), F.col("psm_id")]
 
 
-_SCORED = """scored AS (SELECT *, decoy = 'Y' AS is_decoy, CASE WHEN isnan(delta_score) OR delta_score IS NULL THEN 1e308 ELSE -delta_score END AS second FROM psms
+_SCORED = """scored AS (SELECT * EXCLUDE (q_value), decoy = 'Y' AS is_decoy, CASE WHEN isnan(delta_score) OR delta_score IS NULL THEN 1e308 ELSE -delta_score END AS second FROM psms
   WHERE score IS NOT NULL AND NOT isnan(score) AND decoy IS NOT NULL)"""
 _COUNTED = f"""{_SCORED}, counted AS (SELECT *, CAST(sum((NOT is_decoy)::INT) OVER w AS BIGINT) AS cumulative_target, CAST(sum(is_decoy::INT) OVER w AS BIGINT) AS cumulative_decoy
   FROM scored WINDOW w AS (ORDER BY score DESC, second, psm_id ROWS UNBOUNDED PRECEDING))"""
@@ -170,7 +170,7 @@ _BY_CHARGE = """counted AS (SELECT *, CAST(sum((NOT is_decoy)::INT) OVER w AS BI
     count(*) OVER (PARTITION BY precursor_charge) AS n FROM {source} WINDOW w AS (PARTITION BY precursor_charge ORDER BY score DESC, second, psm_id ROWS UNBOUNDED PRECEDING)),
   both_rules AS (SELECT *, max(least(cumulative_decoy / greatest(cumulative_target, 1), 1.0)) OVER (PARTITION BY precursor_charge ORDER BY score DESC, second, psm_id ROWS UNBOUNDED PRECEDING) AS q_few,
     min(least((cumulative_decoy + 1) / greatest(cumulative_target, 1), 1.0)) OVER (PARTITION BY precursor_charge ORDER BY score DESC, second, psm_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q_many FROM counted),
-  valued AS (SELECT *, q_few AS q_value FROM both_rules WHERE n < 1000 UNION ALL SELECT *, q_many AS q_value FROM both_rules WHERE n >= 1000)"""
+  valued AS (SELECT *, CASE WHEN n < 1000 THEN q_few ELSE q_many END AS q_value FROM both_rules)"""
 
 _GOOD_MATCH = "full_file_path IS NOT NULL AND scan_number IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)"
 
