@@ -195,7 +195,7 @@ def site_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as matches, their lines as routes, the parts as sites and the flags as modifications."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("route"), (F.col("l_suppkey") % 4).alias("site"), F.col("l_returnflag").alias("modification"), (1 / F.col("l_quantity")).alias("weight"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("route"), (F.col("l_suppkey") % 4).alias("site"), F.col("l_returnflag").alias("modification"), F.floor(1e6 / F.col("l_quantity")).alias("weight"))
 
 
 def localization_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ SQL = {
     "best_spectrum": "SELECT full_sequence, precursor_charge, psm_id FROM psms WHERE score IS NOT NULL AND NOT isnan(score) AND full_sequence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY full_sequence, precursor_charge ORDER BY score DESC, psm_id) = 1",
     "site_rollup": "SELECT accession, base_sequence, bool_or(coalesce(ambiguity_level = '1', false)) AS is_localized, min(q_value) AS least_q, min(ambiguity_level) AS best_level FROM psms WHERE accession IS NOT NULL AND base_sequence IS NOT NULL AND q_value IS NOT NULL AND NOT isnan(q_value) GROUP BY 1, 2",
     "localization_level": "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS site, l_returnflag AS m FROM lineitem), t AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM r GROUP BY 1), p AS (SELECT l_orderkey, site, m, count(DISTINCT l_linenumber) = any_value(n) AS sure FROM r JOIN t USING (l_orderkey) GROUP BY 1, 2, 3), l AS (SELECT l_orderkey, CASE WHEN bool_and(sure) THEN 1 WHEN bool_or(sure) THEN 2 ELSE 3 END AS level FROM p GROUP BY 1) SELECT level, count(DISTINCT l_orderkey) AS n_orders, CAST(sum(sure::INT) AS BIGINT) AS n_sure FROM p JOIN l USING (l_orderkey) GROUP BY 1",
-    "site_probability": "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS site, l_returnflag AS modification, 1 / l_quantity AS w FROM lineitem), t AS (SELECT l_orderkey, sum(w) AS total FROM (SELECT l_orderkey, l_linenumber, max(w) AS w FROM r GROUP BY 1, 2) GROUP BY 1) SELECT l_orderkey, site, modification, floor(sum(w) / any_value(total) * 1e6 + 0.5) / 1e6 AS probability FROM r JOIN t USING (l_orderkey) GROUP BY 1, 2, 3",
+    "site_probability": "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS site, l_returnflag AS modification, CAST(floor(1e6::DOUBLE / l_quantity) AS BIGINT) AS w FROM lineitem), t AS (SELECT l_orderkey, sum(w) AS total FROM (SELECT l_orderkey, l_linenumber, max(w) AS w FROM r GROUP BY 1, 2) GROUP BY 1) SELECT l_orderkey, site, modification, floor(sum(w) / any_value(total) * 1e6 + 0.5) / 1e6 AS probability FROM r JOIN t USING (l_orderkey) GROUP BY 1, 2, 3",
     "psm_histograms": " UNION ALL ".join(f"SELECT full_file_path, '{n}' AS figure, CAST(round_even(v / {w}::DOUBLE, 0) AS BIGINT) AS bin, count(*) AS n FROM (SELECT full_file_path, {c} AS v FROM psms) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1, 2, 3" for n, c, w in (("precursor_ppm", "try_cast(trim(mass_diff_ppm) AS DOUBLE)", 0.1), ("mass", "try_cast(trim(peptide_monoisotopic_mass) AS DOUBLE)", 100.0), ("mz", "precursor_mz", 50.0), ("charge", "CAST(precursor_charge AS DOUBLE)", 1.0), ("retention_time", "scan_retention_time", 1.0), ("missed_cleavages", "try_cast(trim(missed_cleavages) AS DOUBLE)", 1.0))),
     "viewer_filter": "SELECT psm_id FROM psms WHERE (q_value IS NULL OR (NOT isnan(q_value) AND q_value <= 0.05)) AND decoy_contaminant_target IN ('T', 'C') AND ambiguity_level IN ('1', '2A') AND (starts_with(CAST(scan_number AS VARCHAR), '12') OR contains(upper(full_sequence), '12') OR contains(protein_name, '12') OR contains(organism_name, '12'))",
     "motif_sites": "SELECT accession, m AS motif, CAST(i AS INTEGER) AS site FROM (SELECT accession, base_sequence, unnest(generate_series(1, length(base_sequence) - 2)) AS i FROM proteins), (VALUES ('Nxs', 'S'), ('Nxt', 'T')) t(m, z) WHERE substring(base_sequence, i, 1) = 'N' AND substring(base_sequence, i + 2, 1) = z",
