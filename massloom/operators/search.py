@@ -56,9 +56,17 @@ def peptide_mass(sequence: Column) -> Column:
     return F.aggregate(residue_masses(sequence), F.lit(WATER), lambda acc, m: acc + m)
 
 
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, not wherever the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fragments(sequence: Column, kinds: str = "by") -> Column:
     """An array of (kind, number, mass) of the neutral fragments at every bond (G2); those with an unknown residue have a null mass."""
-    masses = residue_masses(sequence)
+    return _bound(residue_masses(sequence), lambda masses: _ladders(masses, kinds))
+
+
+def _ladders(masses: Column, kinds: str) -> Column:
     n = F.size(masses)
     starts = {"a": -27.99491462, "b": 0.0, "c": 17.02654911}
     ends = {"x": WATER + 25.97926456, "y": WATER, "z": WATER - 17.02654911 + 1.00782503}
@@ -78,7 +86,10 @@ def fragments(sequence: Column, kinds: str = "by") -> Column:
 
 def internal_fragments(sequence: Column, shortest: int = 4) -> Column:
     """The masses of the stretches of `shortest` residues or more that hold neither end."""
-    masses = residue_masses(sequence)
+    return _bound(residue_masses(sequence), lambda masses: _stretches(masses, shortest))
+
+
+def _stretches(masses: Column, shortest: int) -> Column:
     n = F.size(masses)
     at = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(n - shortest, F.lit(2))), lambda i: F.transform(F.sequence(i + shortest - 1, F.greatest(n - 1, i + shortest - 1)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
     ok = F.filter(at, lambda s: s["last"] <= n - 1)
@@ -134,15 +145,30 @@ def _matches(observed: np.ndarray, theory: np.ndarray, ppm: float) -> np.ndarray
     return np.where(np.abs(observed[near] - theory) <= theory * ppm / 1e6, near, -1)
 
 
-def match_score(ppm: float = 20.0):
-    """A pandas UDF: the Morpheus score of (observed masses ascending, their intensities, theoretical masses, total ion current)."""
+_MASS_OF = np.full(128, np.nan)
+_MASS_OF[[ord(a) for a in RESIDUES]] = list(RESIDUES.values())
+
+
+def ladder_masses(sequence: str, shift: float = 0.0, site: int = 0, kinds: str = "by") -> np.ndarray:
+    """The b, c, y and z masses of a peptide, `shift` on its 1-based residue `site`; those with an unknown residue are NaN."""
+    codes = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
+    masses = _MASS_OF[np.minimum(codes, 127)]
+    if site:
+        masses[site - 1] += shift
+    front, back = np.cumsum(masses)[:-1], np.cumsum(masses[::-1])[:-1]
+    offsets = {"b": 0.0, "c": 17.02654911, "y": WATER, "z": WATER - 17.02654911 + 1.00782503}
+    return np.concatenate([(front if k in "bc" else back) + offsets[k] for k in kinds])
+
+
+def match_score(ppm: float = 20.0, kinds: str = "by"):
+    """A pandas UDF: the Morpheus score of (observed masses ascending, intensities, peptide, shift, site, total ion current)."""
 
     @F.pandas_udf(T.DoubleType())
-    def score(observed: pd.Series, intensity: pd.Series, theory: pd.Series, total: pd.Series) -> pd.Series:
+    def score(observed: pd.Series, intensity: pd.Series, peptide: pd.Series, shift: pd.Series, site: pd.Series, total: pd.Series) -> pd.Series:
         out = np.zeros(len(observed))
-        for i, (o, x, t, tic) in enumerate(zip(observed, intensity, theory, total, strict=True)):
-            t = np.asarray(t, float)
-            at = _matches(np.asarray(o, float), t[~np.isnan(t)], ppm)
+        for i, (o, x, p, d, s, tic) in enumerate(zip(observed, intensity, peptide, shift, site, total, strict=True)):
+            theory = ladder_masses(p, d, s, kinds)
+            at = _matches(np.asarray(o, float), theory[~np.isnan(theory)], ppm)
             at = at[at >= 0]
             out[i] = len(at) + (np.asarray(x, float)[at].sum() / tic if tic else 0.0)
         return pd.Series(out)
@@ -159,15 +185,19 @@ def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float =
     wanted = scans.select("scan_id", "precursor_mass", shifts.alias("n__")).select("scan_id", F.col("n__.notch").alias("notch"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 + precursor_ppm / 1e6)).alias("lo"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 - precursor_ppm / 1e6)).alias("hi"))
     pairs = band_join(wanted, peptides.select("peptide", "mass"), "lo", "hi", "mass", 4 * precursor_ppm / 1e6, scale=F.log).select("scan_id", "notch", "peptide")
     full = pairs.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    theory = F.transform(fragments(F.col("peptide"), kinds), lambda f: f["mass"])
-    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", theory, "total")).drop("peaks", "intensities", "total")
+    scored = full.withColumn("score", match_score(product_ppm, kinds)("peaks", "intensities", "peptide", F.lit(0.0), F.lit(0), "total")).drop("peaks", "intensities", "total")
     return best_with_ties(scored, ["scan_id"], "score", cutoff)
 
 
 def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by") -> DataFrame:
     """(bin, peptide, mass): the postings of an inverted index of fragments (K17); write it bucketed by bin to keep it."""
-    ladder = peptides.select("peptide", "mass", F.explode(fragments(F.col("peptide"), kinds)).alias("f"))
-    return ladder.filter("f.mass IS NOT NULL").select(F.rint(F.col("f.mass") * per_dalton).cast("bigint").alias("bin"), "peptide", "mass").distinct()
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def bins(peptide: pd.Series) -> pd.Series:
+        ladders = (ladder_masses(p, kinds=kinds) for p in peptide)
+        return pd.Series([np.unique(np.rint(m[~np.isnan(m)] * per_dalton).astype(np.int64)) for m in ladders])
+
+    return peptides.select(F.explode(bins("peptide")).alias("bin"), "peptide", "mass")
 
 
 def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: int = 5, per_dalton: int = 1000) -> DataFrame:
@@ -175,14 +205,18 @@ def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precu
 
     The count of bins is at least the number of matched fragments, so no pair that reaches the cutoff is lost.
     """
-    peaks = scans.select("scan_id", "precursor_mass", F.explode("peaks").alias("peak"))
+    # A coarse bin of the peptide's mass is part of the key, so postings far from the precursor are never read into a pair.
+    log_width = 8 * precursor_ppm / 1e6
+    coarse = lambda m: F.floor(F.log(m) / log_width)
+    near_bins = F.sequence(coarse(F.col("precursor_mass") * (1 - precursor_ppm / 1e6)), coarse(F.col("precursor_mass") * (1 + 2 * precursor_ppm / 1e6)))
+    peaks = scans.select("scan_id", "precursor_mass", near_bins.alias("near__"), F.explode("peaks").alias("peak"))
     bins = F.sequence(F.floor(F.col("peak") * (1 - 2 * product_ppm / 1e6) * per_dalton), F.ceil(F.col("peak") * (1 + 2 * product_ppm / 1e6) * per_dalton))
-    hits = peaks.select("scan_id", "precursor_mass", F.explode(bins).alias("bin")).distinct().join(index, "bin")
+    hits = peaks.select("scan_id", "precursor_mass", "near__", F.explode(bins).alias("bin")).distinct().withColumn("near__", F.explode("near__"))
+    hits = hits.join(index.withColumn("near__", coarse(F.col("mass"))), ["bin", "near__"])
     near = hits.filter(F.abs(F.col("precursor_mass") - F.col("mass")) <= F.col("mass") * precursor_ppm / 1e6)
     rough = near.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n_bins")).filter(F.col("n_bins") >= cutoff)
     full = rough.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    theory = F.transform(fragments(F.col("peptide")), lambda f: f["mass"])
-    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", theory, "total")).select("scan_id", "peptide", "score")
+    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", "peptide", F.lit(0.0), F.lit(0), "total")).select("scan_id", "peptide", "score")
     return best_with_ties(scored, ["scan_id"], "score", float(cutoff))
 
 
@@ -192,10 +226,8 @@ def localized(scans: DataFrame, matches: DataFrame, product_ppm: float = 20.0) -
     `matches` has scan_id, peptide and shift. The ladder's masses from the residue on carry the shift.
     """
     placed = matches.withColumn("site", F.explode(F.sequence(F.lit(1), F.length("peptide"))))
-    n = F.length("peptide")
-    moved = F.transform(fragments(F.col("peptide")), lambda f: f["mass"] + F.when(F.when(f["kind"] == "b", f["number"] >= F.col("site")).otherwise(f["number"] > n - F.col("site")), F.col("shift")).otherwise(0.0))
     full = placed.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", moved, "total")).select("scan_id", "peptide", "site", "score")
+    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", "peptide", "shift", "site", "total")).select("scan_id", "peptide", "site", "score")
     best = best_with_ties(scored, ["scan_id", "peptide"], "score", 0.0)
     return best.groupBy("scan_id", "peptide").agg(F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list("site")), lambda s: s.cast("string")), ",").alias("sites"))
 

@@ -113,7 +113,7 @@ def classic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def modern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: the same search through a fragment index."""
     scans, peptides = _spectra(spark, sf_dir), _peptides(spark, sf_dir)
-    found = search.modern_search(scans, peptides, search.fragment_index(peptides), cutoff=5)
+    found = search.modern_search(scans, peptides, search.fragment_index(peptides, 50), cutoff=5, per_dalton=50)
     return found.join(scans.select("scan_id", "truth"), "scan_id").select("scan_id", "peptide", F.round("score", 6).alias("score"), (F.col("peptide") == F.col("truth")).alias("is_truth"))
 
 
