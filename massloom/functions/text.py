@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,3 +19,8 @@ def strip(col: Column) -> Column:
 def is_blank(col: Column) -> Column:
     """True for null, empty and white space only."""
     return col.isNull() | (F.length(strip(col)) == 0)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once for each row; inside a lambda a bare expression would be worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massloom.functions.text import is_blank, strip
+from massloom.functions.text import bound, is_blank, strip
 
 #: A tab inside quotes and the escape itself, while a line is split at its other tabs.
 _ESCAPE = "\x01"
@@ -58,29 +58,28 @@ DESIGN_RULES = (
 )
 
 
-def _quoting_ok(parts: Column) -> Column:
-    """`parts` of a line cut at its quotes: those at odd places are inside quotes if every quote encloses a whole cell."""
-    last = F.size(parts) - 1
+def _cells(line: Column) -> Column:
+    """The unquoted cells of a line, null if its quoting is wrong."""
+    return bound(F.split(line, '"', -1), lambda parts: bound(F.size(parts) - 1, lambda last: _cells_of(parts, last)))
 
-    def outside(p: Column, i: Column) -> Column:
+
+def _cells_of(parts: Column, last: Column) -> Column:
+    """`parts` of a line cut at its quotes, `last` being the number of quotes: the parts at odd places are inside quotes if every quote encloses a whole cell."""
+
+    def fits(p: Column, i: Column) -> Column:
         begins = (i == 0) | p.startswith("\t")
         ends = (i == last) | p.endswith("\t")
         return (i % 2 == 1) | (p == "") | (begins & ends)
 
-    return (last == 0) | ((last % 2 == 0) & F.forall(F.transform(parts, outside), lambda ok: ok))
-
-
-def _cells(parts: Column) -> Column:
-    """The unquoted cells of a line whose quoting is right."""
-    last = F.size(parts) - 1
-
     def text(p: Column, i: Column) -> Column:
         kept = F.replace(p, F.lit(_ESCAPE), F.lit(_ESCAPE + "a"))
         doubled = (p == "") & (i > 0) & (i < last)
         return F.when(i % 2 == 1, F.replace(kept, F.lit("\t"), F.lit(_ESCAPE + "b"))).when(doubled, F.lit('"')).otherwise(kept)
 
+    ok = (last == 0) | ((last % 2 == 0) & F.forall(F.transform(parts, fits), lambda x: x))
     cut = F.split(F.array_join(F.transform(parts, text), ""), "\t", -1)
-    return F.transform(cut, lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "b"), F.lit("\t")), F.lit(_ESCAPE + "a"), F.lit(_ESCAPE)))
+    cells = F.transform(cut, lambda c: F.replace(F.replace(c, F.lit(_ESCAPE + "b"), F.lit("\t")), F.lit(_ESCAPE + "a"), F.lit(_ESCAPE)))
+    return F.when(ok, cells)
 
 
 def parse_lines(lines: DataFrame, key: str, text: str, rules: tuple[CellRule, ...] = DESIGN_RULES) -> DataFrame:
@@ -90,8 +89,7 @@ def parse_lines(lines: DataFrame, key: str, text: str, rules: tuple[CellRule, ..
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     cut = lines.select(F.col(key).alias("key"), F.when(raw.endswith("\r"), F.expr(f"left(coalesce(`{text}`, ''), length(`{text}`) - 1)")).otherwise(raw).alias("line"))
-    cut = cut.withColumn("parts", F.split("line", '"', -1))
-    cut = cut.withColumn("cells", F.when(_quoting_ok(F.col("parts")), _cells(F.col("parts"))))
+    cut = cut.withColumn("cells", _cells(F.col("line")))
     structure = F.when(F.col("cells").isNull(), "quoting").when(F.size("cells") != len(rules), "column_count")
     return cut.select("key", "line", "cells", structure.alias("structure"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.functions.masses import RESIDUES, WATER
+from massloom.functions.text import bound
 from massloom.operators.fdr import best_with_ties
 from massloom.operators.joins import band_join
 
@@ -56,14 +57,9 @@ def peptide_mass(sequence: Column) -> Column:
     return F.aggregate(residue_masses(sequence), F.lit(WATER), lambda acc, m: acc + m)
 
 
-def _bound(value: Column, body) -> Column:
-    """`body` of a value that is worked out once, not wherever the body mentions it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fragments(sequence: Column, kinds: str = "by") -> Column:
     """An array of (kind, number, mass) of the neutral fragments at every bond (G2); those with an unknown residue have a null mass."""
-    return _bound(residue_masses(sequence), lambda masses: _ladders(masses, kinds))
+    return bound(residue_masses(sequence), lambda masses: _ladders(masses, kinds))
 
 
 def _ladders(masses: Column, kinds: str) -> Column:
@@ -86,7 +82,7 @@ def _ladders(masses: Column, kinds: str) -> Column:
 
 def internal_fragments(sequence: Column, shortest: int = 4) -> Column:
     """The masses of the stretches of `shortest` residues or more that hold neither end."""
-    return _bound(residue_masses(sequence), lambda masses: _stretches(masses, shortest))
+    return bound(residue_masses(sequence), lambda masses: _stretches(masses, shortest))
 
 
 def _stretches(masses: Column, shortest: int) -> Column:
