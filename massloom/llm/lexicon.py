@@ -106,14 +106,16 @@ class Lexicon:
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of each word of a byte array cut at `offsets`, -1 for words that aren't held."""
         out = np.full(len(offsets) - 1, -1, np.int64)
+        if not len(self.keys):
+            return out
         begin, length = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
         active = np.flatnonzero(length > 0)
         state, total = np.full(len(active), self.root, np.int64), np.zeros(len(active), np.int64)
         step = 0
         while len(active):
             key = state * 256 + data[begin[active] + step]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(0, np.int64)
-            held = self.keys[at] == key if len(self.keys) else np.zeros(len(active), bool)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            held = self.keys[at] == key
             active, at = active[held], at[held]
             state, total = self.targets[at].astype(np.int64), total[held] + self.before[at]
             step += 1
