@@ -43,9 +43,10 @@ def running_sums(laid: DataFrame, groups: Sequence[str], sums: dict[str, Column]
 def running_extreme(laid: DataFrame, groups: Sequence[str], name: str, value: Column, least: bool, forward: bool) -> DataFrame:
     """`laid` with the least or greatest value over the rows up to this one, or from this one on (`forward` false)."""
     within, parts = _windows(groups)
+    if not forward:  # a frame that grows: one that ends at the last row is worked out anew for every row
+        within, parts = Window.partitionBy(*groups, _PART).orderBy(F.desc("ordered_key")), Window.partitionBy(*groups).orderBy(F.desc(_PART))
     pick, both = (F.min, F.least) if least else (F.max, F.greatest)
-    ends = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    others = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+    ends, others = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     totals = laid.groupBy(*groups, _PART).agg(pick(value).alias("ordered_total"))
     offsets = totals.select(*groups, _PART, pick("ordered_total").over(parts.rowsBetween(*others)).alias("ordered_offset"))
     out = _joined(laid.withColumn(name, pick(value).over(within.rowsBetween(*ends))), offsets, groups)

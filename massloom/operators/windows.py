@@ -32,10 +32,10 @@ def top_with_ties(rows: DataFrame, keys: Sequence[str], score: str, n: int) -> D
 
 def gap_imputed(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "imputed") -> DataFrame:
     """Zeros and nulls replaced by the line between the known neighbours in places; the ends copy the nearest known value."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w, back = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
     numbered = rows.withColumn("at__", F.row_number().over(w))
     known = F.when(F.col(value).isNotNull() & (F.col(value) != 0), F.struct(F.col("at__").alias("at"), F.col(value).cast("double").alias("v")))
-    sides = numbered.withColumn("a__", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b__", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    sides = numbered.withColumn("a__", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b__", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     ratio = (F.col("at__") - F.col("a__.at")) / (F.col("b__.at") - F.col("a__.at"))
     line = F.col("a__.v") + (F.col("b__.v") - F.col("a__.v")) * ratio
     filled = F.when(F.col("a__.at") == F.col("at__"), F.col("a__.v")).otherwise(F.coalesce(line, F.col("a__.v"), F.col("b__.v")))
