@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.operators.ordered import bare, lay_out, running_extreme, running_sums
+from massloom.session import materialize
 
 #: Fixed value: with fewer rows than this the running maximum is used, else the running minimum from the end with one decoy added.
 FEW_ROWS = 1000
@@ -55,7 +56,8 @@ def q_plain(counted: DataFrame) -> DataFrame:
 
 def q_values(rows: DataFrame, order: Sequence[Column], decoy: Column, groups: Sequence[str] = ()) -> DataFrame:
     """Counts and q-values by the rule for the size of each group."""
-    counted = target_decoy_counts(rows, order, decoy, groups)
+    # Written once: both rules and the sizes read it several times.
+    counted = materialize(target_decoy_counts(rows, order, decoy, groups), "counted")
     both = q_inverted(q_traditional(counted, groups, "q_few"), groups, "q_many")
     size = counted.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"))
     renamed = size.select(*[F.col(g).alias(f"{g}__g") for g in groups], "group_rows")
@@ -146,7 +148,7 @@ def best_category(rows: DataFrame, keys: Sequence[str], q: str, score: str, last
 
 def picked(proteins: DataFrame, accession: str, score: str, decoy: str, prefix: str = "DECOY_") -> DataFrame:
     """The better of each target and decoy pair, with its q-value; losing targets come back with the q-value of all proteins."""
-    base = proteins.withColumn("pair__", F.regexp_replace(accession, f"^{prefix}", ""))
+    base = materialize(proteins.withColumn("pair__", F.regexp_replace(accession, f"^{prefix}", "")), "proteins")
     order = [-F.col(score), F.col(accession)]
     classic = q_protein(target_decoy_counts(base, order, F.col(decoy)), name="classic_q__").select(*base.columns, "classic_q__")
     winner = first_of_each(classic, ["pair__"], [F.desc(score), F.asc(decoy), F.asc(accession)])

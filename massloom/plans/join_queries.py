@@ -69,8 +69,9 @@ def index_count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     prices = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("price"))
     priced = lines.select("l_orderkey", "l_suppkey", "l_partkey").join(prices, "l_partkey")
-    fragments = joins.fragment_bins(priced.select("l_orderkey", "price").distinct(), "price", "price", 1.0).select("l_orderkey", F.col("price").alias("observed"), "bin").distinct()
-    index = priced.select("l_suppkey", F.col("price").alias("indexed"), F.rint(F.col("price")).cast("bigint").alias("bin")).distinct()
+    near = priced.select("l_orderkey", "price", (F.col("price") - 0.01).alias("lo"), (F.col("price") + 0.01).alias("hi")).distinct()
+    fragments = joins.fragment_bins(near, "lo", "hi", 100.0).select("l_orderkey", F.col("price").alias("observed"), "bin").distinct()
+    index = priced.select("l_suppkey", F.col("price").alias("indexed"), F.rint(F.col("price") * 100).cast("bigint").alias("bin")).distinct()
     return joins.index_count_join(fragments, index, "l_orderkey", "l_suppkey", 4, F.abs(F.col("observed") - F.col("indexed")) <= 0.01)
 
 
@@ -236,7 +237,7 @@ SQL = {
     "nearest_match": "WITH t AS (SELECT DISTINCT l_suppkey, l_partkey, p_retailprice * 30 AS theory FROM lineitem JOIN part ON p_partkey = l_partkey), v AS (SELECT DISTINCT l_suppkey, l_extendedprice AS v FROM lineitem) " + _NEAREST.format(out=f"l_suppkey, l_partkey, {_PICK} AS nearest_price, ({_PICK}) BETWEEN theory * 0.9995 AND theory * 1.0005 AS is_match"),
     "complementary_match": "WITH m AS (SELECT l_suppkey, max(l_extendedprice) AS total FROM lineitem GROUP BY 1), t AS (SELECT l_suppkey, l_partkey, any_value(total) - min(l_extendedprice) AS theory FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1, 2), v AS (SELECT DISTINCT l_suppkey, l_extendedprice AS v FROM lineitem) " + _NEAREST.format(out=f"l_suppkey, l_partkey, {_PICK} AS complement"),
     "all_in_range": "WITH t AS (SELECT DISTINCT l_suppkey, l_partkey AS part, p_retailprice * 30 * (1 - 1e-4) AS lo, p_retailprice * 30 * (1 + 1e-4) AS hi FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT DISTINCT t.l_suppkey, part, l_quantity FROM t JOIN lineitem l ON l.l_suppkey = t.l_suppkey AND l_extendedprice BETWEEN lo AND hi",
-    "index_count_join": "WITH p AS (SELECT l_orderkey, l_suppkey, p_retailprice AS price FROM lineitem JOIN part ON p_partkey = l_partkey), f AS (SELECT DISTINCT l_orderkey, price AS observed, unnest(generate_series(CAST(floor(price) AS BIGINT), CAST(ceil(price) AS BIGINT))) AS bin FROM p), i AS (SELECT DISTINCT l_suppkey, price AS indexed, CAST(round_even(price, 0) AS BIGINT) AS bin FROM p) SELECT l_orderkey, l_suppkey, count(*) AS n_hits FROM f JOIN i USING (bin) WHERE abs(observed - indexed) <= 0.01 GROUP BY ALL HAVING count(*) >= 4",
+    "index_count_join": "WITH p AS (SELECT l_orderkey, l_suppkey, p_retailprice AS price FROM lineitem JOIN part ON p_partkey = l_partkey), f AS (SELECT DISTINCT l_orderkey, price AS observed, unnest(generate_series(CAST(floor((price - 0.01::DOUBLE) * 100) AS BIGINT), CAST(ceil((price + 0.01::DOUBLE) * 100) AS BIGINT))) AS bin FROM p), i AS (SELECT DISTINCT l_suppkey, price AS indexed, CAST(round_even(price * 100, 0) AS BIGINT) AS bin FROM p) SELECT l_orderkey, l_suppkey, count(*) AS n_hits FROM f JOIN i USING (bin) WHERE abs(observed - indexed) <= 0.01 GROUP BY ALL HAVING count(*) >= 4",
     "binned_join": f"WITH r(a, m) AS (VALUES {_RES}), b AS (SELECT CAST(round_even((x.m + y.m) / 1.0005079::DOUBLE, 0) AS BIGINT) AS bin FROM r x JOIN r y ON x.a <= y.a), s AS (SELECT psm_id, CAST(round_even(score * 10 / 1.0005079::DOUBLE, 0) AS BIGINT) AS bin FROM psms WHERE score IS NOT NULL AND NOT isnan(score)) SELECT bin, count(*) AS n_hits, count(DISTINCT psm_id) AS n_psms FROM s JOIN b USING (bin) GROUP BY ALL",
     "pair_mass_join": "WITH m AS (SELECT p_brand, round(max(p_retailprice), 2) AS mass FROM part GROUP BY 1), s AS (SELECT a.p_brand AS first, b.p_brand AS second, a.mass AS ma, b.mass AS mb FROM m a JOIN m b ON a.p_brand <= b.p_brand) SELECT l_orderkey, l_linenumber, first, second FROM lineitem JOIN s ON mb BETWEEN l_extendedprice - ma - 0.05 AND l_extendedprice - ma + 0.05",
     "priority_cases": "SELECT CASE WHEN l_quantity <= 5 THEN 'single' WHEN l_quantity % 7 = 0 THEN 'dead_end_tris' WHEN l_quantity % 5 = 0 THEN 'dead_end_h2o' WHEN l_discount >= 0.08 THEN 'loop' WHEN l_quantity > 20 THEN 'cross' END AS cross_type, count(*) AS n FROM lineitem GROUP BY 1",
