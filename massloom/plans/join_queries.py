@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.masses import PROTON, RESIDUES, overlap_ratio, to_mass
@@ -30,9 +30,9 @@ def band_join_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def band_join_notches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed to theory with the shift of each notch taken off; the theories are the masses of all matches."""
-    notches = spark.createDataFrame([(0, 0.0), (1, 1.00335), (2, 2.0067)], "notch int, shift double")
+    notches = F.inline(F.array(*[F.struct(F.lit(n).alias("notch"), F.lit(s).alias("shift")) for n, s in ((0, 0.0), (1, 1.00335), (2, 2.0067))]))
     masses = _observed(spark, sf_dir)
-    observed = masses.select("psm_id", "observed").crossJoin(F.broadcast(notches)).withColumn("lo", (F.col("observed") - F.col("shift")) * (1 - 1e-6)).withColumn("hi", (F.col("observed") - F.col("shift")) * (1 + 1e-6))
+    observed = masses.select("psm_id", "observed", notches).withColumn("lo", (F.col("observed") - F.col("shift")) * (1 - 1e-6)).withColumn("hi", (F.col("observed") - F.col("shift")) * (1 + 1e-6))
     theory = masses.select(F.col("mass").alias("theory")).distinct()
     return joins.band_join(observed, theory, "lo", "hi", "theory", 4e-6, scale=F.log).groupBy("psm_id", "notch").agg(F.count(F.lit(1)).alias("n_theories"))
 
@@ -166,13 +166,12 @@ def time_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the spans of the customers' order dates overlap within a nation and segment."""
+    """How far the span of each customer's order dates overlaps with that of the next customer of the nation and segment."""
     days = F.datediff(F.col("o_orderdate"), F.lit("1990-01-01"))
     spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(days).alias("a"), F.max(days).alias("b"))
     who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
-    s = spans.join(who, "o_custkey")
-    t = s.select("c_nationkey", "c_mktsegment", F.col("o_custkey").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = s.join(t, ["c_nationkey", "c_mktsegment"]).filter("o_custkey < other")
+    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("o_custkey")
+    pairs = spans.join(who, "o_custkey").withColumn("a2", F.lead("a").over(w)).withColumn("b2", F.lead("b").over(w)).filter("a2 IS NOT NULL")
     return pairs.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(overlap_ratio(F.col("a"), F.col("b"), F.col("a2"), F.col("b2"))), 6).alias("mean_overlap"))
 
 
@@ -249,7 +248,7 @@ SQL = {
     "shift_lookup": f"WITH r(a, m) AS (VALUES {_RES}), s AS (SELECT 'Add ' || a AS shift_name, m - 0.02 AS lo, m + 0.02 AS hi FROM r UNION ALL SELECT 'Remove ' || a, -m - 0.02, -m + 0.02 FROM r) SELECT shift_name, count(*) AS n FROM s JOIN lineitem ON l_extendedprice / 200 - 150 BETWEEN lo AND hi GROUP BY 1",
     "modification_candidates": "WITH m(mod, mass) AS (VALUES ('Oxidation', 15.994915::DOUBLE), ('Methylation', 14.01565), ('Acetylation', 42.010565), ('Phosphorylation', 79.966331), ('Carbamylation', 43.005814), ('None', 0.0)), s AS (SELECT a.mod AS first, b.mod AS second, a.mass AS ma, b.mass AS mb FROM m a JOIN m b ON a.mod <= b.mod) SELECT first, second, count(*) AS n FROM lineitem JOIN s ON mb BETWEEN l_extendedprice / 1000 - ma - 0.002 AND l_extendedprice / 1000 - ma + 0.002 GROUP BY 1, 2",
     "time_band_join": "WITH x AS (SELECT psm_id, full_file_path, precursor_charge, round(scan_retention_time, 2) AS apex FROM psms WHERE scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time)) SELECT a.psm_id AS precursor_id, b.psm_id AS fragment_id FROM x a JOIN x b ON a.full_file_path = b.full_file_path AND a.precursor_charge = 1 AND b.precursor_charge = 6 AND b.apex BETWEEN a.apex - 0.5 AND a.apex + 0.5",
-    "overlap_join": "WITH s AS (SELECT o_custkey AS k, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS DATE)) AS a, date_diff('day', DATE '1990-01-01', CAST(max(o_orderdate) AS DATE)) AS b, any_value(c_nationkey) AS c_nationkey, any_value(c_mktsegment) AS c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), p AS (SELECT x.c_nationkey, x.c_mktsegment, least(x.b, y.b) - greatest(x.a, y.a) AS common, greatest(x.b, y.b) - least(x.a, y.a) AS span FROM s x JOIN s y ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.k < y.k) SELECT c_nationkey, c_mktsegment, count(*) AS n_pairs, round(avg(CASE WHEN common <= 0 OR span <= 0 THEN 0.0::DOUBLE ELSE common / span END), 6) AS mean_overlap FROM p GROUP BY 1, 2",
+    "overlap_join": "WITH s AS (SELECT o_custkey AS k, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS DATE)) AS a, date_diff('day', DATE '1990-01-01', CAST(max(o_orderdate) AS DATE)) AS b, any_value(c_nationkey) AS c_nationkey, any_value(c_mktsegment) AS c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), n AS (SELECT *, lead(a) OVER w AS a2, lead(b) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY k)), p AS (SELECT c_nationkey, c_mktsegment, least(b, b2) - greatest(a, a2) AS common, greatest(b, b2) - least(a, a2) AS span FROM n WHERE a2 IS NOT NULL) SELECT c_nationkey, c_mktsegment, count(*) AS n_pairs, round(avg(CASE WHEN common <= 0 OR span <= 0 THEN 0.0::DOUBLE ELSE common / span END), 6) AS mean_overlap FROM p GROUP BY 1, 2",
     "decoy_pairs": "SELECT regexp_replace(accession, '^DECOY_', '') AS base_accession, CAST(sum((NOT starts_with(accession, 'DECOY_'))::INT) AS BIGINT) AS n_target, CAST(sum(starts_with(accession, 'DECOY_')::INT) AS BIGINT) AS n_decoy FROM psms WHERE regexp_full_match(accession, '[A-Za-z0-9_-]+') GROUP BY 1",
     "shared_sequences": "SELECT psm_id FROM psms WHERE base_sequence IN (SELECT base_sequence FROM spectral_matches WHERE base_sequence IS NOT NULL)",
     "reporter_ions": "SELECT vec_id, " + ", ".join(f"round(greatest(list_max(list_transform(embedding[{8 * k + 3}:{8 * k + 5}], lambda x: CAST(x AS DOUBLE))), 0.0), 6) AS reporter_{k + 1}" for k in range(8)) + " FROM embeddings",
