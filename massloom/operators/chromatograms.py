@@ -17,16 +17,21 @@ from massloom.operators.joins import band_join
 def traces(peaks: DataFrame, keys: Sequence[str], scan: str, mz: str, intensity: str, ppm: float = 10.0, missed: int = 1, least: int = 3) -> DataFrame:
     """(`keys`, trace, n_peaks, mean_mz, apex_scan, start, end, points): peaks of near m/z in near scans.
 
-    m/z are chained where the next is within the tolerance; a chain is cut where more than `missed` scans go by without a peak.
+    m/z are chained where the next is within the tolerance; a chain is cut where more than `missed` scans go by without a peak. Every peak counts:
+    `points` has one entry a scan, the sum of its peaks in the trace, and the apex is the highest of them, of equal ones the earliest.
     """
+    # Peaks of the same scan and m/z always share a trace, so they are summed before the windows.
+    known = peaks.filter(F.col(scan).isNotNull() & F.col(mz).isNotNull())
+    peaks = known.groupBy(*keys, scan, mz).agg(F.count(F.lit(1)).alias("n__"), F.sum(F.col(intensity).cast("double")).alias("sum__"))
     by_mz = Window.partitionBy(*keys).orderBy(mz, scan)
     new = F.when(F.col(mz) - F.lag(mz).over(by_mz) <= F.col(mz) * ppm / 1e6, 0).otherwise(1)
     chained = peaks.withColumn("new__", new).withColumn("chain__", F.sum("new__").over(by_mz))
     by_scan = Window.partitionBy(*keys, "chain__").orderBy(scan, mz)
     gap = F.when(F.col(scan) - F.lag(scan).over(by_scan) <= missed + 1, 0).otherwise(1)
     cut = chained.withColumn("gap__", gap).withColumn("part__", F.sum("gap__").over(by_scan))
-    point = F.struct(F.col(scan).alias("scan"), F.col(intensity).cast("double").alias("intensity"))
-    out = cut.groupBy(*keys, "chain__", "part__").agg(F.count(F.lit(1)).alias("n_peaks"), F.avg(mz).alias("mean_mz"), F.max_by(scan, F.struct(intensity, -F.col(scan))).alias("apex_scan"), F.min(scan).alias("start"), F.max(scan).alias("end"), F.array_sort(F.collect_list(point)).alias("points"))
+    per_scan = cut.groupBy(*keys, "chain__", "part__", scan).agg(F.sum("n__").alias("n__"), F.sum(F.col(mz) * F.col("n__")).alias("mz__"), F.sum("sum__").alias("sum__"))
+    point = F.struct(F.col(scan).alias("scan"), F.col("sum__").alias("intensity"))
+    out = per_scan.groupBy(*keys, "chain__", "part__").agg(F.sum("n__").alias("n_peaks"), (F.sum("mz__") / F.sum("n__")).alias("mean_mz"), F.max_by(scan, F.struct("sum__", -F.col(scan))).alias("apex_scan"), F.min(scan).alias("start"), F.max(scan).alias("end"), F.array_sort(F.collect_list(point)).alias("points"))
     trace = F.concat_ws("-", F.col("chain__").cast("string"), F.col("part__").cast("string")).alias("trace")
     return out.filter(F.col("n_peaks") >= least).select(*keys, trace, "n_peaks", "mean_mz", "apex_scan", "start", "end", "points")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.operators import chromatograms as xic
@@ -125,10 +125,8 @@ def shift_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each type and user as peaks: days as scans, rounded values as m/z."""
-    peaks = table(spark, sf_dir, "events").select("event_type", "event_id", F.datediff(F.col("ts"), F.lit("1990-01-01")).alias("scan"), (F.floor(F.col("value") / 10) + 1).cast("double").alias("mz"), F.col("value").alias("intensity"))
-    one = Window.partitionBy("event_type", "scan", "mz").orderBy(F.desc("intensity"), "event_id")
-    peaks = peaks.withColumn("n", F.row_number().over(one)).filter("n = 1")
+    """All events of each type as peaks: days as scans, rounded values as m/z."""
+    peaks = table(spark, sf_dir, "events").select("event_type", F.datediff(F.col("ts"), F.lit("1990-01-01")).alias("scan"), (F.floor(F.col("value") / 10) + 1).cast("double").alias("mz"), F.col("value").alias("intensity"))
     return xic.traces(peaks, ["event_type"], "scan", "mz", "intensity", 10.0, 1, 3)
 
 
