@@ -157,12 +157,12 @@ def modification_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precursors and fragments of one lab whose apex times, rounded to 2 places, are within 0.01."""
-    rows = table(spark, sf_dir, "psms").filter("scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time) AND precursor_charge IN (1, 6)")
+    """Matches of one file whose apex times, rounded to 2 places, are within 0.5; of two, the lower charge is the precursor, the higher one the fragment."""
+    rows = table(spark, sf_dir, "psms").filter("scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time)")
     apex = rows.select("psm_id", "full_file_path", "precursor_charge", F.round("scan_retention_time", 2).alias("apex"))
-    a = apex.filter("precursor_charge = 1").select("full_file_path", F.col("psm_id").alias("precursor_id"), (F.col("apex") - 0.5).alias("lo"), (F.col("apex") + 0.5).alias("hi"))
-    b = apex.filter("precursor_charge = 6").select("full_file_path", F.col("psm_id").alias("fragment_id"), "apex")
-    return joins.band_join(a, b, "lo", "hi", "apex", 1.0, ["full_file_path"]).select("precursor_id", "fragment_id")
+    a = apex.select("full_file_path", F.col("psm_id").alias("precursor_id"), F.col("precursor_charge").alias("lower"), (F.col("apex") - 0.5).alias("lo"), (F.col("apex") + 0.5).alias("hi"))
+    b = apex.select("full_file_path", F.col("psm_id").alias("fragment_id"), F.col("precursor_charge").alias("higher"), "apex")
+    return joins.band_join(a, b, "lo", "hi", "apex", 1.0, ["full_file_path"]).filter("lower < higher").select("precursor_id", "fragment_id")
 
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:

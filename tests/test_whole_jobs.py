@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from massloom.operators import chromatograms
-from massloom.plans import search_queries
+from massloom.plans import join_queries, search_queries
 
 
 def _plain_traces(peaks, ppm, missed, least):
@@ -52,3 +52,11 @@ def test_trace_extraction_takes_all_events(spark, tmp_path):
     peaks = [(kind, (ts - dt.datetime(1990, 1, 1)).days, float(value // 10 + 1), value) for _, ts, kind, value in events]
     got = sorted(tuple(r) for r in search_queries.trace_extraction(spark, str(tmp_path)).collect())
     assert got == sorted((key, round(mz.expected, 4), n, apex, start, end) for key, n, mz, apex, start, end, _ in _plain_traces(peaks, 10.0, 1, 3))
+
+
+def test_time_band_join_takes_all_charges(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(n, rng.choice(["f", "g"]), rng.randint(1, 6), rng.choice([None, *[rng.randint(0, 600) / 100] * 9])) for n in range(80)]
+    spark.createDataFrame(rows, "psm_id long, full_file_path string, precursor_charge int, scan_retention_time double").write.parquet(f"{tmp_path}/psms.parquet")
+    want = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and None not in (a[3], b[3]) and a[3] - 0.5 <= b[3] <= a[3] + 0.5]
+    assert sorted(tuple(r) for r in join_queries.time_band_join(spark, str(tmp_path)).collect()) == sorted(want)
