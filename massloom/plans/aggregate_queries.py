@@ -109,10 +109,13 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mod_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12 with X15 and X23: occupancy of each modified residue of the matched proteins, one modification at a time."""
+    """A12 with X15 and X23: occupancy of each modified residue of the matched proteins, all modifications of a sequence; one before the first residue is at the first."""
     spans = _spans(spark, sf_dir).filter("full_sequence IS NOT NULL AND NOT contains(full_sequence, '|')").groupBy("accession", "start", "end", "full_sequence").agg(F.count(F.lit(1)).alias("n"))
-    first = F.regexp_extract("full_sequence", r"^([A-Z]*)\[([^\]]+)\]", 1)
-    sites = spans.withColumn("modification", F.regexp_extract("full_sequence", r"^([A-Z]*)\[([^\]]+)\]", 2)).filter("modification <> ''").withColumn("site", F.col("start") + F.length(first) - 1)
+    pattern = F.lit(r"([^\[\]]*)\[([^\]]+)\]")
+    between, named = F.regexp_extract_all("full_sequence", pattern, 1), F.regexp_extract_all("full_sequence", pattern, 2)
+    residues = lambda i: F.length(F.regexp_replace(F.array_join(F.slice(between, 1, i + 1), ""), "[^A-Z]", ""))
+    mods = F.array_distinct(F.transform(named, lambda m, i: F.struct(F.greatest(residues(i), F.lit(1)).alias("residue"), m.alias("modification"))))
+    sites = spans.select("accession", "start", "n", F.inline(mods)).withColumn("site", F.col("start") + F.col("residue") - 1)
     out = agg.occupancy(sites.select("accession", "site", "modification", "n"), spans.select("accession", "start", "end", "n"), ["accession"], "site", "start", "end", "n")
     return out.select("accession", "site", "modification", "n_modified", "n_spanning", F.round("occupancy", 6).alias("occupancy"))
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 from collections import defaultdict
 
 import pytest
 
 from massloom.operators import chromatograms
-from massloom.plans import join_queries, search_queries
+from massloom.plans import aggregate_queries, join_queries, search_queries
 
 
 def _plain_traces(peaks, ppm, missed, least):
@@ -60,3 +61,36 @@ def test_time_band_join_takes_all_charges(spark, tmp_path):
     spark.createDataFrame(rows, "psm_id long, full_file_path string, precursor_charge int, scan_retention_time double").write.parquet(f"{tmp_path}/psms.parquet")
     want = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and None not in (a[3], b[3]) and a[3] - 0.5 <= b[3] <= a[3] + 0.5]
     assert sorted(tuple(r) for r in join_queries.time_band_join(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def _plain_occupancy(proteins, psms):
+    """(accession, site, modification, n_modified, n_spanning, occupancy), residue by residue."""
+    modified, spanning = defaultdict(int), defaultdict(int)
+    for cell, base, full, decoy in psms:
+        for accession in set(re.findall(r"[A-Za-z0-9_-]+", cell)) & set(proteins):
+            at = proteins[accession].find(base)
+            if decoy != "N" or at < 0 or "|" in full:
+                continue
+            for i in range(len(base)):
+                spanning[accession, at + 1 + i] += 1
+            n, found = 0, set()
+            for piece in re.findall(r"\[[^\]]+\]|[A-Z]", full):
+                if piece.startswith("["):
+                    found.add((accession, at + max(n, 1), piece[1:-1]))
+                else:
+                    n += 1
+            for f in found:
+                modified[f] += 1
+    return sorted((a, s, m, n, spanning[a, s], round(n / spanning[a, s], 6)) for (a, s, m), n in modified.items())
+
+
+def _write_matches(spark, path, proteins, psms):
+    spark.createDataFrame(list(proteins.items()), "accession string, base_sequence string").write.parquet(f"{path}/proteins.parquet")
+    spark.createDataFrame(psms, "accession string, base_sequence string, full_sequence string, decoy string").write.parquet(f"{path}/psms.parquet")
+
+
+def test_mod_occupancy_counts_every_modification(spark, tmp_path):
+    proteins = {"P1": "MKACDEMFGHIKLMNPR", "P2": "AAACDEMFGHIK"}
+    psms = [("P1", "ACDEMFGHIK", "AC[Carb]DEM[Ox]FGHIK", "N"), ("P1", "ACDEMFGHIK", "AC[Carb]DEMFGHIK", "N"), ("P1", "LMNPR", "[Ace]LM[Ox]NPR-[Ami]", "N"), ("P1", "LMNPR", "[Ace]L[Ace]MNPR", "N"), ("P2", "ACDEMFGHIK", "A[X][Y]CDEM[Ox]FGHIK", "N"), ("P2", "ACDEMFGHIK", "AC[Carb]DEM[Ox]FGHIK", "Y"), ("P2", "FGHIK", "F[Q]GHIK|FG[Q]HIK", "N")]
+    _write_matches(spark, tmp_path, proteins, psms)
+    assert sorted(tuple(r) for r in aggregate_queries.mod_occupancy(spark, str(tmp_path)).collect()) == _plain_occupancy(proteins, psms)
