@@ -24,3 +24,8 @@ def is_blank(col: Column) -> Column:
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once for each row; inside a lambda a bare expression would be worked out for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def accessions(cell: str) -> Column:
+    """The different accessions of a cell, whatever its delimiters and quotes."""
+    return F.array_distinct(F.regexp_extract_all(cell, F.lit(r"[A-Za-z0-9_-]+"), 0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from massloom.functions.text import accessions
 from massloom.operators import aggregates as agg
 from massloom.operators import windows as win
 from massloom.session import table
@@ -89,9 +90,9 @@ def group_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the base sequence of a match stands in the protein of its accession."""
+    """Where the base sequence of a match stands in the protein of each of its accessions."""
     proteins = table(spark, sf_dir, "proteins").select("accession", F.col("base_sequence").alias("protein_sequence"))
-    rows = table(spark, sf_dir, "psms").filter("decoy = 'N'").select("accession", "base_sequence", "full_sequence").join(proteins, "accession")
+    rows = table(spark, sf_dir, "psms").filter("decoy = 'N'").select(F.explode(accessions("accession")).alias("accession"), "base_sequence", "full_sequence").join(proteins, "accession")
     start = F.expr("position(base_sequence, protein_sequence)")
     return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("base_sequence") - 1).filter("start > 0 AND base_sequence <> ''")
 

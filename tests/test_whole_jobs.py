@@ -94,3 +94,11 @@ def test_mod_occupancy_counts_every_modification(spark, tmp_path):
     psms = [("P1", "ACDEMFGHIK", "AC[Carb]DEM[Ox]FGHIK", "N"), ("P1", "ACDEMFGHIK", "AC[Carb]DEMFGHIK", "N"), ("P1", "LMNPR", "[Ace]LM[Ox]NPR-[Ami]", "N"), ("P1", "LMNPR", "[Ace]L[Ace]MNPR", "N"), ("P2", "ACDEMFGHIK", "A[X][Y]CDEM[Ox]FGHIK", "N"), ("P2", "ACDEMFGHIK", "AC[Carb]DEM[Ox]FGHIK", "Y"), ("P2", "FGHIK", "F[Q]GHIK|FG[Q]HIK", "N")]
     _write_matches(spark, tmp_path, proteins, psms)
     assert sorted(tuple(r) for r in aggregate_queries.mod_occupancy(spark, str(tmp_path)).collect()) == _plain_occupancy(proteins, psms)
+
+
+def test_coverage_and_occupancy_take_every_accession_of_a_cell(spark, tmp_path):
+    proteins = {"P1": "MKACDEMFGHIKLMNPR", "P2-2": "AAACDEMFGHIK"}
+    psms = [("P1|P2-2", "ACDEMFGHIK", "AC[Carb]DEMFGHIK", "N"), ("P1; P1", "LMNPR", "LM[Ox]NPR", "N"), (' "P2-2"\t"P9"', "AAAC", "AAAC[Carb]", "N"), ("P2-2|", "GHIK", "GHIK", "N"), ("P1,P2-2", "FGHIK", "F[Q]GHIK", "Y")]
+    _write_matches(spark, tmp_path, proteins, psms)
+    assert sorted(tuple(r) for r in aggregate_queries.mod_occupancy(spark, str(tmp_path)).collect()) == _plain_occupancy(proteins, psms)
+    assert sorted(tuple(r) for r in aggregate_queries.coverage_fraction(spark, str(tmp_path)).collect()) == [("P1", 15, round(15 / 17, 6)), ("P2-2", 12, 1.0)]
