@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.functions.text import accessions
 from massloom.operators import fdr
 from massloom.session import table
 
@@ -114,8 +115,8 @@ def resolve_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best score of each single accession."""
-    one = scored(spark, sf_dir).filter(F.col("accession").rlike(r"\A[A-Za-z0-9_-]+\z"))
+    """The best score of each accession of the cells."""
+    one = scored(spark, sf_dir).select(F.explode(accessions("accession")).alias("accession"), "score")
     return one.groupBy("accession").agg(F.max("score").alias("score")).withColumn("is_decoy", F.col("accession").startswith("DECOY_"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.masses import PROTON, RESIDUES, overlap_ratio, to_mass
+from massloom.functions.text import accessions
 from massloom.operators import joins
 from massloom.session import table
 
@@ -177,7 +178,7 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and decoy matches of each accession, paired by the accession without its prefix."""
-    one = table(spark, sf_dir, "psms").filter(F.col("accession").rlike(r"\A[A-Za-z0-9_-]+\z"))
+    one = table(spark, sf_dir, "psms").select(F.explode(accessions("accession")).alias("accession"))
     base = F.regexp_replace("accession", "^DECOY_", "")
     return one.groupBy(base.alias("base_accession")).agg(F.sum(F.when(F.col("accession").startswith("DECOY_"), 0).otherwise(1)).alias("n_target"), F.sum(F.when(F.col("accession").startswith("DECOY_"), 1).otherwise(0)).alias("n_decoy"))
 

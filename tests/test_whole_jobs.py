@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from massloom.operators import chromatograms
-from massloom.plans import aggregate_queries, join_queries, search_queries
+from massloom.plans import aggregate_queries, fdr_queries, join_queries, search_queries
 
 
 def _plain_traces(peaks, ppm, missed, least):
@@ -102,3 +102,24 @@ def test_coverage_and_occupancy_take_every_accession_of_a_cell(spark, tmp_path):
     _write_matches(spark, tmp_path, proteins, psms)
     assert sorted(tuple(r) for r in aggregate_queries.mod_occupancy(spark, str(tmp_path)).collect()) == _plain_occupancy(proteins, psms)
     assert sorted(tuple(r) for r in aggregate_queries.coverage_fraction(spark, str(tmp_path)).collect()) == [("P1", 15, round(15 / 17, 6)), ("P2-2", 12, 1.0)]
+
+
+def test_protein_scores_and_pairs_take_every_accession_of_a_cell(spark, tmp_path):
+    cells = ["P1", "P1|P2-3", '"P2-3"', "P3;", "DECOY_P1/DECOY_P3", "DECOY_P3||DECOY_P3", "P4\tP1", "DECOY_P5", "", None]
+    rng = random.Random(8)
+    rows = [(n, c, float(rng.randint(1, 99)), "Y" if "DECOY" in (c or "") else "N") for n, c in enumerate(rng.choices(cells, k=60))]
+    spark.createDataFrame(rows, "psm_id long, accession string, score double, decoy string").write.parquet(f"{tmp_path}/psms.parquet")
+    best, pairs = {}, defaultdict(lambda: [0, 0])
+    for _, cell, score, _ in rows:
+        for a in set(re.findall(r"[A-Za-z0-9_-]+", cell or "")):
+            best[a] = max(best.get(a, 0.0), score)
+            pairs[a.removeprefix("DECOY_")][a.startswith("DECOY_")] += 1
+    ratios, t, d = [], 0, 0
+    for a in sorted(best, key=lambda a: (-best[a], a)):
+        t, d = t + (not a.startswith("DECOY_")), d + a.startswith("DECOY_")
+        ratios.append((a, d / max(t, 1)))
+    want = {a: min(r for _, r in ratios[i:]) for i, (a, _) in enumerate(ratios)}
+    assert {r.accession: r.q_value for r in fdr_queries.protein_qvalue(spark, str(tmp_path)).collect()} == pytest.approx(want)
+    winners = {a for a in best if a == max((x for x in best if x.removeprefix("DECOY_") == a.removeprefix("DECOY_")), key=lambda x: (best[x], not x.startswith("DECOY_")))}
+    assert winners <= {r.accession for r in fdr_queries.picked_fdr(spark, str(tmp_path)).collect()} <= set(best)
+    assert sorted(tuple(r) for r in join_queries.decoy_pairs(spark, str(tmp_path)).collect()) == sorted((a, *n) for a, n in pairs.items())
