@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.masses import PROTON, RESIDUES, overlap_ratio, to_mass
@@ -167,13 +167,20 @@ def time_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the span of each customer's order dates overlaps with that of the next customer of the nation and segment."""
+    """How far the spans of the customers' order dates overlap within a nation and segment, each pair of customers once.
+
+    Equal spans are joined once with their number, and the pairs are summed up where they are formed.
+    """
+    keys = ["c_nationkey", "c_mktsegment"]
     days = F.datediff(F.col("o_orderdate"), F.lit("1990-01-01"))
     spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(days).alias("a"), F.max(days).alias("b"))
-    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_mktsegment")
-    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("o_custkey")
-    pairs = spans.join(who, "o_custkey").withColumn("a2", F.lead("a").over(w)).withColumn("b2", F.lead("b").over(w)).filter("a2 IS NOT NULL")
-    return pairs.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(overlap_ratio(F.col("a"), F.col("b"), F.col("a2"), F.col("b2"))), 6).alias("mean_overlap"))
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), *keys)
+    first = spans.join(who, "o_custkey").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    second = first.select(*keys, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n").alias("n2"))
+    same = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    pairs = first.join(second, keys).filter("a < a2 OR a = a2 AND b <= b2").withColumn("w", F.when(same, F.expr("n * (n - 1) DIV 2")).otherwise(F.col("n") * F.col("n2"))).filter("w > 0")
+    overlap = overlap_ratio(F.col("a"), F.col("b"), F.col("a2"), F.col("b2"))
+    return pairs.groupBy(*keys).agg(F.sum("w").alias("n_pairs"), F.round(F.sum(overlap * F.col("w")) / F.sum("w"), 6).alias("mean_overlap"))
 
 
 def decoy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,22 @@ def test_protein_scores_and_pairs_take_every_accession_of_a_cell(spark, tmp_path
     winners = {a for a in best if a == max((x for x in best if x.removeprefix("DECOY_") == a.removeprefix("DECOY_")), key=lambda x: (best[x], not x.startswith("DECOY_")))}
     assert winners <= {r.accession for r in fdr_queries.picked_fdr(spark, str(tmp_path)).collect()} <= set(best)
     assert sorted(tuple(r) for r in join_queries.decoy_pairs(spark, str(tmp_path)).collect()) == sorted((a, *n) for a, n in pairs.items())
+
+
+def test_overlap_join_takes_every_pair_of_customers(spark, tmp_path):
+    rng = random.Random(9)
+    orders = [(c, dt.date(2024, 1, rng.randint(1, 9))) for c in range(30) for _ in range(rng.randint(1, 3))]
+    customers = [(c, rng.randint(1, 2), rng.choice("xy")) for c in range(31)] + [(40, 3, "x")]
+    orders.append((40, dt.date(2024, 1, 1)))
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    groups = defaultdict(list)
+    for c, nation, segment in customers:
+        days = [d.toordinal() for k, d in orders if k == c]
+        if days:
+            for a, b in [*groups[nation, segment]]:
+                common, span = min(b, max(days)) - max(a, min(days)), max(b, max(days)) - min(a, min(days))
+                groups[nation, segment, "pairs"].append(common / span if common > 0 else 0.0)
+            groups[nation, segment].append((min(days), max(days)))
+    want = {k[:2]: (len(v), pytest.approx(sum(v) / len(v), abs=1e-6)) for k, v in groups.items() if len(k) == 3 and v}
+    assert {(r.c_nationkey, r.c_mktsegment): (r.n_pairs, r.mean_overlap) for r in join_queries.overlap_join(spark, str(tmp_path)).collect()} == want
