@@ -76,9 +76,9 @@ def library_merge(library: DataFrame, found: DataFrame, keys: Sequence[str], ion
 
 
 def pairs_to_sum(singles: DataFrame, targets: DataFrame, mass: str, name: str, target: str, tolerance: float) -> DataFrame:
-    """(target row, first, second) with two masses of `singles` that add up to the target within the tolerance, first <= second.
+    """(target row, first, second) with two masses of `singles` that add up to the target within the tolerance, first <= second.
 
-    The second is looked up by a band join on what the first leaves, so the pairs of singles are never all formed.
+    For fixed lists only: all `singles` go into one row. The second is looked up by a band join on what the first leaves, so the pairs of singles are never all formed.
     """
     width = max(tolerance * 4, 1e-6)
     small = singles.select(F.col(name).alias("first"), F.col(mass).alias("first_mass"))

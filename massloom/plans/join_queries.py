@@ -85,10 +85,18 @@ def binned_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_mass_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the linker and the first peptide leave of a price is looked up among the parts."""
-    part = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.max("p_retailprice"), 2).alias("mass"))
+    """What the first part leaves of a line's price is looked up among all parts; (line, first, second, n_pairs) by distinct prices, first <= second, with the pairs of parts that have them."""
+    price = F.round("p_retailprice", 2)
+    parts = table(spark, sf_dir, "part").groupBy(price.alias("mass")).agg(F.count(F.lit(1)).alias("n")).filter("mass IS NOT NULL")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return joins.pairs_to_sum(part, lines, "mass", "p_brand", "l_extendedprice", 0.05).select("l_orderkey", "l_linenumber", "first", "second")
+    first, second = parts.select(F.col("mass").alias("first"), "n"), parts.select(F.col("mass").alias("second"), F.col("n").alias("n2"))
+    # The lower of two prices is at most half the sum and at least what the dearest part leaves; the exact bounds follow.
+    targets = lines.select("l_extendedprice").distinct().join(F.broadcast(parts.agg(F.max("mass").alias("most"))))
+    wanted = targets.select("l_extendedprice", (F.col("l_extendedprice") - F.col("most") - 0.1).alias("lo"), (F.col("l_extendedprice") / 2 + 0.1).alias("hi"))
+    need = joins.band_join(wanted, first, "lo", "hi", "first", 50.0).select("l_extendedprice", "first", "n", (F.col("l_extendedprice") - F.col("first") - 0.05).alias("lo"), (F.col("l_extendedprice") - F.col("first") + 0.05).alias("hi"))
+    found = joins.band_join(need, second, "lo", "hi", "second", 0.2).filter("first <= second")
+    n_pairs = F.when(F.col("first") == F.col("second"), F.expr("n * (n + 1) DIV 2")).otherwise(F.col("n") * F.col("n2"))
+    return lines.join(found.select("l_extendedprice", "first", "second", n_pairs.alias("n_pairs")), "l_extendedprice").select("l_orderkey", "l_linenumber", "first", "second", "n_pairs")
 
 
 def priority_cases(spark: SparkSession, sf_dir: str) -> DataFrame:

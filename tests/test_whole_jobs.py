@@ -142,3 +142,19 @@ def test_overlap_join_takes_every_pair_of_customers(spark, tmp_path):
             groups[nation, segment].append((min(days), max(days)))
     want = {k[:2]: (len(v), pytest.approx(sum(v) / len(v), abs=1e-6)) for k, v in groups.items() if len(k) == 3 and v}
     assert {(r.c_nationkey, r.c_mktsegment): (r.n_pairs, r.mean_overlap) for r in join_queries.overlap_join(spark, str(tmp_path)).collect()} == want
+
+
+def test_pair_mass_join_takes_every_part(spark, tmp_path):
+    rng = random.Random(10)
+    parts = [(n, f"Brand#{n % 2}", rng.randint(9000, 12000) / 10 + rng.choice([0.0, 0.01])) for n in range(40)]
+    parts += [(40, "Brand#1", parts[0][2]), (41, "Brand#0", parts[3][2])]
+    lines = [(n, 1, rng.choice([rng.randint(180000, 240000) / 100, parts[n % 40][2] * 2, parts[0][2] + parts[n % 40][2] + 0.03])) for n in range(60)] + [(60, 1, 90000.0), (61, 1, 3.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = defaultdict(int)
+    for order, line, target in lines:
+        for i, (_, _, x) in enumerate(parts):
+            for _, _, y in parts[i:]:
+                a, b = sorted((round(x, 2), round(y, 2)))
+                want[order, line, a, b] += target - a - 0.05 <= b <= target - a + 0.05
+    assert {tuple(r)[:4]: r.n_pairs for r in join_queries.pair_mass_join(spark, str(tmp_path)).collect()} == {k: n for k, n in want.items() if n}
