@@ -186,20 +186,20 @@ def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float =
 
 
 def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by") -> DataFrame:
-    """(bin, peptide, mass): the postings of an inverted index of fragments (K17); write it bucketed by bin to keep it."""
+    """(bin, peptide, mass): the postings of an inverted index of fragments, one for each fragment, also where some share a bin (K17); write it bucketed by bin to keep it."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bins(peptide: pd.Series) -> pd.Series:
         ladders = (ladder_masses(p, kinds=kinds) for p in peptide)
-        return pd.Series([np.unique(np.rint(m[~np.isnan(m)] * per_dalton).astype(np.int64)) for m in ladders])
+        return pd.Series([np.sort(np.rint(m[~np.isnan(m)] * per_dalton).astype(np.int64)) for m in ladders])
 
     return peptides.select(F.explode(bins("peptide")).alias("bin"), "peptide", "mass")
 
 
 def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: int = 5, per_dalton: int = 1000) -> DataFrame:
-    """The same matches from an index (Q2): shared bins are counted first, and only pairs with enough of them are scored.
+    """The same matches from an index (Q2): fragments in a scan's bins are counted first, and only pairs with enough of them are scored.
 
-    The count of bins is at least the number of matched fragments, so no pair that reaches the cutoff is lost.
+    The count is at least the number of matched fragments, so no pair that reaches the cutoff is lost.
     """
     # A coarse bin of the peptide's mass is part of the key, so postings far from the precursor are never read into a pair.
     log_width = 8 * precursor_ppm / 1e6
@@ -210,7 +210,7 @@ def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precu
     hits = peaks.select("scan_id", "precursor_mass", "near__", F.explode(bins).alias("bin")).distinct().withColumn("near__", F.explode("near__"))
     hits = hits.join(index.withColumn("near__", coarse(F.col("mass"))), ["bin", "near__"])
     near = hits.filter(F.abs(F.col("precursor_mass") - F.col("mass")) <= F.col("mass") * precursor_ppm / 1e6)
-    rough = near.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n_bins")).filter(F.col("n_bins") >= cutoff)
+    rough = near.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near") >= cutoff)
     full = rough.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
     scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", "peptide", F.lit(0.0), F.lit(0), "total")).select("scan_id", "peptide", "score")
     return best_with_ties(scored, ["scan_id"], "score", float(cutoff))

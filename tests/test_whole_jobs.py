@@ -5,9 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from massloom.operators import chromatograms
+from massloom.operators import chromatograms, search
 from massloom.plans import aggregate_queries, fdr_queries, join_queries, search_queries
 
 
@@ -158,3 +160,15 @@ def test_pair_mass_join_takes_every_part(spark, tmp_path):
                 a, b = sorted((round(x, 2), round(y, 2)))
                 want[order, line, a, b] += target - a - 0.05 <= b <= target - a + 0.05
     assert {tuple(r)[:4]: r.n_pairs for r in join_queries.pair_mass_join(spark, str(tmp_path)).collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_modern_search_counts_fragments_that_share_a_bin(spark):
+    p = "INEHMDEDLACEMDMTK"
+    masses = np.sort(search.ladder_masses(p))
+    bins = np.rint(masses * 50).astype(int)
+    shared = [m for m, b in zip(masses, bins, strict=True) if (bins == b).sum() > 1][:2]
+    peaks = sorted([*shared, *[m for m, b in zip(masses, bins, strict=True) if (bins == b).sum() == 1][::5][:3]])
+    pep = spark.createDataFrame([(p,)], "peptide string").withColumn("mass", search.peptide_mass(F.col("peptide")))
+    scan = spark.createDataFrame([(0, float(pep.first().mass), [float(x) for x in peaks], [1.0] * 5, 5.0)], "scan_id int, precursor_mass double, peaks array<double>, intensities array<double>, total double")
+    want = [(r.peptide, r.score) for r in search.classic_search(scan, pep, cutoff=5.0).collect()]
+    assert want and [(r.peptide, r.score) for r in search.modern_search(scan, pep, search.fragment_index(pep, 50), cutoff=5, per_dalton=50).collect()] == want
