@@ -46,6 +46,17 @@ def digest(proteins: DataFrame, keys: Sequence[str], sequence: str, enzyme: str
     return found.select(*keys, F.substring("seq__", F.col("start"), F.col("end") - F.col("start") + 1).alias("peptide"), "start", "end", "missed_cleavages")
 
 
+def places_of(rows: DataFrame, part: str, whole: str) -> DataFrame:
+    """`rows` once for each place where `part` stands in `whole`, overlapping places too, with `start` and `end` from 1.
+
+    Null or empty parts and those found nowhere give no rows. Places after the first are looked for only where there is a second one.
+    """
+    first = rows.filter(F.length(part) > 0).withColumn("first__", F.expr(f"locate(`{part}`, `{whole}`)")).filter("first__ > 0")
+    more = f"filter(sequence(first__, length(`{whole}`) - length(`{part}`) + 1), i -> substring(`{whole}`, i, length(`{part}`)) = `{part}`)"
+    starts = F.when(F.expr(f"locate(`{part}`, `{whole}`, first__ + 1)") > 0, F.expr(more)).otherwise(F.array("first__"))
+    return first.withColumn("start", F.explode(starts)).withColumn("end", F.col("start") + F.length(part) - 1).drop("first__")
+
+
 def residue_masses(sequence: Column) -> Column:
     """The masses of a sequence's residues; null for unknown ones."""
     table = F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from massloom.functions.text import accessions
 from massloom.operators import aggregates as agg
 from massloom.operators import windows as win
+from massloom.operators.search import places_of
 from massloom.session import table
 
 
@@ -90,17 +91,18 @@ def group_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the base sequence of a match stands in the protein of each of its accessions."""
+    """Every place where the base sequence of a match stands in the protein of each of its accessions, with the number `n` of matches."""
     proteins = table(spark, sf_dir, "proteins").select("accession", F.col("base_sequence").alias("protein_sequence"))
-    rows = table(spark, sf_dir, "psms").filter("decoy = 'N'").select(F.explode(accessions("accession")).alias("accession"), "base_sequence", "full_sequence").join(proteins, "accession")
-    start = F.expr("position(base_sequence, protein_sequence)")
-    return rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("base_sequence") - 1).filter("start > 0 AND base_sequence <> ''")
+    rows = table(spark, sf_dir, "psms").filter("decoy = 'N' AND base_sequence <> ''").select(F.explode(accessions("accession")).alias("accession"), "base_sequence", "full_sequence")
+    # A match is counted before the join, so a repeated one doesn't carry the protein's sequence again.
+    rows = rows.groupBy("accession", "base_sequence", "full_sequence").agg(F.count(F.lit(1)).alias("n")).join(proteins, "accession")
+    return places_of(rows, "base_sequence", "protein_sequence")
 
 
 def coverage_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""
-    spans = _spans(spark, sf_dir).select("accession", "start", "end", F.length("protein_sequence").alias("n")).distinct()
-    return agg.coverage(spans, ["accession"], "start", "end", F.col("n")).select("accession", "n_covered", F.round("coverage", 6).alias("coverage"))
+    spans = _spans(spark, sf_dir).select("accession", "start", "end", F.length("protein_sequence").alias("length")).distinct()
+    return agg.coverage(spans, ["accession"], "start", "end", F.col("length")).select("accession", "n_covered", F.round("coverage", 6).alias("coverage"))
 
 
 def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mod_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 with X15 and X23: occupancy of each modified residue of the matched proteins, all modifications of a sequence; one before the first residue is at the first."""
-    spans = _spans(spark, sf_dir).filter("full_sequence IS NOT NULL AND NOT contains(full_sequence, '|')").groupBy("accession", "start", "end", "full_sequence").agg(F.count(F.lit(1)).alias("n"))
+    spans = _spans(spark, sf_dir).filter("full_sequence IS NOT NULL AND NOT contains(full_sequence, '|')").select("accession", "start", "end", "full_sequence", "n")
     pattern = F.lit(r"([^\[\]]*)\[([^\]]+)\]")
     between, named = F.regexp_extract_all("full_sequence", pattern, 1), F.regexp_extract_all("full_sequence", pattern, 2)
     residues = lambda i: F.length(F.regexp_replace(F.array_join(F.slice(between, 1, i + 1), ""), "[^A-Z]", ""))
@@ -267,7 +269,7 @@ def isolation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _Q = "q_value <= 0.01 AND NOT isnan(q_value)"
 _PPM = "p AS (SELECT *, try_cast(trim(mass_diff_ppm) AS DOUBLE) AS ppm FROM psms)"
-_SPANS = "spans AS (SELECT p.accession, p.base_sequence, full_sequence, length(r.base_sequence) AS n, position(p.base_sequence IN r.base_sequence) AS s FROM psms p JOIN proteins r ON p.accession = r.accession WHERE decoy = 'N' AND p.base_sequence <> '' AND position(p.base_sequence IN r.base_sequence) > 0)"
+_SPANS = "cells AS (SELECT unnest(list_distinct(regexp_extract_all(accession, '[A-Za-z0-9_-]+'))) AS accession, base_sequence, full_sequence FROM psms WHERE decoy = 'N' AND base_sequence <> ''), placed AS (SELECT c.*, r.base_sequence AS protein, unnest(generate_series(1, length(r.base_sequence) - length(c.base_sequence) + 1)) AS s FROM cells c JOIN proteins r ON c.accession = r.accession), spans AS (SELECT accession, base_sequence, full_sequence, length(protein) AS n, s FROM placed WHERE substring(protein, s, length(base_sequence)) = base_sequence)"
 _DAY = "date_diff('day', DATE '1990-01-01', CAST({} AS DATE))"
 
 QUERIES = {
@@ -290,7 +292,7 @@ SQL = {
     "group_score": "SELECT accession, round(sum(b), 4) AS group_score, count(*) AS n_sequences FROM (SELECT accession, base_sequence, max(score) AS b FROM psms WHERE score IS NOT NULL AND NOT isnan(score) AND accession IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "coverage_fraction": f"WITH {_SPANS}, r AS (SELECT DISTINCT accession, n, unnest(generate_series(s, s + length(base_sequence) - 1)) AS x FROM spans) SELECT accession, count(*) AS n_covered, round(count(*) / max(n), 6) AS coverage FROM r GROUP BY 1",
     "longest_run": f"WITH d AS (SELECT DISTINCT o_orderpriority, o_orderstatus, {_DAY.format('o_orderdate')} AS day FROM orders), i AS (SELECT *, day - row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY day) AS isl FROM d) SELECT o_orderpriority, o_orderstatus, max(n) AS longest_run FROM (SELECT o_orderpriority, o_orderstatus, isl, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1, 2",
-    "mod_occupancy": f"WITH {_SPANS}, u AS (SELECT *, s + length(base_sequence) - 1 AS e FROM spans WHERE full_sequence IS NOT NULL AND NOT contains(full_sequence, '|')), x AS (SELECT accession, s + length(regexp_extract(full_sequence, '^([A-Z]*)\\[([^\\]]+)\\]', 1)) - 1 AS site, regexp_extract(full_sequence, '^([A-Z]*)\\[([^\\]]+)\\]', 2) AS modification FROM u), m AS (SELECT accession, site, modification, count(*) AS n_modified FROM x WHERE modification <> '' GROUP BY 1, 2, 3), t AS (SELECT k.accession, site, count(*) AS n_spanning FROM (SELECT DISTINCT accession, site FROM m) k JOIN u ON u.accession = k.accession AND site BETWEEN s AND e GROUP BY ALL) SELECT accession, site, modification, n_modified, n_spanning, round(n_modified / n_spanning, 6) AS occupancy FROM m JOIN t USING (accession, site)",
+    "mod_occupancy": f"WITH {_SPANS}, u AS (SELECT *, s + length(base_sequence) - 1 AS e, row_number() OVER () AS id FROM spans WHERE full_sequence IS NOT NULL AND NOT contains(full_sequence, '|')), x AS (SELECT accession, s, id, regexp_extract_all(full_sequence, '([^\\[\\]]*)\\[([^\\]]+)\\]', 1) AS b, regexp_extract_all(full_sequence, '([^\\[\\]]*)\\[([^\\]]+)\\]', 2) AS m FROM u), y AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM x), z AS (SELECT DISTINCT id, accession, s + greatest(length(regexp_replace(array_to_string(b[1:i], ''), '[^A-Z]', '', 'g')), 1) - 1 AS site, m[i] AS modification FROM y), m AS (SELECT accession, site, modification, count(*) AS n_modified FROM z GROUP BY 1, 2, 3), t AS (SELECT k.accession, site, count(*) AS n_spanning FROM (SELECT DISTINCT accession, site FROM m) k JOIN u ON u.accession = k.accession AND site BETWEEN s AND e GROUP BY ALL) SELECT accession, CAST(site AS INTEGER) AS site, modification, n_modified, n_spanning, round(n_modified / n_spanning, 6) AS occupancy FROM m JOIN t USING (accession, site)",
     "modification_counts": f"WITH m AS (SELECT psm_id, contains(full_sequence, '|') AS amb, unnest(regexp_extract_all(full_sequence, '\\[([^\\]]+)\\]', 1)) AS modification FROM psms WHERE {_Q} AND full_sequence IS NOT NULL) SELECT modification, CAST(sum((NOT amb)::INT) AS BIGINT) AS n_localized, count(DISTINCT CASE WHEN amb THEN psm_id END) AS n_ambiguous FROM m GROUP BY 1",
     "charge_mode": f"SELECT full_file_path, arg_max(precursor_charge, n * 1000 - precursor_charge) AS charge FROM (SELECT full_file_path, precursor_charge, count(*) AS n FROM psms WHERE {_Q} AND decoy = 'N' GROUP BY 1, 2) GROUP BY 1",
     "variant_counts": "WITH v AS (SELECT psm_id, accession, unnest(regexp_split_to_array(identified_sequence_variations, '[|,;\\s]+')) AS v FROM psms) SELECT CASE WHEN contains(v, 'fs*') THEN 'frameshift' WHEN suffix(v, '*') THEN 'stop_gained' WHEN suffix(v, 'del') THEN 'deletion' WHEN contains(v, 'ins') THEN 'insertion' WHEN regexp_full_match(v, '[A-Z][0-9]+[A-Z]') THEN 'missense' ELSE 'other' END AS variant_class, count(DISTINCT psm_id) AS n_rows, count(DISTINCT CASE WHEN accession IS NOT NULL THEN (accession, v) END) AS n_sites FROM v WHERE v <> '' GROUP BY 1",

@@ -159,7 +159,8 @@ def fdr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued.groupBy("precursor_charge").agg(F.count(F.lit(1)).alias("n_psms"), F.sum(F.when((F.col("q_value") <= 0.01) & ~F.col("is_decoy"), 1).otherwise(0)).alias("n_passing"))
 
 
-_PROTEINS = f"""{_SCORED}, prot AS (SELECT accession, max(score) AS score, starts_with(accession, 'DECOY_') AS is_decoy FROM scored WHERE regexp_full_match(accession, '[A-Za-z0-9_-]+') GROUP BY ALL)"""
+_PROTEINS = f"""{_SCORED}, one AS (SELECT unnest(list_distinct(regexp_extract_all(accession, '[A-Za-z0-9_-]+'))) AS accession, score FROM scored),
+  prot AS (SELECT accession, max(score) AS score, starts_with(accession, 'DECOY_') AS is_decoy FROM one GROUP BY accession)"""
 
 
 def _protein_q(source: str) -> str:

@@ -254,7 +254,7 @@ SQL = {
     "all_in_range": "WITH t AS (SELECT DISTINCT l_suppkey, l_partkey AS part, p_retailprice * 30 * (1 - 1e-4) AS lo, p_retailprice * 30 * (1 + 1e-4) AS hi FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT DISTINCT t.l_suppkey, part, l_quantity FROM t JOIN lineitem l ON l.l_suppkey = t.l_suppkey AND l_extendedprice BETWEEN lo AND hi",
     "index_count_join": "WITH p AS (SELECT l_orderkey, l_suppkey, p_retailprice AS price FROM lineitem JOIN part ON p_partkey = l_partkey), f AS (SELECT DISTINCT l_orderkey, price AS observed, unnest(generate_series(CAST(floor((price - 0.01::DOUBLE) * 100) AS BIGINT), CAST(ceil((price + 0.01::DOUBLE) * 100) AS BIGINT))) AS bin FROM p), i AS (SELECT DISTINCT l_suppkey, price AS indexed, CAST(round_even(price * 100, 0) AS BIGINT) AS bin FROM p) SELECT l_orderkey, l_suppkey, count(*) AS n_hits FROM f JOIN i USING (bin) WHERE abs(observed - indexed) <= 0.01 GROUP BY ALL HAVING count(*) >= 4",
     "binned_join": f"WITH r(a, m) AS (VALUES {_RES}), b AS (SELECT CAST(round_even((x.m + y.m) / 1.0005079::DOUBLE, 0) AS BIGINT) AS bin FROM r x JOIN r y ON x.a <= y.a), s AS (SELECT psm_id, CAST(round_even(score * 10 / 1.0005079::DOUBLE, 0) AS BIGINT) AS bin FROM psms WHERE score IS NOT NULL AND NOT isnan(score)) SELECT bin, count(*) AS n_hits, count(DISTINCT psm_id) AS n_psms FROM s JOIN b USING (bin) GROUP BY ALL",
-    "pair_mass_join": "WITH m AS (SELECT p_brand, round(max(p_retailprice), 2) AS mass FROM part GROUP BY 1), s AS (SELECT a.p_brand AS first, b.p_brand AS second, a.mass AS ma, b.mass AS mb FROM m a JOIN m b ON a.p_brand <= b.p_brand) SELECT l_orderkey, l_linenumber, first, second FROM lineitem JOIN s ON mb BETWEEN l_extendedprice - ma - 0.05 AND l_extendedprice - ma + 0.05",
+    "pair_mass_join": "WITH m AS (SELECT round(p_retailprice, 2) AS mass, count(*) AS n FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1), s AS (SELECT a.mass AS first, b.mass AS second, a.mass + b.mass AS total, CASE WHEN a.mass = b.mass THEN a.n * (a.n + 1) // 2 ELSE a.n * b.n END AS n_pairs FROM m a JOIN m b ON a.mass <= b.mass), x AS (SELECT DISTINCT l_extendedprice AS x FROM lineitem), f AS (SELECT * FROM x JOIN s ON total BETWEEN x - 0.06 AND x + 0.06) SELECT l_orderkey, l_linenumber, first, second, n_pairs FROM lineitem JOIN f ON l_extendedprice = x WHERE second BETWEEN x - first - 0.05 AND x - first + 0.05",
     "priority_cases": "SELECT CASE WHEN l_quantity <= 5 THEN 'single' WHEN l_quantity % 7 = 0 THEN 'dead_end_tris' WHEN l_quantity % 5 = 0 THEN 'dead_end_h2o' WHEN l_discount >= 0.08 THEN 'loop' WHEN l_quantity > 20 THEN 'cross' END AS cross_type, count(*) AS n FROM lineitem GROUP BY 1",
     "child_scans": "SELECT DISTINCT a.psm_id, b.scan_number AS child_scan FROM psms a JOIN psms b ON a.full_file_path = b.full_file_path AND a.precursor_scan_number = b.precursor_scan_number AND b.scan_number > a.scan_number",
     "child_anti_join": "WITH f AS (SELECT full_file_path AS p, precursor_scan_number AS q, min(scan_number) AS parent FROM psms WHERE scan_number IS NOT NULL GROUP BY 1, 2) SELECT psm_id FROM psms WHERE scan_number IS NOT NULL AND NOT EXISTS (FROM f WHERE p = full_file_path AND q = precursor_scan_number AND scan_number > parent)",
@@ -263,9 +263,9 @@ SQL = {
     "library_merge": f"WITH {_LIB}, fo AS (SELECT full_sequence, precursor_charge, max(score) AS score FROM psms WHERE full_sequence IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2) SELECT full_sequence, precursor_charge, CASE WHEN score IS NULL OR n_ions > floor(score) THEN 'library' ELSE 'match' END AS taken_from FROM lib FULL JOIN fo USING (full_sequence, precursor_charge)",
     "shift_lookup": f"WITH r(a, m) AS (VALUES {_RES}), s AS (SELECT 'Add ' || a AS shift_name, m - 0.02 AS lo, m + 0.02 AS hi FROM r UNION ALL SELECT 'Remove ' || a, -m - 0.02, -m + 0.02 FROM r) SELECT shift_name, count(*) AS n FROM s JOIN lineitem ON l_extendedprice / 200 - 150 BETWEEN lo AND hi GROUP BY 1",
     "modification_candidates": "WITH m(mod, mass) AS (VALUES ('Oxidation', 15.994915::DOUBLE), ('Methylation', 14.01565), ('Acetylation', 42.010565), ('Phosphorylation', 79.966331), ('Carbamylation', 43.005814), ('None', 0.0)), s AS (SELECT a.mod AS first, b.mod AS second, a.mass AS ma, b.mass AS mb FROM m a JOIN m b ON a.mod <= b.mod) SELECT first, second, count(*) AS n FROM lineitem JOIN s ON mb BETWEEN l_extendedprice / 1000 - ma - 0.002 AND l_extendedprice / 1000 - ma + 0.002 GROUP BY 1, 2",
-    "time_band_join": "WITH x AS (SELECT psm_id, full_file_path, precursor_charge, round(scan_retention_time, 2) AS apex FROM psms WHERE scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time)) SELECT a.psm_id AS precursor_id, b.psm_id AS fragment_id FROM x a JOIN x b ON a.full_file_path = b.full_file_path AND a.precursor_charge = 1 AND b.precursor_charge = 6 AND b.apex BETWEEN a.apex - 0.5 AND a.apex + 0.5",
-    "overlap_join": "WITH s AS (SELECT o_custkey AS k, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS DATE)) AS a, date_diff('day', DATE '1990-01-01', CAST(max(o_orderdate) AS DATE)) AS b, any_value(c_nationkey) AS c_nationkey, any_value(c_mktsegment) AS c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), n AS (SELECT *, lead(a) OVER w AS a2, lead(b) OVER w AS b2 FROM s WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY k)), p AS (SELECT c_nationkey, c_mktsegment, least(b, b2) - greatest(a, a2) AS common, greatest(b, b2) - least(a, a2) AS span FROM n WHERE a2 IS NOT NULL) SELECT c_nationkey, c_mktsegment, count(*) AS n_pairs, round(avg(CASE WHEN common <= 0 OR span <= 0 THEN 0.0::DOUBLE ELSE common / span END), 6) AS mean_overlap FROM p GROUP BY 1, 2",
-    "decoy_pairs": "SELECT regexp_replace(accession, '^DECOY_', '') AS base_accession, CAST(sum((NOT starts_with(accession, 'DECOY_'))::INT) AS BIGINT) AS n_target, CAST(sum(starts_with(accession, 'DECOY_')::INT) AS BIGINT) AS n_decoy FROM psms WHERE regexp_full_match(accession, '[A-Za-z0-9_-]+') GROUP BY 1",
+    "time_band_join": "WITH x AS (SELECT psm_id, full_file_path, precursor_charge, round(scan_retention_time, 2) AS apex FROM psms WHERE scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time)) SELECT a.psm_id AS precursor_id, b.psm_id AS fragment_id FROM x a JOIN x b ON a.full_file_path = b.full_file_path AND a.precursor_charge < b.precursor_charge AND b.apex BETWEEN a.apex - 0.5 AND a.apex + 0.5",
+    "overlap_join": "WITH s AS (SELECT o_custkey AS k, date_diff('day', DATE '1990-01-01', CAST(min(o_orderdate) AS DATE)) AS a, date_diff('day', DATE '1990-01-01', CAST(max(o_orderdate) AS DATE)) AS b, any_value(c_nationkey) AS c_nationkey, any_value(c_mktsegment) AS c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), p AS (SELECT c_nationkey, c_mktsegment, least(x.b, y.b) - greatest(x.a, y.a) AS common, greatest(x.b, y.b) - least(x.a, y.a) AS span FROM s x JOIN s y USING (c_nationkey, c_mktsegment) WHERE x.k < y.k) SELECT c_nationkey, c_mktsegment, count(*) AS n_pairs, round(avg(CASE WHEN common <= 0 OR span <= 0 THEN 0.0::DOUBLE ELSE common / span END), 6) AS mean_overlap FROM p GROUP BY 1, 2",
+    "decoy_pairs": "WITH a AS (SELECT unnest(list_distinct(regexp_extract_all(accession, '[A-Za-z0-9_-]+'))) AS accession FROM psms) SELECT regexp_replace(accession, '^DECOY_', '') AS base_accession, CAST(sum((NOT starts_with(accession, 'DECOY_'))::INT) AS BIGINT) AS n_target, CAST(sum(starts_with(accession, 'DECOY_')::INT) AS BIGINT) AS n_decoy FROM a GROUP BY 1",
     "shared_sequences": "SELECT psm_id FROM psms WHERE base_sequence IN (SELECT base_sequence FROM spectral_matches WHERE base_sequence IS NOT NULL)",
     "reporter_ions": "SELECT vec_id, " + ", ".join(f"round(greatest(list_max(list_transform(embedding[{8 * k + 3}:{8 * k + 5}], lambda x: CAST(x AS DOUBLE))), 0.0), 6) AS reporter_{k + 1}" for k in range(8)) + " FROM embeddings",
     "coisolated": "SELECT full_file_path, scan_number, count(*) AS n, array_to_string(list_sort(list(DISTINCT psm_id)), ',') AS psm_ids FROM psms WHERE scan_number IS NOT NULL AND precursor_mz IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
