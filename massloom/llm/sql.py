@@ -19,6 +19,34 @@ cells AS (
   UNION ALL SELECT file_id, scan_number, match_id, rn, 'accession' FROM ranked WHERE n > 1 AND coalesce(trim(accession), '') <> '')
 """
 
+#: Every choice of a group's candidates is tried: the least loss, ties by the losses of the earlier bundles.
+_BUNDLES = """
+grouped AS (SELECT * FROM ranked WHERE n > 1),
+marked AS (
+  SELECT *, coalesce(trim(base_sequence), '') <> '' AND coalesce(trim(full_sequence), '') <> '' AS has_sequence, coalesce(trim(accession), '') <> '' AS has_protein FROM grouped),
+groups AS (SELECT DISTINCT file_id, scan_number FROM grouped),
+one AS (
+  SELECT file_id, scan_number, base_sequence AS x, full_sequence AS y, min(rn) AS rn FROM marked WHERE has_sequence GROUP BY ALL),
+two AS (SELECT file_id, scan_number, precursor_charge AS z, min(rn) AS rn FROM marked WHERE precursor_charge IS NOT NULL GROUP BY ALL),
+three AS (SELECT file_id, scan_number, accession AS w, min(rn) AS rn FROM marked WHERE has_protein GROUP BY ALL),
+a AS (SELECT *, row_number() OVER g - 1 AS la FROM one WINDOW g AS (PARTITION BY file_id, scan_number ORDER BY rn)
+  UNION ALL SELECT file_id, scan_number, NULL, NULL, NULL, (SELECT count(*) FROM one o WHERE o.file_id = g.file_id AND o.scan_number = g.scan_number) FROM groups g),
+b AS (SELECT *, row_number() OVER g - 1 AS lb FROM two WINDOW g AS (PARTITION BY file_id, scan_number ORDER BY rn)
+  UNION ALL SELECT file_id, scan_number, NULL, NULL, (SELECT count(*) FROM two o WHERE o.file_id = g.file_id AND o.scan_number = g.scan_number) FROM groups g),
+c AS (SELECT *, row_number() OVER g - 1 AS lc FROM three WINDOW g AS (PARTITION BY file_id, scan_number ORDER BY rn)
+  UNION ALL SELECT file_id, scan_number, NULL, NULL, (SELECT count(*) FROM three o WHERE o.file_id = g.file_id AND o.scan_number = g.scan_number) FROM groups g),
+charges AS (SELECT DISTINCT file_id, scan_number, full_sequence AS y, precursor_charge AS z FROM marked WHERE has_sequence AND precursor_charge IS NOT NULL),
+owners AS (SELECT DISTINCT file_id, scan_number, base_sequence AS x, accession AS w FROM marked WHERE has_sequence AND has_protein),
+choices AS (
+  SELECT a.file_id, a.scan_number, a.rn AS ra, b.rn AS rb, c.rn AS rc, la, lb, lc FROM a JOIN b USING (file_id, scan_number) JOIN c USING (file_id, scan_number)
+  LEFT JOIN charges h ON h.file_id = a.file_id AND h.scan_number = a.scan_number AND h.y = a.y AND h.z = b.z
+  LEFT JOIN owners o ON o.file_id = a.file_id AND o.scan_number = a.scan_number AND o.x = a.x AND o.w = c.w
+  WHERE (a.y IS NULL OR b.z IS NULL OR h.y IS NOT NULL) AND (a.x IS NULL OR c.w IS NULL OR o.x IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY a.file_id, a.scan_number ORDER BY la + lb + lc, la, lb, lc) = 1),
+taken AS (
+  SELECT file_id, scan_number, 'sequence' AS bundle_name, ra AS rn FROM choices UNION ALL SELECT file_id, scan_number, 'charge', rb FROM choices UNION ALL SELECT file_id, scan_number, 'protein', rc FROM choices)
+"""
+
 _TERMS = f"""
 tokens AS (
   SELECT 'full_sequence' AS field_name, psm_id, unnest(string_split(full_sequence, '|')) AS term FROM psms
@@ -55,6 +83,7 @@ SQL = {
           SELECT psm_id, row_number() OVER (PARTITION BY base_sequence ORDER BY score DESC, psm_id) AS place_no FROM psms
           WHERE trim(base_sequence, {_WHITE}) <> '' AND score IS NOT NULL AND NOT isnan(score)) WHERE place_no <= 3""",
     "p5_found": f"WITH {_MATCHES} SELECT file_id, scan_number, field_name, arg_min(match_id, rn) AS match_id FROM cells GROUP BY ALL",
+    "p5_bundles": f"WITH {_MATCHES}, {_BUNDLES} SELECT t.file_id, t.scan_number, bundle_name, match_id FROM taken t JOIN ranked r ON r.rn = t.rn",
     "p6_terms": f"WITH {_TERMS} SELECT * FROM terms",
     "p6_found": f"WITH {_TERMS} SELECT field_name, term, mark FROM terms WHERE mark IS NOT NULL",
     "p7_found": f"""

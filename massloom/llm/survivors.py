@@ -3,10 +3,10 @@
 A bundle is a set of fields that must come from one record. Of each bundle the candidates are its distinct filled values, each
 with the most trusted record that has it; the loss of a candidate is the number of more trusted ones. The result has the least total loss
 among the choices that keep the given dependencies: a dependency between fields of two bundles holds if the two values occur together in
-some record of the group. The search is branch-and-bound. Its root takes the best candidate of every bundle, which is a
-partial minimum of the JVM whatever the size of the group; a group whose root keeps all dependencies has loss 0 and is done. The others
-are searched among their k best candidates; outside those any choice loses at least k, so a solution that loses less is the best of
-all. What isn't settled is searched again with a larger k.
+some record of the group. The search is branch-and-bound over lists of the k best candidates of each bundle, k growing round by round. In
+the first round k is 1 and the candidates are partial minima of the JVM whatever the size of the group, so a hot group is never collected.
+Outside its lists any choice loses at least k, so a solution that loses less is the best of all; the groups left over are searched
+again with a larger k.
 """
 
 from __future__ import annotations
@@ -100,19 +100,13 @@ def survivors(rows: DataFrame, keys: Sequence[str], record: str, trust: Sequence
     best = [F.min(F.when(F.col(f"b{i}").isNotNull(), F.struct("rank", f"b{i}") if dependencies else F.struct("rank"))).alias(f"m{i}") for i in range(len(names))]
     root = take.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *best).filter(F.col("n") >= at_least)
     ids = F.array(*[F.col(f"m{i}.rank.record") for i in range(len(names))])
-    if not dependencies:
-        return _as_rows(root.select("group", ids.alias("ids")), keys, names)
-
     place = {f: (i, j) for i, b in enumerate(names) for j, f in enumerate(bundles[b])}
     apart = [(place[x], place[y]) for x, y in dependencies if place[x][0] != place[y][0]]
-    root = materialize(root, "roots")
-    checked = root.select("group", ids.alias("ids"), *[F.col(f"m{i}.b{i}").alias(f"b{i}") for i in range(len(names))])
-    for d, ((a, fa), (b, fb)) in enumerate(apart):
-        seen = _together(take, (a, fa), (b, fb)).select(F.col("group").alias("g"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.lit(True).alias(f"ok{d}"))
-        x, y = F.col(f"b{a}")[fa], F.col(f"b{b}")[fb]
-        checked = checked.join(seen, (F.col("group") == F.col("g")) & (x == F.col("gx")) & (y == F.col("gy")), "left").withColumn(f"ok{d}", F.coalesce(f"ok{d}", x.isNull() | y.isNull())).drop("g", "gx", "gy")
-    checked = materialize(checked.select("group", "ids", _all([F.col(f"ok{d}") for d in range(len(apart))]).alias("settled")), "checked")
-    parts, unsettled, k = [checked.filter("settled").select("group", "ids")], checked.filter("NOT settled").select("group"), FIRST_K
+    first = _first_round(root, take, len(names), apart, ids)
+    if not apart:  # nothing can hold a group back, so the first round settles all
+        return _as_rows(first.select("group", "ids"), keys, names)
+    first = materialize(first, "searched")
+    parts, unsettled, k = [first.filter("settled").select("group", "ids")], first.filter("NOT settled").select("group"), FIRST_K
     while not unsettled.isEmpty():
         found = materialize(_searched(take.join(unsettled, "group", "left_semi"), len(names), apart, k), "searched")
         parts.append(found.filter("settled").select("group", "ids"))
@@ -123,6 +117,37 @@ def survivors(rows: DataFrame, keys: Sequence[str], record: str, trust: Sequence
     return _as_rows(out, keys, names)
 
 
+def _first_round(root: DataFrame, take: DataFrame, n_bundles: int, apart: Sequence[tuple[tuple[int, int], tuple[int, int]]], ids: Column) -> DataFrame:
+    """(group, ids, settled) by the search among the best candidate of each bundle."""
+    values = [F.col(f"m{i}.b{i}") if apart else F.col(f"m{i}").isNotNull() for i in range(n_bundles)]
+    checked = root.select("group", ids.alias("ids"), *[v.alias(f"b{i}") for i, v in enumerate(values)])
+    if apart:
+        checked = materialize(checked, "roots")
+    for d, ((a, fa), (b, fb)) in enumerate(apart):
+        seen = _together(take, (a, fa), (b, fb)).select(F.col("group").alias("g"), F.col("x").alias("gx"), F.col("y").alias("gy"), F.lit(True).alias(f"ok{d}"))
+        x, y = F.col(f"b{a}")[fa], F.col(f"b{b}")[fb]
+        checked = checked.join(seen, (F.col("group") == F.col("g")) & (x == F.col("gx")) & (y == F.col("gy")), "left").withColumn(f"ok{d}", F.coalesce(f"ok{d}", F.lit(False))).drop("g", "gx", "gy")
+
+    @F.pandas_udf("struct<taken array<boolean>, settled boolean>")
+    def search(*columns: pd.Series) -> pd.DataFrame:
+        bundles, fits = columns[:n_bundles], columns[n_bundles:]
+        rows = []
+        for g in range(len(bundles[0])):
+            # Without dependencies the values don't matter, only whether there is one.
+            options = [[tuple(v)] if apart and v is not None else [(True,)] if not apart and v else [] for v in (b.iat[g] for b in bundles)]
+            allowed = []
+            for d, ((a, fa), (b, fb)) in enumerate(apart):
+                pair = {(options[a][0][fa], options[b][0][fb])} if fits[d].iat[g] and options[a] and options[b] else set()
+                allowed.append((a, fa, b, fb, pair))
+            loss, chosen = best_choice([o + [NONE] for o in options], allowed)
+            rows.append(([c < len(o) for c, o in zip(chosen, options, strict=True)], loss < 1))
+        return pd.DataFrame(rows, columns=["taken", "settled"])
+
+    out = checked.withColumn("result", search(*[f"b{i}" for i in range(n_bundles)], *[f"ok{d}" for d in range(len(apart))]))
+    taken = F.transform(F.arrays_zip(F.col("ids").alias("id"), F.col("result.taken").alias("taken")), lambda p: F.when(p["taken"], p["id"]))
+    return out.select("group", taken.alias("ids"), F.col("result.settled").alias("settled"))
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
