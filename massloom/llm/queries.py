@@ -14,15 +14,21 @@ from massloom.llm.sql import SQL
 from massloom.llm.survivors import descending, survivors
 from massloom.llm.term_counts import count_terms, separators
 from massloom.llm.tokens import count_tokens, encode_texts
-from massloom.llm.top_n import cluster_rows, top_n
+from massloom.llm.top_n import kept_layout, skipped_row_groups, top_n
 from massloom.session import materialize, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = cluster_rows(table(spark, sf_dir, "psms"), "psm_id", "base_sequence", "score")
+    path = kept_layout(table(spark, sf_dir, "psms"), "psm_id", "base_sequence", "score")
     return top_n(spark, path, 3).select(F.col("key").alias("psm_id"), "place_no")
 
 
+def p3_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p3_found reads of its layout, all files together."""
+    path = kept_layout(table(spark, sf_dir, "psms"), "psm_id", "base_sequence", "score")
+    return skipped_row_groups(spark, path, 3).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_row_groups", "n_read", "n_skipped")])
+
+
 def file_key(path: Column) -> Column:
     """The bare lower-case file name of a path, whether quoted, a URL, of either slash, escaped, relative or padded.
 
@@ -126,5 +132,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p3_found, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids, p9_containers, p9_one_capacity, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p3_found, p3_skipped, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids, p9_containers, p9_one_capacity, p9_fill, p10_found)}
 __all__ = ["QUERIES", "SQL"]

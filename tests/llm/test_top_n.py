@@ -1,7 +1,7 @@
 import random
 
 from massloom.llm import top_n as module
-from massloom.llm.top_n import cluster_rows, top_n
+from massloom.llm.top_n import cluster_rows, kept_layout, skipped_row_groups, top_n
 
 
 def brute(rows, n):
@@ -26,14 +26,39 @@ def test_against_brute_force_with_skew_and_ties(spark):
 
 
 def test_skipping_loses_nothing_and_skips(spark, monkeypatch):
-    """Row groups of a hot group, tiny ones, so that most can be skipped."""
-    monkeypatch.setattr(module, "ROW_GROUP_BYTES", 2048)
+    """Row groups of a hot group, small ones, so that most can be skipped."""
+    monkeypatch.setattr(module, "ROW_GROUP_ROWS", 200)
     rng = random.Random(6)
     rows = [(i, "hot" if i % 2 else f"g{rng.randrange(50)}", rng.random()) for i in range(20_000)]
     df = spark.createDataFrame(rows, "key long, group_value string, score double")
     path = cluster_rows(df, "key", "group_value", "score")
     out = sorted((r.key, r.group_value, r.place_no) for r in top_n(spark, path, 3).collect())
     assert out == brute(rows, 3)
+    total, read, skipped = skipped_row_groups(spark, path, 3).groupBy().sum("n_row_groups", "n_read", "n_skipped").first()
+    assert read + skipped == total >= 100
+    # The hot group has 50 row groups, of which each file that holds it needs one or two.
+    assert skipped >= 30
+
+
+def test_ties_at_the_nth_score_are_not_skipped(spark, monkeypatch):
+    """Only row groups strictly below the N-th score go: of equal scores the least key may be in any of them."""
+    monkeypatch.setattr(module, "ROW_GROUP_ROWS", 100)
+    rows = [(i, "hot", 2.0 if i >= 4000 else 1.0) for i in range(8000)]
+    df = spark.createDataFrame(rows, "key long, group_value string, score double")
+    path = cluster_rows(df, "key", "group_value", "score")
+    assert sorted((r.key, r.place_no) for r in top_n(spark, path, 2).collect()) == [(4000, 1), (4001, 2)]
+    assert skipped_row_groups(spark, path, 2).groupBy().sum("n_skipped").first()[0] > 0
+
+
+def test_a_layout_is_written_once_for_the_same_files(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", 1.0)], "key long, group_value string, score double").write.parquet(at)
+    first = kept_layout(spark.read.parquet(at), "key", "group_value", "score")
+    assert kept_layout(spark.read.parquet(at), "key", "group_value", "score") == first
+    assert kept_layout(spark.read.parquet(at).filter("key > 5"), "key", "group_value", "score") != first
+    spark.createDataFrame([(2, "a", 2.0)], "key long, group_value string, score double").write.mode("append").parquet(at)
+    again = kept_layout(spark.read.parquet(at), "key", "group_value", "score")
+    assert again != first and [(r.key, r.place_no) for r in top_n(spark, again, 1).collect()] == [(2, 1)]
 
 
 def test_same_scores_everywhere(spark):
