@@ -1,8 +1,9 @@
 """Rows of delimited text that fail to parse, apart from those that load.
 
-Structure (quoting, cell count) is checked on the line alone. Values are checked once for each distinct value of a column: the
-invalid ones form a dictionary with reasons that is joined back. What is right most of the time, such as a hot `1`, is in no
-dictionary, and the probing side is salted so that it may hold any share of the rows.
+Lines are parsed once and written with a row number. Structure (quoting, cell count) is checked on the line alone. Each distinct value
+of a column is cast and checked once: the invalid ones form a dictionary with reasons that is joined back. What is right most of the time,
+such as a hot `1`, is in no dictionary. A small dictionary is broadcast after a check of its size; else the probing side is salted so that
+a value may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.text import bound, is_blank, strip
+from massloom.session import materialize
 
 #: A tab inside quotes and the escape itself, while a line is split at its other tabs.
 _ESCAPE = "\x01"
-#: Copies of the dictionary of invalid values, so that rows with one hot value are spread over as many tasks.
+#: A dictionary of invalid values of at most so many characters, and rows of 100 each, is broadcast.
+BROADCAST_CHARS = 16 << 20
+#: Copies of a larger dictionary, so that rows with one hot value are spread over as many tasks.
 SALTS = 16
 
 
@@ -101,24 +105,33 @@ def invalid_values(parsed: DataFrame, rules: tuple[CellRule, ...] = DESIGN_RULES
     return distinct.select("place", "value", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+def _checked(lines: DataFrame, key: str, text: str, rules: tuple[CellRule, ...]) -> tuple[DataFrame, DataFrame]:
+    """(the parsed lines with a row number, (row, reason) of those with an invalid value)."""
+    parsed = materialize(parse_lines(lines, key, text, rules).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    bad = materialize(invalid_values(parsed, rules), "invalid")
+    chars = bad.agg(F.coalesce(F.sum(F.length("value") + 100), F.lit(0))).first()[0]
+    cells = parsed.filter("structure IS NULL").select("row", F.posexplode("cells").alias("place", "value"))
+    if chars <= BROADCAST_CHARS:
+        hits = cells.join(F.broadcast(bad), ["place", "value"])
+    else:
+        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = cells.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["salt", "place", "value"])
+    return parsed, hits.groupBy("row").agg(F.min(F.struct("place", "reason")).alias("first")).select("row", F.col("first.reason").alias("reason"))
+
+
 def bad_rows(lines: DataFrame, key: str, text: str, rules: tuple[CellRule, ...] = DESIGN_RULES) -> DataFrame:
     """(`key`, line, reason) of each line that fails; the first reason in the order quoting, column_count, then the columns'.
 
-    Lines with the same key and text come out once each time they occur when their structure fails, and once altogether when a value
-    fails; a null key is a key. An empty table gives no rows.
+    Repeated lines come out as often as they occur; a null key is a key. An empty table gives no rows.
     """
-    parsed = parse_lines(lines, key, text, rules)
-    bad = invalid_values(parsed, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cells = parsed.filter("structure IS NULL").select("key", "line", F.pmod(F.xxhash64("key", "line"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("cells").alias("place", "value"))
-    by_value = cells.join(bad, ["salt", "place", "value"]).groupBy("key", "line").agg(F.min(F.struct("place", "reason")).alias("first"))
+    parsed, by_value = _checked(lines, key, text, rules)
     by_structure = parsed.filter("structure IS NOT NULL").select("key", "line", F.col("structure").alias("reason"))
-    found = by_structure.unionByName(by_value.select("key", "line", F.col("first.reason").alias("reason")))
+    found = by_structure.unionByName(parsed.join(by_value, "row").select("key", "line", "reason"))
     return found.withColumnRenamed("key", key)
 
 
 def good_rows(lines: DataFrame, key: str, text: str, rules: tuple[CellRule, ...] = DESIGN_RULES) -> DataFrame:
     """The other lines as typed columns beside `key`."""
-    parsed = parse_lines(lines, key, text, rules).filter("structure IS NULL")
-    bad = bad_rows(lines, key, text, rules).select(F.col(key).alias("bad_key"), F.col("line").alias("bad_line"))
-    kept = parsed.join(bad, F.col("key").eqNullSafe(F.col("bad_key")) & (F.col("line") == F.col("bad_line")), "left_anti")
+    parsed, by_value = _checked(lines, key, text, rules)
+    kept = parsed.filter("structure IS NULL").join(by_value, "row", "left_anti")
     return kept.select(F.col("key").alias(key), *[r.typed(F.col("cells")[i]).alias(r.name) for i, r in enumerate(rules)])

@@ -26,26 +26,35 @@ def _matched_brackets(text: str) -> set[int]:
     """Places of the brackets that have a partner."""
     stack: list[int] = []
     matched: set[int] = set()
+    open_of = dict.fromkeys(")]}", 0)  # open brackets by their closer, so a closer without one costs nothing
     for at, ch in enumerate(text):
         if ch in _CLOSERS:
             stack.append(at)
-        elif ch in ")]}":
-            for k in range(len(stack) - 1, -1, -1):
-                if _CLOSERS[text[stack[k]]] == ch:
-                    matched.add(stack[k])
-                    matched.add(at)
-                    del stack[k:]
+            open_of[_CLOSERS[ch]] += 1
+        elif open_of.get(ch):
+            while True:  # open ones within the pair have no partner
+                last = stack.pop()
+                closer = _CLOSERS[text[last]]
+                open_of[closer] -= 1
+                if closer == ch:
                     break
+            matched.add(last)
+            matched.add(at)
     return matched
 
 
-def _closing_quote(text: str, at: int, delimiters: str) -> int:
-    """The place of the quote that closes the one at `at` and is followed by a delimiter or the end; -1 if there is none."""
+def _closing_quote(text: str, at: int, delimiters: str, dead: set[int]) -> int:
+    """The place of the quote that closes the one at `at` and is followed by a delimiter or the end; -1 if there is none.
+
+    `dead` holds the places from which earlier searches came to nothing, so that no stretch is searched twice.
+    """
     end = at + 1
+    seen = []
     while True:
         end = text.find('"', end)
-        if end < 0:
-            return -1
+        if end < 0 or end in dead:
+            break
+        seen.append(end)
         if text[end - 1] == "\\" and end - 1 > at:
             end += 1
         elif text.startswith('""', end):
@@ -54,7 +63,11 @@ def _closing_quote(text: str, at: int, delimiters: str) -> int:
             after = end + 1
             while after < len(text) and text[after] in WHITE and text[after] not in delimiters:
                 after += 1
-            return end if after == len(text) or text[after] in delimiters else -1
+            if after == len(text) or text[after] in delimiters:
+                return end
+            break
+    dead.update(seen)
+    return -1
 
 
 def tokenize(text: str, delimiters: str) -> list[tuple[int, int, str | None]]:
@@ -64,12 +77,13 @@ def tokenize(text: str, delimiters: str) -> list[tuple[int, int, str | None]]:
     pieces: list[tuple[int, int, str | None]] = []
     start = at = depth = 0
     quoted: str | None = None
+    dead: set[int] = set()
     fresh = True  # nothing but white space since the last delimiter
     size = len(text)
     while at < size:
         ch = text[at]
         if fresh and ch == '"' and not unclosed:
-            end = _closing_quote(text, at, delimiters)
+            end = _closing_quote(text, at, delimiters, dead)
             if end < 0:
                 unclosed = text.find('"', at + 1) < 0
                 fresh = False

@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDERS: list[str] = []
+_SCOPES: list[list[str]] = []
 
 
 def build_session(app: str = "massloom", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -35,25 +39,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset, a local one of this process."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset and the executors run in this process, a local one.
+
+    On a cluster a folder of this machine isn't shared, so the setting must be there.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         if not _OWN_FOLDERS:
             _OWN_FOLDERS.append(tempfile.mkdtemp(prefix="massloom-"))
             atexit.register(shutil.rmtree, _OWN_FOLDERS[0], ignore_errors=True)
         at = f"file://{_OWN_FOLDERS[0]}"
+    if "://" not in at and not at.startswith("file:"):
+        # Named in full, so that it can be deleted without a session too.
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)).toString()
     return at.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; it is deleted when the driver's process ends."""
+    """A path in the shared folder that nothing has used. It belongs to the innermost `released` block, else to the process, and is deleted at its end."""
     path = f"{shared_folder(spark)}/massloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(delete_path, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(delete_path, spark, path)
     return path
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside the block are deleted at its end; the result has to be written inside too.
+
+    For callers that live long, such as streams: a DataFrame is lazy, so an operator can't know when its tables aren't needed any more.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `materialize` made and that no result reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a written table; a session that has ended only has local files deleted."""
+    """Delete a written table; where the session has ended, local files still go."""
     if path.startswith("file:"):
         here = local_path(path)
         if os.path.isfile(here):
@@ -65,8 +101,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the context may be gone at exit
-        pass
+    except Exception as e:
+        # At exit the context may be gone; the table is named, so that it can be deleted by hand.
+        print(f"massloom: {path} is left: {type(e).__name__}", file=sys.stderr)
 
 
 def local_path(path: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from massloom.operators.fdr import q_values
+from massloom.session import released
 
 
 def arriving(spark: SparkSession, folder: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -24,15 +25,17 @@ def counts_by_window(matches: DataFrame, time: str = "loaded_at", key: str = "fu
 
 
 def refreshed_q_values(matches: DataFrame, store: str, on_result: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Append each batch to `store` under its number and hand the q-values over all stored matches to `on_result`.
+    """Append each batch to `store` under its number and hand the q-values over all stored matches to `on_result`, which writes them.
 
-    A batch that is run again overwrites its own part, so each match counts once.
+    A batch that is run again overwrites its own part, so each match counts once. Every q-value depends on all matches, so all are read; only
+    the three columns needed are. What the batch wrote on the way is deleted at its end.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        rows = spark.read.parquet(store).filter("score IS NOT NULL AND NOT isnan(score) AND decoy IS NOT NULL").withColumn("is_decoy", F.col("decoy") == "Y")
-        on_result(q_values(rows, [-F.col("score"), F.col("psm_id")], F.col("is_decoy")), number)
+        rows = spark.read.parquet(store).filter("score IS NOT NULL AND NOT isnan(score) AND decoy IS NOT NULL").select("psm_id", "score", (F.col("decoy") == "Y").alias("is_decoy"))
+        with released(spark):
+            on_result(q_values(rows, [-F.col("score"), F.col("psm_id")], F.col("is_decoy")), number)
 
     return matches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

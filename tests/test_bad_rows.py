@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from massloom.operators import bad_rows as module
 from massloom.operators.bad_rows import bad_rows, good_rows
 
 ROWS = [
@@ -19,7 +20,9 @@ ROWS = [
 ]
 
 
-def test_reasons(spark):
+@pytest.mark.parametrize("broadcast_chars", [16 << 20, 0])
+def test_reasons(spark, monkeypatch, broadcast_chars):
+    monkeypatch.setattr(module, "BROADCAST_CHARS", broadcast_chars)
     df = spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(ROWS)], "line_id long, raw_line string, reason string, cells string")
     found = {r.line_id: r.reason for r in bad_rows(df, "line_id", "raw_line").collect()}
     assert found == {i: want for i, (_, want) in enumerate(ROWS) if want}
@@ -35,7 +38,7 @@ def test_empty_table_null_keys_and_repeats(spark):
     assert good_rows(empty, "line_id", "raw_line").count() == 0
     rows = [(None, "bad"), (None, "bad"), (None, "a.raw\tWT\t1\t1\t1"), (1, "a.raw\tWT\t0\t1\t1"), (1, "a.raw\tWT\t0\t1\t1")]
     df = spark.createDataFrame(rows, "line_id long, raw_line string")
-    assert sorted(r.reason for r in bad_rows(df, "line_id", "raw_line").collect()) == ["biorep", "column_count", "column_count"]
+    assert sorted(r.reason for r in bad_rows(df, "line_id", "raw_line").collect()) == ["biorep", "biorep", "column_count", "column_count"]
     assert good_rows(df, "line_id", "raw_line").count() == 1
 
 

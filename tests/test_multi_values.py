@@ -1,9 +1,11 @@
 import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from massloom.operators.multi_values import CODE_DELIMITERS, NAME_DELIMITERS, listed_values, runs, split_values, tokenize, values
+from massloom.operators.multi_values import CODE_DELIMITERS, NAME_DELIMITERS, _matched_brackets, listed_values, runs, split_values, tokenize, values
 
 
 def test_values():
@@ -64,3 +66,16 @@ def test_order_of_delimiters_does_not_matter():
         names = [rng.choice("ABCD") + str(rng.randrange(9)) for _ in range(rng.randrange(2, 6))]
         cell = names[0] + "".join(rng.choice(["|", "; ", " / ", ",", "\t", "||"]) + n for n in names[1:])
         assert values(cell, CODE_DELIMITERS) == names
+
+
+@pytest.mark.parametrize("cell", ["(" * 100_000 + "]" * 100_000, "([{" * 40_000 + ")" * 40_000, ',"""' * 40_000, ',"a"b' * 40_000, "((" * 50_000])
+def test_hostile_cells_take_linear_time(cell):
+    began = time.process_time()
+    tokenize(cell, "|;,/")
+    assert time.process_time() - began < 1.5
+
+
+def test_brackets_of_other_kinds_within_a_pair():
+    assert _matched_brackets("([)]") == {0, 2}
+    assert _matched_brackets("(a]b)") == {0, 4}
+    assert _matched_brackets("{[(]}") == {0, 1, 3, 4}

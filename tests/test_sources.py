@@ -1,10 +1,12 @@
 import base64
+import os
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from massloom.session import local_path, shared_folder
 from massloom.sources import readers, writers
 from massloom.streaming.matches import arriving, counts_by_window, refreshed_q_values
 
@@ -107,6 +109,27 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert [(r.n_psms, r.n_good) for r in spark.table("counts").collect()] == [(40, 32)]
     sizes = {}
+    left = set(os.listdir(local_path(shared_folder(spark))))
     q = refreshed_q_values(stream, str(tmp_path / "store"), lambda df, n: sizes.__setitem__(n, df.count()), str(tmp_path / "cp"))
     q.awaitTermination(90)
     assert max(sizes.values()) == 40
+    assert set(os.listdir(local_path(shared_folder(spark)))) == left  # what the batches wrote on the way is gone
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf = Conf()
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
