@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from massloom.functions.masses import overlap_ratio
+from massloom.functions.text import bound
 from massloom.operators.joins import band_join
 
 
@@ -36,40 +35,68 @@ def traces(peaks: DataFrame, keys: Sequence[str], scan: str, mz: str, intensity:
     return out.filter(F.col("n_peaks") >= least).select(*keys, trace, "n_peaks", "mean_mz", "apex_scan", "start", "end", "points")
 
 
+def _centred_correlation(u: np.ndarray, v: np.ndarray) -> float:
+    u, v = u - u.mean(), v - v.mean()
+    d = np.sqrt((u * u).sum() * (v * v).sum())
+    return float((u * v).sum() / d) if d > 0 else 0.0
+
+
 def pearson(a: Sequence, b: Sequence) -> float:
     """The correlation of two traces over their common scans, missing points as 0; NaN under three points, 0 without variance."""
     x, y = {p["scan"]: p["intensity"] for p in a}, {p["scan"]: p["intensity"] for p in b}
     lo, hi = max(min(x), min(y)), min(max(x), max(y))
     if hi - lo + 1 < 3:
         return float("nan")
-    u, v = (np.array([t.get(s, 0.0) for s in range(lo, hi + 1)]) for t in (x, y))
-    u, v = u - u.mean(), v - v.mean()
-    d = np.sqrt((u * u).sum() * (v * v).sum())
-    return float((u * v).sum() / d) if d > 0 else 0.0
+    return _centred_correlation(*(np.array([t.get(s, 0.0) for s in range(lo, hi + 1)]) for t in (x, y)))
+
 
+def umpire_correlation(a: Sequence, b: Sequence, points_per_interval: int = 150) -> float:
+    """The correlation of two traces as their highest points in equal intervals of time.
 
-def umpire_correlation(a: Sequence, b: Sequence, bins: int = 20) -> float:
-    """The correlation of the highest points of equal time bins, gaps filled by lines; NaN under six bins."""
-    lo, hi = min(p["scan"] for p in (*a, *b)), max(p["scan"] for p in (*a, *b))
-    n = min(bins, hi - lo + 1)
-    if n < 6:
+    Intervals are two units over `points_per_interval` long and begin at the later of the two starts; there are half as many as the longer trace
+    has points, and fewer than six give NaN. A point on the border of two intervals is in neither. An empty interval between others gets the
+    mean of its neighbours, from left to right.
+    """
+    count, width = max(len(a), len(b)) // 2, 2.0 / points_per_interval
+    if count < 6:
         return float("nan")
+    begin = max(min(p["scan"] for p in a), min(p["scan"] for p in b))
     sides = []
     for t in (a, b):
-        top = np.full(n, np.nan)
-        for p in t:
-            i = min(int((p["scan"] - lo) * n / (hi - lo + 1)), n - 1)
-            top[i] = np.nanmax([top[i], p["intensity"]])
-        known = np.flatnonzero(~np.isnan(top))
-        sides.append(np.interp(np.arange(n), known, top[known], left=0.0, right=0.0))
-    u, v = (s - s.mean() for s in sides)
-    d = np.sqrt((u * u).sum() * (v * v).sum())
-    return float((u * v).sum() / d) if d > 0 else 0.0
-
-
-@F.pandas_udf(T.DoubleType())
-def pearson_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([pearson(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        at = np.array([(p["scan"] - begin) / width for p in t])
+        place = np.floor(at)
+        inside = (place >= 0) & (place < count) & ((at > place) | (place == 0))
+        top = np.zeros(count)
+        np.maximum.at(top, place[inside].astype(int), np.array([p["intensity"] for p in t])[inside])
+        for i in range(1, count - 1):
+            if top[i] == 0:
+                top[i] = (top[i - 1] + top[i + 1]) / 2
+        sides.append(top)
+    return _centred_correlation(*sides)
+
+
+def correlation_of(a: str, b: str) -> Column:
+    """`pearson` of two columns of points, by built-in functions: the common scans' sums are taken in one pass over aligned arrays."""
+    first, last = (lambda c: F.array_min(F.transform(c, lambda p: p["scan"]))), (lambda c: F.array_max(F.transform(c, lambda p: p["scan"])))
+    lo, hi = F.greatest(first(a), first(b)), F.least(last(a), last(b))
+    inside = lambda c, x: F.filter(c, lambda p: p["scan"].between(x["lo"], x["hi"]))
+
+    def total(points: Column, of) -> Column:
+        return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + of(p))
+
+    def worked(x: Column) -> Column:
+        n = (x["hi"] - x["lo"] + 1).cast("double")
+        pa, pb = inside(a, x), inside(b, x)
+        by_scan = F.map_from_entries(F.transform(pb, lambda p: F.struct(p["scan"], p["intensity"])))
+        both = bound(by_scan, lambda m: total(pa, lambda p: p["intensity"] * F.coalesce(F.try_element_at(m, p["scan"]), F.lit(0.0))))
+        sa, sb = total(pa, lambda p: p["intensity"]), total(pb, lambda p: p["intensity"])
+        qa, qb = total(pa, lambda p: p["intensity"] * p["intensity"]), total(pb, lambda p: p["intensity"] * p["intensity"])
+        spread = (qa - sa * sa / n) * (qb - sb * sb / n)
+        # Sums of squares leave a rest of rounding where nothing varies.
+        flat = (qa - sa * sa / n <= qa * 1e-12) | (qb - sb * sb / n <= qb * 1e-12)
+        return F.when(n < 3, float("nan")).when(flat, 0.0).otherwise((both - sa * sb / n) / F.sqrt(spread))
+
+    return bound(F.struct(lo.alias("lo"), hi.alias("hi")), worked)
 
 
 def precursor_groups(precursors: DataFrame, fragments: DataFrame, keys: Sequence[str], apex_tolerance: float, least_overlap: float, least_correlation: float, least_fragments: int = 1, fragment_rank: int = 100, precursor_rank: int = 10) -> DataFrame:
@@ -82,7 +109,7 @@ def precursor_groups(precursors: DataFrame, fragments: DataFrame, keys: Sequence
     b = fragments.select(*keys, F.col("trace").alias("fragment"), F.col("points").alias("pb"), F.col("start").alias("sb"), F.col("end").alias("eb"), F.col("apex_scan").cast("double").alias("apex"))
     near = band_join(a, b, "lo", "hi", "apex", max(4 * apex_tolerance, 1.0), keys)
     near = near.withColumn("overlap", overlap_ratio(F.col("sa"), F.col("ea"), F.col("sb"), F.col("eb"))).filter(F.col("overlap") >= least_overlap)
-    good = near.withColumn("correlation", pearson_of("pa", "pb")).filter(~F.isnan("correlation") & (F.col("correlation") >= least_correlation)).select(*keys, "precursor", "fragment", "overlap", "correlation")
+    good = near.withColumn("correlation", correlation_of("pa", "pb")).filter(~F.isnan("correlation") & (F.col("correlation") >= least_correlation)).select(*keys, "precursor", "fragment", "overlap", "correlation")
     of_precursor, of_fragment = Window.partitionBy(*keys, "precursor"), Window.partitionBy(*keys, "fragment")
     many = good.withColumn("n__", F.count(F.lit(1)).over(of_precursor)).filter(F.col("n__") > least_fragments)
     ranked = many.withColumn("fragment_rank", F.row_number().over(of_precursor.orderBy(F.desc("correlation"), "fragment"))).withColumn("precursor_rank", F.row_number().over(of_fragment.orderBy(F.desc("correlation"), "precursor")))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.functions.masses import ISOTOPE_STEP
+
 
 @dataclass(frozen=True)
 class Acceptor:
@@ -27,7 +29,7 @@ PRESETS = {
     "OneMissedMonoisotopicPeak": Acceptor("OneMissedMonoisotopicPeak", "dot", (0.0, 1.0029), tolerance=5.0),
     "TwoMissedMonoisotopicPeaks": Acceptor("TwoMissedMonoisotopicPeaks", "dot", (0.0, 1.0029, 2.0052), tolerance=5.0),
     "ThreeMissedMonoisotopicPeaks": Acceptor("ThreeMissedMonoisotopicPeaks", "dot", (0.0, 1.0029, 2.0052, 3.0077), tolerance=5.0),
-    "PlusOrMinusThreeMissedMonoisotopicPeaks": Acceptor("PlusOrMinusThreeMissedMonoisotopicPeaks", "dot", (-3.0077, -2.0052, -1.0029, 0.0, 1.0029, 2.0052, 3.0077), tolerance=5.0),
+    "PlusOrMinusThreeMissedMonoisotopicPeaks": Acceptor("PlusOrMinusThreeMissedMonoisotopicPeaks", "dot", tuple(k * ISOTOPE_STEP for k in range(-3, 4)), tolerance=5.0),
     "ModOpen": Acceptor("ModOpen", "interval", intervals=((-187.0, float("inf")),)),
     "Open": Acceptor("Open", "open"),
 }

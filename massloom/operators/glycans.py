@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Masses of the monosaccharides in units of 1e-5 dalton, and their letters in structures.
-MONOSACCHARIDES = {"Hex": 16205282, "HexNAc": 20307937, "NeuAc": 29109542, "NeuGc": 30709033, "Fuc": 14605791, "Phospho": 7996633, "Sulfo": 7995682, "Na": 2198194, "Acetyl": 4201057, "Xylose": 13204226}
-LETTERS = {"H": "Hex", "N": "HexNAc", "A": "NeuAc", "G": "NeuGc", "F": "Fuc", "P": "Phospho", "S": "Sulfo", "Y": "Na", "C": "Acetyl", "X": "Xylose"}
+MONOSACCHARIDES = {"Hex": 16205282, "HexNAc": 20307937, "NeuAc": 29109542, "NeuGc": 30709033, "Fuc": 14605791, "Phospho": 7996633, "Sulfo": 7995681, "Na": 2298977, "Ac": 4201056, "Xylose": 15005282, "Kdn": 25006897}
+LETTERS = {"H": "Hex", "N": "HexNAc", "A": "NeuAc", "G": "NeuGc", "F": "Fuc", "P": "Phospho", "S": "Sulfo", "Y": "Na", "C": "Ac", "X": "Xylose", "K": "Kdn"}
 
 
 def parse_composition(text: str) -> dict[str, int]:
@@ -100,7 +100,7 @@ def child_ions(composition: dict[str, int]) -> list[dict[str, int]]:
     out = []
     for counts in itertools.product(*[range(composition[n] + 1) for n in names]):
         c = {n: k for n, k in zip(names, counts, strict=True) if k}
-        if c.get("HexNAc", 0) >= 1 and c.get("Fuc", 0) <= c.get("HexNAc", 0) and 2 * c.get("NeuAc", 0) >= c.get("Acetyl", 0):
+        if c.get("HexNAc", 0) >= 1 and c.get("Fuc", 0) <= c.get("HexNAc", 0) and 2 * c.get("NeuAc", 0) >= c.get("Ac", 0):
             out.append(c)
     return sorted(out, key=mass_e5)
 

@@ -59,8 +59,8 @@ def fragment_bins(fragments: DataFrame, lo: str, hi: str, per_unit: float) -> Da
 
 
 def with_fallback(rows: DataFrame, library: DataFrame, exact: Sequence[str], fallback: Sequence[str], value: str) -> DataFrame:
-    """`rows` with the library's `value` under the exact key, else under the fallback key (J15); both keys are unique in the library's use."""
-    first = library.select(*exact, F.col(value).alias("exact__")).dropDuplicates(list(exact))
+    """`rows` with the library's `value` under the exact key, else under the fallback key (J15), the least of a repeated key."""
+    first = library.groupBy(*exact).agg(F.min(value).alias("exact__"))
     second = library.groupBy(*fallback).agg(F.min(value).alias("fallback__"))
     out = rows.join(first, list(exact), "left").join(second, list(fallback), "left")
     return out.withColumn(value, F.coalesce("exact__", "fallback__")).withColumn("is_fallback", F.col("exact__").isNull() & F.col("fallback__").isNotNull()).drop("exact__", "fallback__")
@@ -75,16 +75,27 @@ def library_merge(library: DataFrame, found: DataFrame, keys: Sequence[str], ion
     return both.select(*keys, F.when(kept, "library").otherwise("match").alias("taken_from"))
 
 
+#: The most rows of a list, such as one of modifications, that is taken into a plan as literals.
+MOST_LISTED = 10_000
+
+
+def listed(rows: DataFrame, *columns: str) -> list[tuple]:
+    """The distinct rows of a list that doesn't grow with the data, in order; more than MOST_LISTED raise ValueError."""
+    found = [tuple(r) for r in rows.select(*columns).distinct().orderBy(*columns).limit(MOST_LISTED + 1).collect()]
+    if len(found) > MOST_LISTED:
+        raise ValueError(f"more than {MOST_LISTED} rows are no fixed list")
+    return found
+
+
 def pairs_to_sum(singles: DataFrame, targets: DataFrame, mass: str, name: str, target: str, tolerance: float) -> DataFrame:
     """(target row, first, second) with two masses of `singles` that add up to the target within the tolerance, first <= second.
 
-    For fixed lists only: all `singles` go into one row. The second is looked up by a band join on what the first leaves, so the pairs of singles are never all formed.
+    For fixed lists only, of up to MOST_LISTED masses: each target gets a row for each possible first. The second is looked up by a band join
+    on what the first leaves, so the pairs of singles are never all formed.
     """
     width = max(tolerance * 4, 1e-6)
-    small = singles.select(F.col(name).alias("first"), F.col(mass).alias("first_mass"))
-    # The masses themselves, in one row: a table of modifications or residues, whose number doesn't grow with the data.
-    listed = small.agg(F.collect_list(F.struct("first", "first_mass")).alias("firsts__"))
-    left = targets.join(F.broadcast(listed)).select(*targets.columns, F.inline("firsts__"))
+    firsts = F.array(*[F.struct(F.lit(n).alias("first"), F.lit(m).alias("first_mass")) for n, m in listed(singles, name, mass)])
+    left = targets.select(*targets.columns, F.inline(firsts))
     left = left.withColumn("lo__", F.col(target) - F.col("first_mass") - tolerance).withColumn("hi__", F.col(target) - F.col("first_mass") + tolerance)
     seconds = singles.select(F.col(name).alias("second"), F.col(mass).alias("second_mass"))
     out = band_join(left, seconds, "lo__", "hi__", "second_mass", width)

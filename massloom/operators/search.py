@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from massloom.functions.masses import RESIDUES, WATER
 from massloom.functions.text import bound
 from massloom.operators.fdr import best_with_ties
-from massloom.operators.joins import band_join
+from massloom.operators.joins import band_join, listed
 
 #: Where enzymes cut, as a pattern of a piece with the cut at its end.
 ENZYMES = {
@@ -119,8 +119,8 @@ def scrambled(sequence: str, seed: int) -> str:
 def mass_shifts(mods: DataFrame, mass: str, existing: DataFrame, combos: DataFrame, digits: int = 5) -> DataFrame:
     """The distinct mass shifts that a search for new modifications allows: none, each modification, each less an existing one, and pairs."""
     one = mods.select(F.col(mass).alias("shift"))
-    other = existing.select(F.col(mass).alias("off"))
-    less = one.join(F.broadcast(other)).select((F.col("shift") - F.col("off")).alias("shift"))
+    off = F.explode(F.array(*[F.lit(m) for (m,) in listed(existing, mass)]).cast("array<double>"))
+    less = one.select("shift", off.alias("off")).select((F.col("shift") - F.col("off")).alias("shift"))
     pair = combos.select((F.col("first") + F.col("second")).alias("shift"))
     every = one.unionByName(less).unionByName(pair).unionByName(mods.sparkSession.createDataFrame([(0.0,)], "shift double"))
     return every.select(F.round("shift", digits).alias("shift")).distinct()

@@ -79,7 +79,7 @@ def read_protein_xml(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
 
 
 def _numbers(lines: Column, place: int) -> Column:
-    return F.transform(lines, lambda x: F.split(x, r"[\s]+")[place].cast("double"))
+    return F.transform(lines, lambda x: F.split(x, r"[\s]+")[place].try_cast("double"))
 
 
 def read_mgf(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -87,10 +87,10 @@ def read_mgf(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     records = spark.read.option("lineSep", "END IONS").text(paths).select("value", F.col("_metadata.file_path").alias("file")).filter(F.contains("value", F.lit("BEGIN IONS")))
     lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))
     cut = records.withColumn("peaks", F.filter(lines, lambda x: x.rlike(r"^[0-9.]+\s+[0-9.eE+-]+")))
-    mass = _field("value", r"PEPMASS=([0-9.eE+-]+)").cast("double")
+    mass = _field("value", r"PEPMASS=([0-9.eE+-]+)").try_cast("double")
     return cut.select(
-        "file", _field("value", r"TITLE=([^\r\n]*)").alias("title"), mass.alias("precursor_mz"), _field("value", r"PEPMASS=\S+[ \t]+([0-9.eE+-]+)").cast("double").alias("precursor_intensity"),
-        (_field("value", r"CHARGE=(\d+)").cast("int") * F.when(F.col("value").rlike(r"CHARGE=\d+-"), -1).otherwise(1)).alias("charge"), (_field("value", r"RTINSECONDS=([0-9.]+)").cast("double") / 60).alias("retention_time"),
+        "file", _field("value", r"TITLE=([^\r\n]*)").alias("title"), mass.alias("precursor_mz"), _field("value", r"PEPMASS=\S+[ \t]+([0-9.eE+-]+)").try_cast("double").alias("precursor_intensity"),
+        (_field("value", r"CHARGE=(\d+)").try_cast("int") * F.when(F.col("value").rlike(r"CHARGE=\d+-"), -1).otherwise(1)).alias("charge"), (_field("value", r"RTINSECONDS=([0-9.]+)").try_cast("double") / 60).alias("retention_time"),
         _numbers(F.col("peaks"), 0).alias("mz"), _numbers(F.col("peaks"), 1).alias("intensity"),
     )
 
@@ -135,24 +135,24 @@ def read_mzml(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     scan = F.col("scanList.scan")[0]["cvParam"]
     time = F.try_element_at(F.filter(scan, lambda p: p["_accession"] == "MS:1000016"), F.lit(1))
-    minutes = time["_value"].cast("double") / F.when(time["_unitName"] == "second", 60.0).otherwise(1.0)
+    minutes = time["_value"].try_cast("double") / F.when(time["_unitName"] == "second", 60.0).otherwise(1.0)
     first = F.col("precursorList.precursor")[0]
     selected = first["selectedIonList"]["selectedIon"][0]["cvParam"]
-    return rows.select("file", F.col("_id").alias("scan_id"), value(F.col("cvParam"), "MS:1000511").cast("int").alias("ms_level"), minutes.alias("retention_time"), value(selected, "MS:1000744").cast("double").alias("precursor_mz"), value(selected, "MS:1000041").cast("int").alias("charge"), value(first["isolationWindow"]["cvParam"], "MS:1000827").cast("double").alias("isolation_mz"), numbers("MS:1000514").alias("mz"), numbers("MS:1000515").alias("intensity"))
+    return rows.select("file", F.col("_id").alias("scan_id"), value(F.col("cvParam"), "MS:1000511").try_cast("int").alias("ms_level"), minutes.alias("retention_time"), value(selected, "MS:1000744").try_cast("double").alias("precursor_mz"), value(selected, "MS:1000041").try_cast("int").alias("charge"), value(first["isolationWindow"]["cvParam"], "MS:1000827").try_cast("double").alias("isolation_mz"), numbers("MS:1000514").alias("mz"), numbers("MS:1000515").alias("intensity"))
 
 
 def read_msp(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(sequence, charge, mw, retention_time, mz, intensity, ions) of each library spectrum."""
-    records = spark.read.option("lineSep", "Name: ").text(paths).filter(F.contains("value", F.lit("Num peaks")))
-    lines = F.split("value", r"\r?\n")
+    records = spark.read.option("lineSep", "\nName: ").text(paths).filter(F.contains("value", F.lit("Num peaks")))
+    lines = F.split(F.regexp_replace("value", r"^(?:\x{FEFF})?Name: ", ""), r"\r?\n")
     peaks = F.filter(lines, lambda x: x.rlike(r"^[0-9.]+\s+[0-9.eE+-]+"))
     name = F.trim(lines[0])
-    return records.select(F.regexp_extract(name, r"^(.*)/(-?\d+)$", 1).alias("sequence"), F.regexp_extract(name, r"^(.*)/(-?\d+)$", 2).cast("int").alias("charge"), _field("value", r"MW:\s*([0-9.]+)").cast("double").alias("mw"), _field("value", r"(?:iRT|RetentionTime)=([0-9.-]+)").cast("double").alias("retention_time"), _numbers(peaks, 0).alias("mz"), _numbers(peaks, 1).alias("intensity"), F.transform(peaks, lambda x: F.regexp_extract(x, r'"([^"/]+)', 1)).alias("ions"))
+    return records.select(F.regexp_extract(name, r"^(.*)/(-?\d+)$", 1).alias("sequence"), F.regexp_extract(name, r"^(.*)/(-?\d+)$", 2).try_cast("int").alias("charge"), _field("value", r"MW:\s*([0-9.]+)").try_cast("double").alias("mw"), _field("value", r"(?:iRT|RetentionTime)=([0-9.-]+)").try_cast("double").alias("retention_time"), _numbers(peaks, 0).alias("mz"), _numbers(peaks, 1).alias("intensity"), F.transform(peaks, lambda x: F.regexp_extract(x, r'"([^"/]+)', 1)).alias("ions"))
 
 
 def read_modifications(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(modification_id, target, position, mod_type, formula) of each record and each of its targets."""
-    records = spark.read.option("lineSep", "//").text(paths).filter(F.col("value").rlike(r"(?m)^\s*ID\s+\S"))
+    records = spark.read.option("lineSep", "\n//").text(paths).filter(F.col("value").rlike(r"(?m)^\s*ID\s+\S"))
     get = lambda tag: F.trim(_field("value", rf"(?m)^\s*{tag}\s+([^\r\n]*)"))
     return records.select(get("ID").alias("modification_id"), F.explode_outer(F.split(get("TG"), r"\s+or\s+")).alias("target"), get("PP").alias("position"), get("MT").alias("mod_type"), get("CF").alias("formula"))
 
@@ -173,18 +173,30 @@ def read_matches(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_combos(spark: SparkSession, paths: str | Sequence[str], masses: DataFrame | None = None, mass: str = "mass", tolerance: float = 0.001) -> DataFrame:
     """(first, second): pairs of masses, if `masses` is given those near one of its masses on both sides."""
     parts = F.split(F.trim(F.regexp_replace("value", "^\\x{FEFF}", "")), r"\s+")
-    pairs = spark.read.text(paths).filter(F.col("value").rlike(r"\d")).select(parts[0].cast("double").alias("first"), parts[1].cast("double").alias("second"))
+    pairs = spark.read.text(paths).filter(F.col("value").rlike(r"\d")).select(parts[0].try_cast("double").alias("first"), parts[1].try_cast("double").alias("second"))
     if masses is None:
         return pairs
-    known = masses.select(F.col(mass).alias("mass__")).distinct()
+    # Masses within the tolerance are in the same bin or the next one.
+    bin_of = lambda c: F.floor(c / tolerance)
+    known = masses.select(F.col(mass).alias("mass__")).distinct().withColumn("bin__", F.explode(F.array(*[bin_of(F.col("mass__")) + k for k in (-1, 0, 1)])))
     for side in ("first", "second"):
-        pairs = pairs.join(F.broadcast(known), F.abs(F.col(side) - F.col("mass__")) < tolerance, "left_semi")
+        pairs = pairs.join(known, (bin_of(F.col(side)) == F.col("bin__")) & (F.abs(F.col(side) - F.col("mass__")) < tolerance), "left_semi")
     return pairs
 
 
+#: A record: quoted cells, in which line breaks are text, and the rest of the line. A quote that no cell's end closes is an ordinary character here.
+_RECORD = r'(?:(?<![^\t\n])"(?:[^"]++|"")*+"(?=[\t\r\n]|\z)|"|[^"\n]++)*+(?:\n|\z)'
+
+
 def read_design(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of an ExperimentalDesign.tsv: typed rows, and the lines that fail with their reasons."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\n")).alias("line_no", "raw_line")).filter("line_no > 0 AND trim(raw_line) <> ''")
+    """(rows, errors) of an ExperimentalDesign.tsv: typed rows, and the records that fail with their reasons.
+
+    A record may hold line breaks inside quotes; an empty one is an error of its own.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract_all("value", F.lit(_RECORD), 0).alias("records"))
+    # The break at the end of the last record begins no other.
+    kept = F.when(F.element_at("records", -1) == "", F.slice("records", 1, F.size("records") - 1)).otherwise(F.col("records"))
+    lines = whole.select(F.posexplode(kept).alias("line_no", "record")).filter("line_no > 0").select("line_no", F.regexp_replace("record", r"\n\z", "").alias("raw_line"))
     return good_rows(lines, "line_no", "raw_line", DESIGN_RULES), bad_rows(lines, "line_no", "raw_line", DESIGN_RULES)
 
 

@@ -163,7 +163,15 @@ def test_glycans():
 def test_chromatograms(spark):
     a = [{"scan": i, "intensity": x} for i, x in enumerate([1.0, 4.0, 9.0, 4.0, 1.0, 0.5, 0.1])]
     assert chromatograms.pearson(a, [{**p, "intensity": 3 * p["intensity"]} for p in a]) == pytest.approx(1)
-    assert np.isnan(chromatograms.pearson(a[:2], a[:2])) and chromatograms.umpire_correlation(a, a) == pytest.approx(1)
+    assert np.isnan(chromatograms.pearson(a[:2], a[:2])) and np.isnan(chromatograms.umpire_correlation(a, a))
+    long = [{"scan": i, "intensity": float(1 + (i * 7) % 5)} for i in range(24)]
+    other = [{"scan": i + 4, "intensity": 2 * p["intensity"]} for i, p in enumerate(long)]
+    assert chromatograms.umpire_correlation(long, long, 2) == pytest.approx(1)
+    # Twelve intervals of length 1 from the later start; points on inner borders are in none, so only the first interval has one.
+    assert chromatograms.umpire_correlation(long, other, 2) == pytest.approx(np.corrcoef(*[[x, *(x / 2**k for k in range(1, 11)), 0.0] for x in (4.0, 2.0)])[0, 1])
+    pairs = spark.createDataFrame([(a, long), (long, other), (a[:2], a[:2]), ([{"scan": i, "intensity": 1.0} for i in range(5)], a)], "a array<struct<scan:int,intensity:double>>, b array<struct<scan:int,intensity:double>>")
+    for got, (x, y) in zip([r[0] for r in pairs.select(chromatograms.correlation_of("a", "b")).collect()], [(a, long), (long, other), (a[:2], a[:2]), ([{"scan": i, "intensity": 1.0} for i in range(5)], a)], strict=True):
+        assert got == pytest.approx(chromatograms.pearson(x, y), nan_ok=True)
     peaks = spark.createDataFrame([("f", s, 500.0 + 1e-4 * s, float(s)) for s in (1, 2, 3, 5, 9, 10, 11)] + [("f", 2, 600.0, 1.0)], "file string, scan int, mz double, i double")
     got = sorted((r.start, r.end, r.n_peaks, r.apex_scan) for r in chromatograms.traces(peaks, ["file"], "scan", "mz", "i").collect())
     assert got == [(1, 5, 4, 5), (9, 11, 3, 11)]

@@ -98,6 +98,26 @@ def test_written_tables(spark, tmp_path):
     assert {r.position for r in writers.pruned(db, seen, {"t0": 0, "t1": 1, "t2": 2, "t3": 3}).collect()} == {1, 2, 9}
 
 
+def test_readers_survive_bad_cells(spark, tmp_path):
+    """A bad cell is null and never ends the read; marks of a record's end count only at the beginning of a line."""
+    msp = _file(tmp_path, "x.msp", 'Name: PEPK/2\nMW: 900.5\nComment: FullName: x Parent=450 iRT=-\nNum peaks: 1\n1.0.1\t0.5\t"b2/0ppm"\n\nName: AAK/1\nMW: 1\nNum peaks: 0\n')
+    got = {r.sequence: (r.charge, r.mz, r.retention_time) for r in readers.read_msp(spark, msp).collect()}
+    assert got == {"PEPK": (2, [None], None), "AAK": (1, [], None)}
+    mods = _file(tmp_path, "m.txt", "ID   Ox\nTG   M\nDR   http://x.org//y\nMT   Common\nCF   O1\n//\nID   Ac\nTG   X\nMT   Common\n//\n")
+    assert {(m.modification_id, m.formula) for m in readers.read_modifications(spark, mods).collect()} == {("Ox", "O1"), ("Ac", None)}
+    mgf = _file(tmp_path, "x.mgf", "BEGIN IONS\nTITLE=a\nPEPMASS=5e.1\nCHARGE=99999999999+\n1.2.3 5\nEND IONS\n")
+    r = readers.read_mgf(spark, mgf).first()
+    assert (r.precursor_mz, r.charge, r.mz, r.intensity) == (None, None, [None], [5.0])
+
+
+def test_design_records_with_line_breaks(spark, tmp_path):
+    head = "FileName\tCondition\tBiorep\tFraction\tTechrep\r\n"
+    path = _file(tmp_path, "ExperimentalDesign.tsv", head + 'a.raw\t"two\nlines"\t1\t1\t1\r\n\r\nb.raw\t"open\t2\t1\t1\nc.raw\tx"y\t1\t1\t1\n')
+    good, bad = readers.read_design(spark, path)
+    assert [(r.FileName, r.Condition) for r in good.collect()] == [("a.raw", "two\nlines")]
+    assert sorted((r.line_no, r.reason) for r in bad.collect()) == [(2, "column_count"), (3, "quoting"), (4, "quoting")]
+
+
 def test_streams(spark, tmp_path):
     schema = "psm_id long, full_file_path string, score double, q_value double, decoy string, loaded_at timestamp"
     make = lambda n, a: spark.range(a, a + n).selectExpr("id AS psm_id", "'f' AS full_file_path", "double(1000 - id) AS score", "0.001D AS q_value", "if(id % 5 = 4, 'Y', 'N') AS decoy", "timestamp'2024-01-01 10:00:00' AS loaded_at")
