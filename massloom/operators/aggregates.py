@@ -59,12 +59,41 @@ def complementary_ions(n_numbers: Column, c_numbers: Column, length: Column) ->
     return F.size(F.array_intersect(n_numbers, F.transform(c_numbers, lambda c: length - c)))
 
 
+def fragment_coverage(n_numbers: Column, c_places: Column, length: Column) -> Column:
+    """The residues that matched fragments pin down, ascending.
+
+    `n_numbers` are the residues at which N-terminal fragments end, `c_places` those at which C-terminal ones begin, from 1. A residue is covered
+    between two N-terminal fragments in a row, between two C-terminal ones, or between one of each; the ends need one fragment. Of the
+    N-terminal fragments the first only counts for the first residue, as where it ends nothing is known of the residue before.
+    """
+    n, c = F.array_sort(F.array_distinct(n_numbers)), F.array_sort(F.array_distinct(c_places))
+    later = F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0)))
+    none = F.array().cast("array<int>")
+    one = lambda condition, x: F.when(condition, F.array(x)).otherwise(none)
+    parts = [
+        one(F.array_contains(n, length - 1) | F.array_contains(c, length), length), one(F.array_contains(n, 1) | F.array_contains(c, 2), F.lit(1)),
+        F.filter(later, lambda x: F.array_contains(n, x - 1) | F.array_contains(c, x)), F.transform(F.filter(later, lambda x: F.array_contains(c, x + 2)), lambda x: x + 1),
+        F.filter(c, lambda x: F.array_contains(c, x + 1)),
+    ]
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def mobility(charge: Column, mass: Column) -> Column:
+    """The predicted mobility of an ion in capillary electrophoresis."""
+    return F.log(1 + 0.35 * charge) / F.pow(mass, F.lit(0.411)) * 100
+
+
 def weighted_error(rows: DataFrame, keys: Sequence[str], error: str, log_intensity: str) -> DataFrame:
     """The mean error weighted by intensity."""
     weight = F.pow(F.lit(10.0), F.col(log_intensity))
     return rows.groupBy(*keys).agg((F.sum(weight * F.col(error)) / F.sum(weight)).alias("mean_error"))
 
 
+def most_intense_child(scans: DataFrame, keys: Sequence[str], intensity: str, scan: str) -> DataFrame:
+    """(`keys`, `scan`): of each precursor scan its most intense fragment scan, of equal ones the least `scan`."""
+    return scans.groupBy(*keys).agg(F.max_by(scan, F.struct(F.col(intensity), -F.col(scan))).alias(scan))
+
+
 def binned_statistics(rows: DataFrame, keys: Sequence[str], x: Column, y: str, least_stdev: float = 0.5, most_ratio: float = 3.0) -> DataFrame:
     """Mean and sample standard deviation of `y` in each bin of `x`; a deviation that is missing, tiny or over three times the overall one is replaced by it."""
     bins = rows.groupBy(*keys, x.alias("bin")).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("stdev"), F.count(F.lit(1)).alias("n"))

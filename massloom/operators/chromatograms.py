@@ -1,7 +1,8 @@
-"""Extracted ion chromatograms and data-independent grouping."""
+"""Extracted ion chromatograms and data-independent grouping."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from massloom.functions.masses import overlap_ratio
 from massloom.functions.text import bound
 from massloom.operators.joins import band_join
+from massloom.operators.ordered import bare, lay_out, running_sums
+from massloom.operators.search import classic_search
+from massloom.session import materialize
 
 
 def traces(peaks: DataFrame, keys: Sequence[str], scan: str, mz: str, intensity: str, ppm: float = 10.0, missed: int = 1, least: int = 3) -> DataFrame:
@@ -22,9 +26,19 @@ def traces(peaks: DataFrame, keys: Sequence[str], scan: str, mz: str, intensity:
     # Peaks of the same scan and m/z always share a trace, so they are summed before the windows.
     known = peaks.filter(F.col(scan).isNotNull() & F.col(mz).isNotNull())
     peaks = known.groupBy(*keys, scan, mz).agg(F.count(F.lit(1)).alias("n__"), F.sum(F.col(intensity).cast("double")).alias("sum__"))
-    by_mz = Window.partitionBy(*keys).orderBy(mz, scan)
-    new = F.when(F.col(mz) - F.lag(mz).over(by_mz) <= F.col(mz) * ppm / 1e6, 0).otherwise(1)
-    chained = peaks.withColumn("new__", new).withColumn("chain__", F.sum("new__").over(by_mz))
+    # Where a chain ends is found in cells of the logarithm of m/z, and chains are numbered over a total order, so a file of any size is many tasks.
+    distinct = peaks.select(*keys, F.col(mz).alias("mz__")).distinct().withColumn("log__", F.log("mz__"))
+    reach = -math.log1p(-ppm / 1e6)
+    cell = F.floor(F.col("log__") / (8 * reach))
+    spread = distinct.withColumn("home__", cell).withColumn("cell__", F.explode(F.array_distinct(F.array(F.floor((F.col("log__") - 2 * reach) / (8 * reach)), cell))))
+    after = F.lead("mz__").over(Window.partitionBy(*keys, "cell__").orderBy("mz__"))
+    ends = spread.withColumn("next__", after).filter("home__ = cell__").withColumn("end__", F.when(F.col("next__") - F.col("mz__") <= F.col("next__") * ppm / 1e6, 0).otherwise(1))
+    laid = lay_out(ends.select(*keys, "mz__", "end__"), [], [*[F.col(k) for k in keys], F.col("mz__")])
+    numbered = bare(running_sums(laid, [], {"chain__": F.col("end__")})).withColumn("chain__", F.col("chain__") - F.col("end__")).drop("end__")
+    same = F.col(mz) == F.col("mz__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__k"))
+    chained = peaks.join(numbered.withColumnsRenamed({k: f"{k}__k" for k in keys}), same).drop("mz__", *[f"{k}__k" for k in keys])
     by_scan = Window.partitionBy(*keys, "chain__").orderBy(scan, mz)
     gap = F.when(F.col(scan) - F.lag(scan).over(by_scan) <= missed + 1, 0).otherwise(1)
     cut = chained.withColumn("gap__", gap).withColumn("part__", F.sum("gap__").over(by_scan))
@@ -124,3 +138,18 @@ def pseudo_spectra(groups: DataFrame, fragments: DataFrame, keys: Sequence[str])
     joined = groups.join(apex, [*keys, "fragment"])
     peaks = F.array_sort(F.collect_list(F.struct(F.col("mean_mz").alias("mz"), "intensity")))
     return joined.groupBy(*keys, "precursor").agg(peaks.alias("peaks"))
+
+
+def dia_search(survey: DataFrame, product: DataFrame, keys: Sequence[str], peptides: DataFrame, ppm: float = 10.0, apex_tolerance: float = 2.0, least_overlap: float = 0.3, least_correlation: float = 0.5, least_fragments: int = 2, cutoff: float = 5.0) -> DataFrame:
+    """(`keys`, precursor_mass, apex_scan, peptide, score): a search of data-independent spectra (Q8).
+
+    `survey` and `product` are deconvoluted peaks (`keys`, scan, mass, intensity). Both are traced, traces that elute together become the pseudo
+    spectrum of their precursor, and those are searched. For fragments made in the source, `product` are the scans of a high voltage (X16).
+    """
+    a, b = (materialize(traces(t, keys, "scan", "mass", "intensity", ppm), "traces") for t in (survey, product))
+    groups = precursor_groups(a, b, keys, apex_tolerance, least_overlap, least_correlation, least_fragments)
+    spectra = pseudo_spectra(groups, b, keys).join(a.select(*keys, F.col("trace").alias("precursor"), F.col("mean_mz").alias("precursor_mass"), "apex_scan"), [*keys, "precursor"])
+    scan_id = F.to_json(F.struct(*keys, "precursor"))
+    scans = spectra.select(scan_id.alias("scan_id"), *keys, "apex_scan", "precursor_mass", F.transform("peaks", lambda p: p["mz"]).alias("peaks"), F.transform("peaks", lambda p: p["intensity"]).alias("intensities"), F.aggregate("peaks", F.lit(0.0), lambda acc, p: acc + p["intensity"]).alias("total"))
+    found = classic_search(scans, peptides, cutoff=cutoff)
+    return found.join(scans.select("scan_id", *keys, "precursor_mass", "apex_scan"), "scan_id").select(*keys, "precursor_mass", "apex_scan", "peptide", "score")

@@ -1,14 +1,19 @@
-"""Crosslink search pieces."""
+"""Crosslink search."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massloom.operators.fdr import best_with_ties
 from massloom.operators.filters import linker_sites
 from massloom.operators.joins import band_join, first_case
+from massloom.operators.search import _matches, fragment_index, ladder_masses, site_scores
+from massloom.operators.windows import top_with_ties
 
 
 @dataclass(frozen=True)
@@ -66,3 +71,65 @@ def exclusive_ions(rows: DataFrame, alpha_ions: str, beta_ions: str, alpha_score
     out = rows.withColumn("a__", a).withColumn("b__", b)
     lower = lambda score, ions: F.when(F.floor(score) > F.size(ions), F.size(ions) + F.col(score) - F.floor(score)).otherwise(F.col(score))
     return out.withColumn(alpha_score, lower(alpha_score, "a__")).withColumn(beta_score, lower(beta_score, "b__")).drop(alpha_ions, beta_ions).withColumnsRenamed({"a__": alpha_ions, "b__": beta_ions})
+
+
+def rough_arms(scans: DataFrame, arms: DataFrame, linker: Linker, product_ppm: float, cutoff: int, most: int, per_dalton: int = 200) -> DataFrame:
+    """(scan_id, alpha, alpha_mass) of the first round (Q4): peptides lighter than the precursor whose unshifted fragments are seen, the `most` with the most hits and their ties."""
+    reach = product_ppm * 2 / 1e6
+    peaks = scans.select("scan_id", "precursor_mass", F.explode("peaks").alias("peak"))
+    bins = F.sequence(F.floor(F.col("peak") * (1 - reach) * per_dalton), F.ceil(F.col("peak") * (1 + reach) * per_dalton))
+    seen = peaks.select("scan_id", "precursor_mass", F.explode(bins).alias("bin")).distinct()
+    hits = seen.join(fragment_index(arms, per_dalton), "bin").filter(F.col("mass") <= F.col("precursor_mass") - linker.total)
+    counted = hits.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n"), F.first("mass").alias("mass")).filter(F.col("n") >= cutoff)
+    return top_with_ties(counted, ["scan_id"], "n", most).select("scan_id", F.col("peptide").alias("alpha"), F.col("mass").alias("alpha_mass"))
+
+
+def _best_sites(peaks: np.ndarray, intensities: np.ndarray, total: float | None, arm: str, sites: list[int], shift: float, ppm: float) -> tuple[float, int, set[int]]:
+    """(score, site, matched peaks) of the first site with the best score of an arm that carries `shift`."""
+    scores = np.round(site_scores(peaks, intensities, total, arm, shift, ppm)[np.array(sites) - 1], 9)
+    place = int(scores.argmax())
+    at = _matches(peaks, ladder_masses(arm, shift, sites[place]), ppm)
+    return float(scores[place]), sites[place], set(at[at >= 0].tolist())
+
+
+def scored_pairs(pairs: DataFrame, scans: DataFrame, linker: Linker, product_ppm: float = 20.0) -> DataFrame:
+    """`pairs` (scan_id, alpha, beta and their masses) with the best sites and scores of both arms.
+
+    Each arm is scored at each of its sites with the other arm and the linker as the shift. Peaks that both arms match count for the better one only.
+    """
+    with_sites = pairs.withColumn("alpha_sites", linker_sites(F.col("alpha"), linker.residues)).withColumn("beta_sites", linker_sites(F.col("beta"), linker.residues))
+    full = with_sites.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+
+    @F.pandas_udf("struct<alpha_site:int,beta_site:int,alpha_score:double,beta_score:double>")
+    def score(peaks: pd.Series, intensities: pd.Series, total: pd.Series, alpha: pd.Series, beta: pd.Series, ma: pd.Series, mb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, x, t, a, b, wa, wb, ia, ib in zip(peaks, intensities, total, alpha, beta, ma, mb, sa, sb, strict=True):
+            o, x = np.asarray(o, float), np.asarray(x, float)
+            one = _best_sites(o, x, t, a, list(ia), wb + linker.total, product_ppm)
+            two = _best_sites(o, x, t, b, list(ib), wa + linker.total, product_ppm)
+            scores = [one[0], two[0]]
+            if a != b:
+                shared = one[2] & two[2]
+                lower = 1 if scores[0] >= scores[1] else 0
+                kept = len((one, two)[lower][2]) - len(shared)
+                if np.floor(scores[lower]) > kept:
+                    scores[lower] -= len(shared) + (float(x[list(shared)].sum()) / t if t and shared else 0.0)
+            rows.append((one[1], two[1], *scores))
+        return pd.DataFrame(rows, columns=["alpha_site", "beta_site", "alpha_score", "beta_score"])
+
+    out = full.withColumn("s", score("peaks", "intensities", "total", "alpha", "beta", "alpha_mass", "beta_mass", "alpha_sites", "beta_sites"))
+    return out.select(*pairs.columns, "s.*")
+
+
+def crosslink_search(scans: DataFrame, peptides: DataFrame, linker: Linker, precursor_ppm: float = 5.0, product_ppm: float = 20.0, rough_cutoff: int = 3, most: int = 50, cutoff: float = 6.0) -> DataFrame:
+    """(scan_id, alpha, beta, sites, scores, score, runner_up): the best pairs of each scan, ties included (Q4).
+
+    Round one counts unshifted fragments for first arms; round two finds the second arm by what the first leaves of the precursor and scores both
+    arms at their sites. `most` first arms and their ties go on, as a parameter of the search.
+    """
+    arms = peptides.filter(F.size(linker_sites(F.col("peptide"), linker.residues)) > 0).select("peptide", "mass")
+    alphas = rough_arms(scans, arms, linker, product_ppm, rough_cutoff, most)
+    pairs = pair_candidates(scans.select("scan_id", "precursor_mass"), alphas, arms, linker, precursor_ppm)
+    a, b = arms.select(F.col("peptide").alias("alpha"), F.col("mass").alias("alpha_mass")), arms.select(F.col("peptide").alias("beta"), F.col("mass").alias("beta_mass"))
+    scored = scored_pairs(pairs.join(a, "alpha").join(b, "beta"), scans, linker, product_ppm).withColumn("score", F.col("alpha_score") + F.col("beta_score"))
+    return best_with_ties(scored.drop("alpha_mass", "beta_mass"), ["scan_id"], "score", cutoff)

@@ -185,3 +185,45 @@ def gptmd_direction(n_sites: Column, c_sites: Column, site: Column, length: Colu
     beside = F.array_contains(n_sites, site) & (F.array_contains(n_sites, site - 1) | (site == 1))
     beside_c = F.array_contains(c_sites, site) & (F.array_contains(c_sites, site + 1) | (site == length))
     return beside | beside_c
+
+
+def improved_score(new: Column, old: Column) -> Column:
+    """Whether a modification raises the score (F8)."""
+    return new > old
+
+
+def modification_sites(rows: DataFrame, sequence: str, mods: DataFrame, known: DataFrame | None = None, keys: tuple[str, ...] = ("accession",), tolerance: float = 0.005) -> DataFrame:
+    """(`keys`, modification, mass, site): where each listed modification can sit.
+
+    `mods` has modification, motif, location (`anywhere`, `n_term` or `c_term`) and mass; it is a list of up to MOST_LISTED rows, so each motif is
+    looked for in one pass over the sequences. `known` has `keys`, site and mass of what is there already: a modification of nearly the same
+    mass at the same site is left out.
+    """
+    from massloom.operators.joins import listed
+
+    found = []
+    for name, motif, location, mass in listed(mods, "modification", "motif", "location", "mass"):
+        sites = motif_sites(F.col(sequence), motif)
+        if location == "n_term":
+            sites = F.filter(sites, lambda s: s == 1)
+        elif location == "c_term":
+            sites = F.filter(sites, lambda s: s == F.length(sequence))
+        found.append(F.transform(sites, _placed(name, mass)))
+    if not found:
+        return rows.select(*keys, F.lit("").alias("modification"), F.lit(0.0).alias("mass"), F.lit(0).alias("site")).limit(0)
+    every = rows.filter(F.length(sequence) > 0).select(*keys, F.inline(F.flatten(F.array(*found))))
+    if known is None:
+        return every
+    there = known.select(*keys, "site", F.col("mass").alias("mass__"))
+    near = every.join(there, [*keys, "site"]).filter(F.abs(F.col("mass") - F.col("mass__")) < tolerance).select(*keys, "modification", "site")
+    return every.join(near.distinct(), [*keys, "modification", "site"], "left_anti").select(*keys, "modification", "mass", "site")
+
+
+def _placed(name: str, mass: float):
+    return lambda s: F.struct(F.lit(name).alias("modification"), F.lit(float(mass)).alias("mass"), s.alias("site"))
+
+
+def precursor_span(acceptor: Acceptor, theoretical: Column) -> tuple[Column, Column]:
+    """The least and the greatest observed mass that an acceptor can take for a theoretical one, over all its notches: a pre-filter."""
+    spans = allowed_intervals(acceptor, theoretical)
+    return F.array_min(F.transform(spans, lambda s: s["lo"])), F.array_max(F.transform(spans, lambda s: s["hi"]))

@@ -1,4 +1,4 @@
-"""Glycans: compositions, boxes, motifs, localization graphs."""
+"""Glycans: compositions, boxes, motifs, localization graphs."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,3 +195,53 @@ def glycan_table(lines: DataFrame, column: str) -> DataFrame:
     terms = F.zip_with(names, counts, lambda n, k: F.try_element_at(table, n) * k.cast("bigint"))
     ok = F.btrim(F.col(column)).rlike(r"^(?:[A-Za-z]++\(\d++\))++\z")
     return lines.select(column, F.when(ok, F.map_from_arrays(names, F.transform(counts, lambda k: k.cast("int")))).alias("composition"), F.when(ok, F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("mass_e5"))
+
+
+def glyco_search(scans: DataFrame, peptides: DataFrame, boxes_: Sequence[tuple[int, ...]], glycan_masses: dict[int, float], residues: str = "ST", precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: float = 5.0) -> DataFrame:
+    """(scan_id, peptide, box, score, n_routes, site, glycan, probability): the best glycopeptides of each scan with where their glycans sit (Q5).
+
+    A peptide fits with each box of glycans that makes up the rest of the precursor and for which it has enough sites. Fragments without glycans are
+    scored, and one more for each sum of the peptide with a part of the box that is seen (Y ions); candidates tied for the best go on. A site's
+    evidence for a glycan is what the ladder with the glycan on it scores beyond the bare one, and routes are placed over the sites.
+    `boxes_` are multisets of glycan ids, `glycan_masses` their masses.
+    """
+    from massloom.operators.fdr import best_with_ties
+    from massloom.operators.joins import band_join
+    from massloom.operators.search import _matches, scored_candidates, site_scores
+
+    listed = [(i, sum(glycan_masses[g] for g in b)) for i, b in enumerate(boxes_)]
+    wanted = scans.select("scan_id", "precursor_mass", F.inline(F.array(*[F.struct(F.lit(i).alias("box_no"), F.lit(x).alias("box_mass")) for i, x in listed])))
+    near = wanted.select("scan_id", "box_no", (F.col("precursor_mass") - F.col("box_mass") - F.col("precursor_mass") * precursor_ppm / 1e6).alias("lo"), (F.col("precursor_mass") - F.col("box_mass") + F.col("precursor_mass") * precursor_ppm / 1e6).alias("hi")).filter("lo > 0")
+    places = F.length("peptide") - F.length(F.translate(F.col("peptide"), residues, ""))
+    sizes = F.array(*[F.lit(len(b)) for b in boxes_])
+    able = peptides.select("peptide", "mass", places.alias("n_sites")).filter("n_sites > 0")
+    pairs = band_join(near, able, "lo", "hi", "mass", 0.05).filter(F.element_at(sizes, F.col("box_no") + 1) <= F.col("n_sites")).select("scan_id", "peptide", "box_no", "mass")
+    rough = scored_candidates(pairs, scans, product_ppm, extra=["box_no", "mass"])
+    parts = [sorted({sum(glycan_masses[g] for g in p) for p in sub_boxes(b) if p}) for b in boxes_]
+
+    @F.pandas_udf("double")
+    def with_y_ions(peaks: pd.Series, mass: pd.Series, box_no: pd.Series, score: pd.Series) -> pd.Series:
+        return pd.Series([s + int((_matches(np.asarray(o, float), m + np.array(parts[b]), product_ppm) >= 0).sum()) for o, m, b, s in zip(peaks, mass, box_no, score, strict=True)], dtype=float)
+
+    @F.pandas_udf("struct<options:array<array<int>>,costs:array<map<int,double>>>")
+    def evidence(peaks: pd.Series, intensities: pd.Series, total: pd.Series, peptide: pd.Series, box_no: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, x, t, p, b in zip(peaks, intensities, total, peptide, box_no, strict=True):
+            o, x = np.asarray(o, float), np.asarray(x, float)
+            sites = [i for i, a in enumerate(p) if a in residues]
+            kinds = sorted(set(boxes_[b]))
+            bare = site_scores(o, x, t, p, 0.0, product_ppm)[0]
+            by_glycan = {g: np.round(site_scores(o, x, t, p, glycan_masses[g], product_ppm) - bare, 9) for g in kinds}
+            rows.append(([kinds for _ in sites], [{g: float(by_glycan[g][i]) for g in kinds} for i in sites]))
+        return pd.DataFrame(rows, columns=["options", "costs"])
+
+    spectra = scans.select("scan_id", "peaks", "intensities", "total")
+    scored = rough.join(spectra, "scan_id").select("scan_id", "peptide", "box_no", with_y_ions("peaks", "mass", "box_no", "score").alias("score"))
+    best = best_with_ties(scored, ["scan_id"], "score", cutoff).join(spectra, "scan_id")
+    best = best.withColumn("e", evidence("peaks", "intensities", "total", "peptide", "box_no")).select("scan_id", "peptide", "box_no", "score", "e.*")
+    boxes_column = F.array(*[F.array(*[F.lit(g) for g in b]) for b in boxes_])
+    keyed = best.withColumn("box", F.element_at(boxes_column, F.col("box_no") + 1)).withColumn("id", F.to_json(F.struct("scan_id", "peptide", "box_no")))
+    placed = localize(keyed, "id")
+    site_of = F.filter(F.sequence(F.lit(1), F.length("peptide")), lambda i: F.substring("peptide", i, F.lit(1)).isin(*residues))
+    out = placed.join(keyed.select("id", "scan_id", "peptide", "box", "score", site_of.alias("sites")), "id")
+    return out.select("scan_id", "peptide", "box", "score", "n_routes", F.element_at("sites", F.col("site") + 1).alias("site"), "glycan", "probability")

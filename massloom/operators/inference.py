@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from massloom.session import materialize
 
 
-def parsimonious(links: DataFrame, protein: str, peptide: str) -> DataFrame:
+def parsimonious(links: DataFrame, protein: str, peptide: str, protease: str | None = None) -> DataFrame:
     """(`protein`, reason) of the proteins that explain all peptides (I1): `unique`, `greedy` or `indistinguishable`.
 
     Proteins with a peptide of their own come first. Then the protein with the most unexplained peptides, of equal ones that with the most in
     all, then the first by name, again and again. A round takes at once every protein that no rival sharing an unexplained peptide outranks:
     ranks only fall, so those are just the ones that the loop over single proteins would take. Last come proteins with the
-    same peptides as one taken. Null ends are left out, repeated links count once.
+    same peptides as one taken. Null ends are left out, repeated links count once. With `protease` a peptide of two digests is two peptides, so one
+    that only one protein gives in a digest is that protein's own, whatever the other digests give.
     """
+    if protease is not None:  # a length before the first part keeps the joined names apart
+        name = F.coalesce(F.col(protease).cast("string"), F.lit(""))
+        links = links.select(protein, F.when(F.col(peptide).isNotNull(), F.concat(F.length(name).cast("string"), F.lit(":"), name, peptide)).alias(peptide))
     all_links = materialize(links.filter(F.col(protein).isNotNull() & F.col(peptide).isNotNull()).select(F.col(protein).alias("protein"), F.col(peptide).alias("peptide")).distinct(), "links")
     totals = all_links.groupBy("protein").agg(F.count(F.lit(1)).alias("total"))
     alone = all_links.groupBy("peptide").agg(F.count(F.lit(1)).alias("n"), F.min("protein").alias("protein")).filter("n = 1")
@@ -94,3 +98,15 @@ def is_intra(alpha: Column, beta: Column) -> Column:
 def collapsed_pairs(rows: DataFrame, keys: Sequence[str], alpha: str, beta: str, protein: str) -> DataFrame:
     """Crosslinks of a scan with the same two sequences as one row, their proteins joined."""
     return rows.groupBy(*keys, F.concat_ws("-", alpha, beta).alias("pair")).agg(F.array_join(F.array_sort(F.collect_set(protein)), "|").alias("proteins"), F.count(F.lit(1)).alias("n"))
+
+
+def completed_links(links: DataFrame, protein: str, sequence: str, base: str) -> DataFrame:
+    """`links` with those that a modified form lacks: every protein of a base sequence is one of all its forms (I1, stage 0, where modifications are ignored)."""
+    forms = links.filter(F.col(base).isNotNull()).select(sequence, base).distinct()
+    owners = links.filter(F.col(base).isNotNull()).select(protein, base).distinct()
+    return forms.join(owners, base).select(protein, sequence, base)
+
+
+def trimmed(matches: DataFrame, key: str, protein: str, kept: DataFrame) -> DataFrame:
+    """Matches (`key`, `protein`, one row for each) without the proteins that parsimony left out (I1, stage 5); a match all of whose proteins went keeps none."""
+    return matches.join(kept.select(protein).distinct(), protein, "left_semi").select(key, protein).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators.aggregates import weighted_error
-from massloom.operators.joins import band_join
+from massloom.operators.joins import band_join, listed
+from massloom.operators.search import classic_search, localized
 from massloom.operators.windows import carried_forward, folds, gap_imputed, moving_average
 from massloom.session import materialize
 
@@ -78,3 +79,45 @@ def shifted(scans: DataFrame, errors: DataFrame, keys: Sequence[str], scan: str,
 def enough_points(psms: int, survey: int, product: int) -> bool:
     """Whether a file can be calibrated: 16 matches, 40 survey and 80 product points at least."""
     return psms >= 16 and survey >= 40 and product >= 80
+
+
+def gptmd(scans: DataFrame, peptides: DataFrame, mods: DataFrame, cutoff: float = 5.0) -> DataFrame:
+    """(peptide, modification, site, n_scans): listed modifications that the spectra ask for, to be added to the database (Q6).
+
+    The search allows each modification's mass as a notch. A match with a shift is placed on the residues where the modification can sit; it counts if
+    its best place scores higher than the peptide without it. `mods` has modification, mass and residue, a list of up to MOST_LISTED rows.
+    """
+    masses = sorted({m for (m,) in listed(mods, "mass")})
+    found = classic_search(scans, peptides, cutoff=0.0, notches=(0.0, *masses))
+    shifts = F.element_at(F.array(*[F.lit(x) for x in (0.0, *masses)]), F.col("notch") + 1)
+    shifted_ones = found.filter("notch > 0").select("scan_id", "peptide", shifts.alias("shift"), F.col("score").alias("bare_score"))
+    placed = localized(scans, shifted_ones.select("scan_id", "peptide", "shift").distinct())
+    best = placed.join(shifted_ones, ["scan_id", "peptide"]).filter((F.col("score") > F.col("bare_score")) & (F.col("score") >= cutoff))
+    at = best.withColumn("site", F.explode(F.transform(F.split("sites", ","), lambda x: x.cast("int"))))
+    fits = at.join(mods.withColumnRenamed("mass", "mass__"), F.round(F.col("shift"), 5) == F.round(F.col("mass__"), 5))
+    fits = fits.filter((F.col("residue") == "X") | (F.substring("peptide", F.col("site"), F.lit(1)) == F.col("residue")))
+    return fits.groupBy("peptide", "modification", "site").agg(F.countDistinct("scan_id").alias("n_scans"))
+
+
+def calibrated(scans: DataFrame, acquire: Callable[[DataFrame], DataFrame], keys: Sequence[str], scan: str, mz: str, each_side: int = 100, rounds: int = 3, survey_points: int = 40) -> DataFrame:
+    """`scans` with m/z corrected file by file, in up to `rounds` rounds of acquiring points, shifting and acquiring again.
+
+    `acquire` gives (`keys`, `scan`, error, log_intensity) of the matches found in scans, relative errors. A file takes part while it has 16 points and
+    `survey_points` at least, and a round's shift is kept for it only if its points don't get fewer and their median error doesn't grow (A34); a file that isn't bettered ends.
+    """
+    figures = lambda points: points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.abs(F.percentile("error", 0.5)).alias("off"))
+    now, points = scans, materialize(acquire(scans), "points")
+    for _ in range(rounds):
+        before = materialize(figures(points).filter(F.col("n") >= max(16, survey_points)), "figures")
+        if before.isEmpty():
+            break
+        errors = smoothed_errors(points.join(before.select(*keys), list(keys), "left_semi"), keys, scan, "error", "log_intensity", each_side)
+        moved = materialize(shifted(now, errors, keys, scan, mz), "shifted")
+        after_points = acquire(moved)
+        both = before.join(figures(after_points).withColumnsRenamed({"n": "n2", "off": "off2"}), list(keys))
+        better = materialize(both.filter("n2 >= n AND off2 < off").select(*keys), "better")
+        if better.isEmpty():
+            break
+        now = materialize(moved.join(better, list(keys), "left_semi").unionByName(now.join(better, list(keys), "left_anti")), "calibrated")
+        points = materialize(acquire(now).join(better, list(keys), "left_semi"), "points")
+    return now

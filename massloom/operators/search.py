@@ -1,7 +1,8 @@
-"""Peptides, fragments and searches."""
+"""Peptides, fragments and searches."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -73,22 +74,21 @@ def fragments(sequence: Column, kinds: str = "by") -> Column:
     return bound(residue_masses(sequence), lambda masses: _ladders(masses, kinds))
 
 
-def _ladders(masses: Column, kinds: str) -> Column:
-    n = F.size(masses)
-    starts = {"a": -27.99491462, "b": 0.0, "c": 17.02654911}
-    ends = {"x": WATER + 25.97926456, "y": WATER, "z": WATER - 17.02654911 + 1.00782503}
+def _sums(masses: Column) -> Column:
+    """The sums of the first 0, 1, 2, ... masses; null from an unknown one on."""
+    return F.aggregate(masses, F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
-    def ladder(kind: str) -> Column:
-        base = starts.get(kind, ends.get(kind))
 
-        def ion(i: Column) -> Column:
-            part = F.slice(masses, F.lit(1), i) if kind in starts else F.slice(masses, n - i + 1, i)
-            return F.struct(F.lit(kind).alias("kind"), i.alias("number"), F.aggregate(part, F.lit(base), lambda acc, m: acc + m).alias("mass"))
+def _ladders(masses: Column, kinds: str) -> Column:
+    def ladder(kind: str, front: Column, back: Column) -> Column:
+        sums, base = front if kind in "abc" else back, LADDER_OFFSETS[kind]
+        return F.transform(F.slice(sums, F.lit(2), F.size(sums) - 2), lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("number"), (x + base).alias("mass")))
 
-        return F.transform(F.sequence(F.lit(1), n - 1), ion)
+    def of(both: Column) -> Column:
+        lists = [ladder(k, both["front"], both["back"]) for k in kinds]
+        return F.when(F.size(masses) > 1, F.concat(*lists)).otherwise(F.slice(F.array(F.struct(F.lit("b").alias("kind"), F.lit(0).alias("number"), F.lit(0.0).alias("mass"))), 1, 0))
 
-    lists = [ladder(k) for k in kinds]
-    return F.when(n > 1, F.concat(*lists)).otherwise(F.slice(F.array(F.struct(F.lit("b").alias("kind"), F.lit(0).alias("number"), F.lit(0.0).alias("mass"))), 1, 0))
+    return bound(F.struct(_sums(masses).alias("front"), _sums(F.reverse(masses)).alias("back")), of)
 
 
 def internal_fragments(sequence: Column, shortest: int = 4) -> Column:
@@ -98,9 +98,12 @@ def internal_fragments(sequence: Column, shortest: int = 4) -> Column:
 
 def _stretches(masses: Column, shortest: int) -> Column:
     n = F.size(masses)
-    at = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(n - shortest, F.lit(2))), lambda i: F.transform(F.sequence(i + shortest - 1, F.greatest(n - 1, i + shortest - 1)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
-    ok = F.filter(at, lambda s: s["last"] <= n - 1)
-    return F.transform(ok, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.aggregate(F.slice(masses, s["first"], s["last"] - s["first"] + 1), F.lit(0.0), lambda acc, m: acc + m).alias("mass")))
+
+    def of(sums: Column) -> Column:
+        firsts = F.when(n - shortest >= 2, F.sequence(F.lit(2), n - shortest)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(i + shortest - 1, n - 1), lambda j: F.struct(i.alias("first"), j.alias("last"), (F.element_at(sums, j + 1) - F.element_at(sums, i)).alias("mass")))))
+
+    return bound(_sums(masses), of)
 
 
 def decoys(proteins: DataFrame, accession: str, sequence: str, keep_methionine: bool = True) -> DataFrame:
@@ -128,19 +131,100 @@ def mass_shifts(mods: DataFrame, mass: str, existing: DataFrame, combos: DataFra
 
 def isoforms(sequence: str, variable: dict[str, Sequence[str]], most_mods: int = 2, most: int = 1024) -> list[str]:
     """A peptide with every choice of up to `most_mods` variable modifications, fewest first; `most` forms come out, as a parameter of the search (G1)."""
-    sites = [(i, m) for i, a in enumerate(sequence) for m in variable.get(a, ())]
-    found: list[tuple[tuple[int, str], ...]] = [()]
-    last = [()]
-    for _ in range(most_mods):
-        last = [(*c, s) for c in last for s in sites if not c or s[0] > c[-1][0]]
-        found += last
-    out = []
-    for chosen in found[:most]:
-        mods = dict(chosen)
-        out.append("".join(a + (f"[{mods[i]}]" if i in mods else "") for i, a in enumerate(sequence)))
+    return [text for text, _ in modified_forms(sequence, {a: [(m, 0.0) for m in ms] for a, ms in variable.items()}, most_mods, most)]
+
+
+def modified_forms(sequence: str, variable: dict[str, Sequence[tuple[str, float]]], most_mods: int, most: int) -> list[tuple[str, list[tuple[int, float]]]]:
+    """(written form, (residue, mass) of its modifications) of each form; `variable` maps residues to names and masses."""
+    sites = [(i, name, mass) for i, a in enumerate(sequence, 1) for name, mass in variable.get(a, ())]
+    out: list[tuple[str, list[tuple[int, float]]]] = []
+    for k in range(most_mods + 1):
+        for chosen in itertools.combinations(sites, k):
+            if len({c[0] for c in chosen}) < k:
+                continue
+            names = {i: n for i, n, _ in chosen}
+            out.append(("".join(a + (f"[{names[i]}]" if i in names else "") for i, a in enumerate(sequence, 1)), [(i, x) for i, _, x in chosen]))
+            if len(out) == most:
+                return out
     return out
 
 
+def with_isoforms(peptides: DataFrame, variable: dict[str, Sequence[tuple[str, float]]], most_mods: int = 2, most: int = 1024) -> DataFrame:
+    """`peptides` (peptide, mass, ...) once for each form: with full_sequence, `mods` (residue, mass) and the form's mass (G1).
+
+    `most_mods` and `most` are the limits of the search, as a user sets them. Peptides without a modifiable residue never leave the JVM.
+    """
+    letters = "".join(sorted(variable))
+    bare = F.array(F.struct(F.col("peptide").alias("form"), F.array().cast("array<struct<residue:int,shift:double>>").alias("mods")))
+
+    @F.pandas_udf("array<struct<form:string,mods:array<struct<residue:int,shift:double>>>>")
+    def forms(peptide: pd.Series) -> pd.Series:
+        return pd.Series([[{"form": t, "mods": [{"residue": i, "shift": x} for i, x in ms]} for t, ms in modified_forms(p, variable, most_mods, most)] for p in peptide])
+
+    has = F.col("peptide").rlike(f"[{letters}]") if letters else F.lit(False)
+    plain = peptides.filter(~has).withColumn("f__", F.explode(bare))
+    rich = peptides.filter(has).withColumn("f__", F.explode(forms("peptide")))
+    out = plain.unionByName(rich) if letters else plain
+    added = F.aggregate("f__.mods", F.lit(0.0), lambda acc, m: acc + m["shift"])
+    return out.withColumn("full_sequence", F.col("f__.form")).withColumn("mods", F.col("f__.mods")).withColumn("mass", F.col("mass") + added).drop("f__")
+
+
+def nonspecific_peptides(proteins: DataFrame, keys: Sequence[str], sequence: str, shortest: int = 7, longest: int = 50, ends: str | None = None) -> DataFrame:
+    """(`keys`, peptide, start, end, mass) of every stretch of a protein, or with `ends`, an enzyme, of those with one specific end at least.
+
+    Masses come from the protein's prefix sums, so a stretch costs a subtraction. Stretches with an unknown residue have no mass.
+    """
+    rows = proteins.filter(F.length(sequence) >= shortest).select(*keys, F.col(sequence).alias("seq__"), _sums(residue_masses(F.col(sequence))).alias("sums__"))
+    rows = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("seq__") - shortest + 1)))
+    rows = rows.withColumn("end", F.explode(F.sequence(F.col("start") + shortest - 1, F.least(F.length("seq__"), F.col("start") + longest - 1))))
+    if ends is not None:
+        after = {"trypsin": ("KR", "P"), "trypsin/P": ("KR", ""), "Lys-C": ("K", ""), "Arg-C": ("R", ""), "Glu-C": ("E", ""), "chymotrypsin": ("FWY", "P")}[ends]
+
+        def cut(place: Column) -> Column:
+            """Whether the bond behind a residue is one that the enzyme cuts; the protein's ends count."""
+            blocked = F.substring("seq__", place + 1, F.lit(1)).isin(*after[1]) if after[1] else F.lit(False)
+            return (place == 0) | (place == F.length("seq__")) | (F.substring("seq__", place, F.lit(1)).isin(*after[0]) & ~blocked)
+
+        rows = rows.filter(cut(F.col("start") - 1) | cut(F.col("end")))
+    mass = F.element_at("sums__", F.col("end") + 1) - F.element_at("sums__", F.col("start")) + WATER
+    return rows.select(*keys, F.substring("seq__", F.col("start"), F.col("end") - F.col("start") + 1).alias("peptide"), "start", "end", mass.alias("mass"))
+
+
+#: Masses of the residues of RNA (nucleoside monophosphates less water), and of HPO3.
+NUCLEOTIDES = {"A": 329.05252, "C": 305.04129, "G": 345.04744, "U": 306.02530}
+METAPHOSPHATE = 79.96633
+#: What a kind of RNA fragment adds to its nucleotides: a to d hold the 5' end, w to z the 3' end.
+RNA_OFFSETS = {"d": WATER, "c": 0.0, "b": WATER - METAPHOSPHATE, "a": -METAPHOSPHATE, "w": WATER, "x": 0.0, "y": WATER - METAPHOSPHATE, "z": -METAPHOSPHATE}
+
+
+def nucleotide_masses(sequence: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in NUCLEOTIDES.items() for x in pair])
+    return F.transform(F.split(sequence, ""), lambda a: F.try_element_at(table, a))
+
+
+def oligo_mass(sequence: Column) -> Column:
+    """The mass of RNA with a hydroxyl at either end; null with an unknown nucleotide (Q12)."""
+    return F.aggregate(nucleotide_masses(sequence), F.lit(WATER - METAPHOSPHATE), lambda acc, x: acc + x)
+
+
+def _rna_ion(kind: str):
+    return lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("number"), (x + RNA_OFFSETS[kind]).alias("mass"))
+
+
+def oligo_fragments(sequence: Column, kinds: str = "dwy") -> Column:
+    """An array of (kind, number, mass) of the neutral fragments of RNA at every bond (Q12)."""
+
+    def of(both: Column) -> Column:
+        lists = []
+        for k in kinds:
+            sums = both["front"] if k in "abcd" else both["back"]
+            lists.append(F.transform(F.slice(sums, F.lit(2), F.greatest(F.size(sums) - 2, F.lit(0))), _rna_ion(k)))
+        return F.concat(*lists)
+
+    masses = nucleotide_masses(sequence)
+    return bound(F.struct(_sums(masses).alias("front"), _sums(F.reverse(masses)).alias("back")), of)
+
+
 def _matches(observed: np.ndarray, theory: np.ndarray, ppm: float) -> np.ndarray:
     """For each theoretical mass the place of the closest observed one, of two as close the lower, or -1 if it isn't within the tolerance."""
     if not len(observed):
@@ -156,6 +240,10 @@ _MASS_OF = np.full(128, np.nan)
 _MASS_OF[[ord(a) for a in RESIDUES]] = list(RESIDUES.values())
 
 
+#: What a kind of fragment adds to its residues' masses.
+LADDER_OFFSETS = {"a": -27.99491462, "b": 0.0, "c": 17.02654911, "x": WATER + 25.97926456, "y": WATER, "z": WATER - 17.02654911 + 1.00782503}
+
+
 def ladder_masses(sequence: str, shift: float = 0.0, site: int = 0, kinds: str = "by") -> np.ndarray:
     """The b, c, y and z masses of a peptide, `shift` on its 1-based residue `site`; those with an unknown residue are NaN."""
     codes = np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)
@@ -163,24 +251,58 @@ def ladder_masses(sequence: str, shift: float = 0.0, site: int = 0, kinds: str =
     if site:
         masses[site - 1] += shift
     front, back = np.cumsum(masses)[:-1], np.cumsum(masses[::-1])[:-1]
-    offsets = {"b": 0.0, "c": 17.02654911, "y": WATER, "z": WATER - 17.02654911 + 1.00782503}
-    return np.concatenate([(front if k in "bc" else back) + offsets[k] for k in kinds])
+    return np.concatenate([(front if k in "abc" else back) + LADDER_OFFSETS[k] for k in kinds])
+
+
+def list_scores(observed: np.ndarray, intensity: np.ndarray, total: float | None, peptides: Sequence[str], ppm: float, kinds: str = "by") -> np.ndarray:
+    """The Morpheus scores of many peptides against one spectrum, all ladders at once."""
+    text = "".join(peptides)
+    lengths = np.fromiter(map(len, peptides), np.int64, len(peptides))
+    masses = _MASS_OF[np.minimum(np.frombuffer(text.encode("ascii", "replace"), np.uint8), 127)]
+    unknown = np.isnan(masses)
+    sums, gaps = np.r_[0.0, np.cumsum(np.where(unknown, 0.0, masses))], np.r_[0, np.cumsum(unknown)]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    owner = np.repeat(np.arange(len(peptides)), np.maximum(lengths - 1, 0))
+    # The bonds of all peptides: behind every residue but a peptide's last one.
+    bond = np.arange(1, len(text) + 1)
+    bond = bond[~np.isin(bond, ends)]
+    score = np.zeros(len(peptides))
+    for k in kinds:
+        front = k in "abc"
+        other = starts[owner] if front else ends[owner]
+        theory = np.abs(sums[bond] - sums[other]) + LADDER_OFFSETS[k]
+        at = _matches(observed, theory, ppm)
+        hit = (at >= 0) & (gaps[bond] == gaps[other])
+        score += np.bincount(owner[hit], minlength=len(peptides))
+        if total:
+            score += np.bincount(owner[hit], weights=intensity[at[hit]], minlength=len(peptides)) / total
+    return score
 
 
-def match_score(ppm: float = 20.0, kinds: str = "by"):
-    """A pandas UDF: the Morpheus score of (observed masses ascending, intensities, peptide, shift, site, total ion current)."""
+#: Candidates of a scan that are scored at once: a spectrum is carried once for so many.
+CANDIDATES_AT_ONCE = 2000
 
-    @F.pandas_udf(T.DoubleType())
-    def score(observed: pd.Series, intensity: pd.Series, peptide: pd.Series, shift: pd.Series, site: pd.Series, total: pd.Series) -> pd.Series:
-        out = np.zeros(len(observed))
-        for i, (o, x, p, d, s, tic) in enumerate(zip(observed, intensity, peptide, shift, site, total, strict=True)):
-            theory = ladder_masses(p, d, s, kinds)
-            at = _matches(np.asarray(o, float), theory[~np.isnan(theory)], ppm)
-            at = at[at >= 0]
-            out[i] = len(at) + (np.asarray(x, float)[at].sum() / tic if tic else 0.0)
-        return pd.Series(out)
 
-    return score
+def scored_candidates(pairs: DataFrame, scans: DataFrame, ppm: float = 20.0, kinds: str = "by", extra: Sequence[str] = ()) -> DataFrame:
+    """(scan_id, peptide, `extra`, score) of each pair of `pairs` (scan_id, peptide, `extra`).
+
+    Candidates are gathered by scan in lists of up to CANDIDATES_AT_ONCE, so that a spectrum's arrays are joined to a list and not to each pair.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(observed: pd.Series, intensity: pd.Series, total: pd.Series, peptides: pd.Series) -> pd.Series:
+        return pd.Series([list_scores(np.asarray(o, float), np.asarray(x, float), t, list(p), ppm, kinds) for o, x, t, p in zip(observed, intensity, total, peptides, strict=True)])
+
+    # Lists by a hash of the peptide: as many as it takes, with no sort of a hot scan's candidates.
+    count = pairs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n__"))
+    part = F.pmod(F.xxhash64("peptide"), F.floor(F.col("n__") / CANDIDATES_AT_ONCE) + 1).alias("part__")
+    lists = pairs.join(count, "scan_id").groupBy("scan_id", part).agg(F.collect_list(F.struct("peptide", *extra)).alias("candidates__"))
+    full = lists.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+    scores = score("peaks", "intensities", "total", F.transform("candidates__", lambda c: c["peptide"]))
+    zipped = F.arrays_zip(F.col("candidates__").alias("c"), scores.alias("s"))
+    out = full.select("scan_id", F.explode(zipped).alias("x"))
+    return out.select("scan_id", *[F.col("x.c")[c].alias(c) for c in ("peptide", *extra)], F.col("x.s").alias("score"))
 
 
 def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: float = 5.0, notches: Sequence[float] = (0.0,), kinds: str = "by") -> DataFrame:
@@ -191,9 +313,7 @@ def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float =
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("notch"), F.lit(s).alias("shift")) for i, s in enumerate(notches)]))
     wanted = scans.select("scan_id", "precursor_mass", shifts.alias("n__")).select("scan_id", F.col("n__.notch").alias("notch"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 + precursor_ppm / 1e6)).alias("lo"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 - precursor_ppm / 1e6)).alias("hi"))
     pairs = band_join(wanted, peptides.select("peptide", "mass"), "lo", "hi", "mass", 4 * precursor_ppm / 1e6, scale=F.log).select("scan_id", "notch", "peptide")
-    full = pairs.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    scored = full.withColumn("score", match_score(product_ppm, kinds)("peaks", "intensities", "peptide", F.lit(0.0), F.lit(0), "total")).drop("peaks", "intensities", "total")
-    return best_with_ties(scored, ["scan_id"], "score", cutoff)
+    return best_with_ties(scored_candidates(pairs, scans, product_ppm, kinds, ["notch"]), ["scan_id"], "score", cutoff)
 
 
 def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by") -> DataFrame:
@@ -222,9 +342,28 @@ def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precu
     hits = hits.join(index.withColumn("near__", coarse(F.col("mass"))), ["bin", "near__"])
     near = hits.filter(F.abs(F.col("precursor_mass") - F.col("mass")) <= F.col("mass") * precursor_ppm / 1e6)
     rough = near.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near") >= cutoff)
-    full = rough.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", "peptide", F.lit(0.0), F.lit(0), "total")).select("scan_id", "peptide", "score")
-    return best_with_ties(scored, ["scan_id"], "score", float(cutoff))
+    return best_with_ties(scored_candidates(rough.select("scan_id", "peptide"), scans, product_ppm), ["scan_id"], "score", float(cutoff))
+
+
+def site_scores(observed: np.ndarray, intensity: np.ndarray, total: float | None, peptide: str, shift: float, ppm: float) -> np.ndarray:
+    """The Morpheus score of a peptide with `shift` on each of its residues in turn, all at once.
+
+    Every b and y mass is matched with and without the shift; the score for a residue takes the shifted ones of the fragments that hold it.
+    """
+    n = len(peptide)
+
+    def worth(theory: np.ndarray) -> np.ndarray:
+        at = _matches(observed, theory, ppm)
+        hit = at >= 0
+        return hit + (np.where(hit, intensity[at], 0.0) / total if total and len(intensity) else 0.0)
+
+    def by_site(kind: str) -> np.ndarray:
+        """Of the sites 1 to n from the end that the fragments of this kind hold."""
+        theory = ladder_masses(peptide, kinds=kind)
+        without, with_it = np.r_[0.0, np.cumsum(worth(theory))], np.r_[0.0, np.cumsum(worth(theory + shift))]
+        return without[:n] + with_it[-1] - with_it[:n]
+
+    return by_site("b") + by_site("y")[::-1]
 
 
 def localized(scans: DataFrame, matches: DataFrame, product_ppm: float = 20.0) -> DataFrame:
@@ -232,11 +371,17 @@ def localized(scans: DataFrame, matches: DataFrame, product_ppm: float = 20.0) -
 
     `matches` has scan_id, peptide and shift. The ladder's masses from the residue on carry the shift.
     """
-    placed = matches.withColumn("site", F.explode(F.sequence(F.lit(1), F.length("peptide"))))
-    full = placed.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
-    scored = full.withColumn("score", match_score(product_ppm)("peaks", "intensities", "peptide", "shift", "site", "total")).select("scan_id", "peptide", "site", "score")
-    best = best_with_ties(scored, ["scan_id", "peptide"], "score", 0.0)
-    return best.groupBy("scan_id", "peptide").agg(F.max("score").alias("score"), F.array_join(F.transform(F.array_sort(F.collect_list("site")), lambda s: s.cast("string")), ",").alias("sites"))
+
+    @F.pandas_udf("struct<score:double,sites:string>")
+    def best(observed: pd.Series, intensity: pd.Series, total: pd.Series, peptide: pd.Series, shift: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, x, t, p, d in zip(observed, intensity, total, peptide, shift, strict=True):
+            scores = np.round(site_scores(np.asarray(o, float), np.asarray(x, float), t, p, d, product_ppm), 9)
+            rows.append((scores.max(), ",".join(str(i + 1) for i in np.flatnonzero(scores == scores.max()))))
+        return pd.DataFrame(rows, columns=["score", "sites"])
+
+    full = matches.filter(F.length("peptide") > 0).join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+    return full.select("scan_id", "peptide", best("peaks", "intensities", "total", "peptide", "shift").alias("b")).select("scan_id", "peptide", "b.score", "b.sites").distinct()
 
 
 def spectral_angle(pairs: Column, a: str, b: str) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.functions.masses import RESIDUES, WATER
 from massloom.operators import chromatograms as xic
 from massloom.operators import inference as inf
 from massloom.operators import search
-from massloom.session import table
+from massloom.session import materialize, table
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,8 @@ def decoy_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peptide_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mass of every listed protein's residues and the number of its b and y ions below 2000 dalton."""
-    rows = table(spark, sf_dir, "psms").select("base_sequence").distinct().filter("base_sequence RLIKE '^[ACDEFGHIKLMNPQRSTVWY]{2,60}$'")
+    """The mass of every matched sequence of known residues and the number of its b and y ions below 2000 dalton."""
+    rows = table(spark, sf_dir, "psms").select("base_sequence").distinct().filter("base_sequence RLIKE '^[ACDEFGHIKLMNPQRSTVWY]{2,}$'")
     ions = F.size(F.filter(search.fragments(F.col("base_sequence")), lambda f: f["mass"] < 2000))
     return rows.select("base_sequence", F.round(search.peptide_mass(F.col("base_sequence")), 4).alias("mass"), ions.alias("n_small_ions"))
 
@@ -105,14 +106,14 @@ def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1: ideal spectra searched among the digested proteins and their decoys, and whether the sequence came back."""
-    scans = _spectra(spark, sf_dir)
+    scans = materialize(_spectra(spark, sf_dir), "scans")
     found = search.classic_search(scans, _peptides(spark, sf_dir), cutoff=5.0)
     return found.join(scans.select("scan_id", "truth"), "scan_id").select("scan_id", "peptide", F.round("score", 6).alias("score"), (F.col("peptide") == F.col("truth")).alias("is_truth"))
 
 
 def modern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: the same search through a fragment index."""
-    scans, peptides = _spectra(spark, sf_dir), _peptides(spark, sf_dir)
+    scans, peptides = materialize(_spectra(spark, sf_dir), "scans"), materialize(_peptides(spark, sf_dir), "peptides")
     found = search.modern_search(scans, peptides, search.fragment_index(peptides, 50), cutoff=5, per_dalton=50)
     return found.join(scans.select("scan_id", "truth"), "scan_id").select("scan_id", "peptide", F.round("score", 6).alias("score"), (F.col("peptide") == F.col("truth")).alias("is_truth"))
 
@@ -143,11 +144,34 @@ def xic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("precursor", "fragment", F.round("overlap", 6).alias("overlap"), F.round("correlation", 6).alias("correlation"), "fragment_rank", "precursor_rank")
 
 
+_LETTERS = ", ".join(f"('{a}', {x!r}::DOUBLE)" for a, x in RESIDUES.items())
+#: Peaks of near m/z chained, and chains cut where a scan is missing twice, as points of traces.
+_TRACES = """WITH p AS (SELECT event_type, CAST(date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS INTEGER) AS scan, floor(value / 10) + 1 AS mz, count(*) AS n, sum(value) AS i FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2, 3),
+  c AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY mz, scan) AS chain FROM (SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY event_type ORDER BY mz, scan) <= mz * 10 / 1e6 THEN 0 ELSE 1 END AS new FROM p)),
+  points AS (SELECT event_type, chain, sum(gap) OVER (PARTITION BY event_type, chain ORDER BY scan, mz) AS part, scan, mz, n, i FROM (SELECT *, CASE WHEN scan - lag(scan) OVER (PARTITION BY event_type, chain ORDER BY scan, mz) <= 2 THEN 0 ELSE 1 END AS gap FROM c))"""
+#: Ladders of sequences `q` of a table, as masses by kind and number.
+_LADDERS = "{1} AS (SELECT q, unnest(generate_series(1, length(q))) AS i FROM {0}), {1}_s AS (SELECT q, i, length(q) AS n, sum(x) OVER (PARTITION BY q ORDER BY i) AS f, sum(x) OVER (PARTITION BY q ORDER BY i DESC) AS b FROM {1} JOIN r ON a = q[i]), {1}_m AS (SELECT q, max(f) + " + repr(WATER) + " AS mass FROM {1}_s GROUP BY 1), {1}_l AS (SELECT q, f AS ion FROM {1}_s WHERE i < n UNION ALL SELECT q, b + " + repr(WATER) + " FROM {1}_s WHERE i > 1)"
+#: Every pair of a scan and a peptide within 5 ppm; the ions of the peptide with an observed one within 20 ppm are the matched ones, and all intensities are equal.
+_SEARCH = f"""WITH r(a, x) AS (VALUES {_LETTERS}),
+  parts AS (SELECT string_split(regexp_replace(regexp_replace(s, '([KR])([^P|])', '\\1|\\2', 'g'), '([KR])([^P|])', '\\1|\\2', 'g'), '|') AS parts FROM (SELECT base_sequence AS s FROM proteins UNION ALL SELECT CASE WHEN starts_with(base_sequence, 'M') THEN 'M' || reverse(base_sequence[2:]) ELSE reverse(base_sequence) END FROM proteins)),
+  runs AS (SELECT parts, i, m FROM (SELECT parts, unnest(generate_series(1, len(parts))) AS i FROM parts), generate_series(0, 2) t(m) WHERE i + m <= len(parts)),
+  peps AS (SELECT DISTINCT array_to_string(parts[i:i + m], '') AS q FROM runs WHERE length(array_to_string(parts[i:i + m], '')) BETWEEN 7 AND 50 AND regexp_full_match(array_to_string(parts[i:i + m], ''), '[ACDEFGHIKLMNPQRSTUVWY]+')),
+  seqs AS (SELECT base_sequence AS q, min(psm_id) AS scan_id FROM psms WHERE regexp_full_match(base_sequence, '[ACDEFGHIKLMNPQRSTVWY]{{7,50}}') GROUP BY 1),
+  {_LADDERS.format("peps", "th")}, {_LADDERS.format("seqs", "ob")},
+  pairs AS (SELECT o.q AS oq, t.q AS tq FROM ob_m o JOIN th_m t ON t.mass BETWEEN o.mass / (1 + 5.0::DOUBLE / 1e6) AND o.mass / (1 - 5.0::DOUBLE / 1e6)),
+  hits AS (SELECT oq, tq, count(*) AS n FROM (SELECT DISTINCT oq, tq, row_id FROM pairs JOIN (SELECT q, ion, row_number() OVER () AS row_id FROM th_l) t ON t.q = tq JOIN ob_l o ON o.q = oq AND o.ion BETWEEN t.ion - t.ion * 20.0::DOUBLE / 1e6 AND t.ion + t.ion * 20.0::DOUBLE / 1e6) GROUP BY 1, 2),
+  scored AS (SELECT scan_id, oq, tq, n + n / (2.0::DOUBLE * (length(oq) - 1)) AS score FROM hits JOIN seqs ON q = oq)
+  SELECT scan_id, tq AS peptide, round(score, 6) AS score, tq = oq AS is_truth FROM scored WHERE score >= 5 QUALIFY round(score, 9) = max(round(score, 9)) OVER (PARTITION BY scan_id)"""
+
 _GOOD = "full_file_path IS NOT NULL AND scan_number IS NOT NULL"
 _LINKS = "links AS (SELECT DISTINCT unnest(regexp_extract_all(accession, '[A-Za-z0-9_-]+')) AS accession, base_sequence FROM psms WHERE decoy = 'N' AND q_value <= 0.01 AND NOT isnan(q_value) AND base_sequence IS NOT NULL AND trim(base_sequence) <> '')"
 
 QUERIES = {f.__name__: f for f in (parsimony, protein_groups, accession_dedupe, renamed_duplicates, disambiguate, enough_ions, tied_for_best, crosslink_class, crosslink_collapse, digest, decoy_proteins, peptide_masses, classic_search, modern_search, shift_dedupe, trace_extraction, xic_groups)}
 SQL = {
+    "classic_search": _SEARCH,
+    "modern_search": _SEARCH,
+    "peptide_masses": f"WITH r(a, x) AS (VALUES {_LETTERS}), s AS (SELECT DISTINCT base_sequence AS q FROM psms WHERE regexp_full_match(base_sequence, '[ACDEFGHIKLMNPQRSTVWY]{{2,}}')), {_LADDERS.format('s', 'th')} SELECT q AS base_sequence, round(max(mass), 4) AS mass, CAST(sum((ion < 2000)::INT) AS INTEGER) AS n_small_ions FROM th_l JOIN th_m USING (q) GROUP BY 1",
+    "trace_extraction": f"{_TRACES} SELECT event_type, round(sum(mz * n) / sum(n), 4) AS mean_mz, CAST(sum(n) AS BIGINT) AS n_peaks, arg_max(scan, i) AS apex_scan, min(scan) AS start, max(scan) AS \"end\" FROM points GROUP BY event_type, chain, part HAVING sum(n) >= 3",
     "protein_groups": f"WITH {_LINKS}, s AS (SELECT accession, list_sort(list(base_sequence)) AS peptides FROM links GROUP BY 1), g AS (SELECT peptides, array_to_string(list_sort(list(accession)), '|') AS protein_group FROM s GROUP BY 1), e AS (SELECT protein_group, unnest(peptides) AS p FROM g), c AS (SELECT *, count(*) OVER (PARTITION BY p) AS n FROM e) SELECT protein_group, count(*) AS n_peptides, CAST(sum((n = 1)::INT) AS BIGINT) AS n_unique FROM c GROUP BY 1",
     "accession_dedupe": "WITH a AS (SELECT protein_name, accession, base_sequence, false AS is_contaminant FROM proteins UNION ALL SELECT protein_name, accession, base_sequence, true FROM contaminants) SELECT protein_name, accession, is_contaminant FROM a QUALIFY row_number() OVER (PARTITION BY protein_name ORDER BY is_contaminant DESC, length(base_sequence) DESC, accession) = 1",
     "renamed_duplicates": "SELECT accession, CASE WHEN n > 1 THEN protein_name || '_D' || n ELSE protein_name END AS protein_name FROM (SELECT accession, protein_name, row_number() OVER (PARTITION BY protein_name ORDER BY accession) AS n FROM proteins)",
