@@ -158,8 +158,9 @@ _SEARCH = f"""WITH r(a, x) AS (VALUES {_LETTERS}),
   peps AS (SELECT DISTINCT array_to_string(parts[i:i + m], '') AS q FROM runs WHERE length(array_to_string(parts[i:i + m], '')) BETWEEN 7 AND 50 AND regexp_full_match(array_to_string(parts[i:i + m], ''), '[ACDEFGHIKLMNPQRSTUVWY]+')),
   seqs AS (SELECT base_sequence AS q, min(psm_id) AS scan_id FROM psms WHERE regexp_full_match(base_sequence, '[ACDEFGHIKLMNPQRSTVWY]{{7,50}}') GROUP BY 1),
   {_LADDERS.format("peps", "th")}, {_LADDERS.format("seqs", "ob")},
-  pairs AS (SELECT o.q AS oq, t.q AS tq FROM ob_m o JOIN th_m t ON t.mass BETWEEN o.mass / (1 + 5.0::DOUBLE / 1e6) AND o.mass / (1 - 5.0::DOUBLE / 1e6)),
-  hits AS (SELECT oq, tq, count(*) AS n FROM (SELECT DISTINCT oq, tq, row_id FROM pairs JOIN (SELECT q, ion, row_number() OVER () AS row_id FROM th_l) t ON t.q = tq JOIN ob_l o ON o.q = oq AND o.ion BETWEEN t.ion - t.ion * 20.0::DOUBLE / 1e6 AND t.ion + t.ion * 20.0::DOUBLE / 1e6) GROUP BY 1, 2),
+  pairs AS MATERIALIZED (SELECT o.q AS oq, t.q AS tq FROM ob_m o JOIN th_m t ON t.mass BETWEEN o.mass / (1 + 5.0::DOUBLE / 1e6) AND o.mass / (1 - 5.0::DOUBLE / 1e6)),
+  lists AS MATERIALIZED (SELECT q, list(ion) AS ions FROM th_l SEMI JOIN pairs ON tq = q GROUP BY 1), seen AS MATERIALIZED (SELECT q, list(ion) AS ions FROM ob_l SEMI JOIN pairs ON oq = q GROUP BY 1),
+  hits AS (SELECT oq, tq, len(list_filter(t.ions, lambda x: len(list_filter(o.ions, lambda y: y BETWEEN x - x * 20.0::DOUBLE / 1e6 AND x + x * 20.0::DOUBLE / 1e6)) > 0)) AS n FROM pairs JOIN lists t ON t.q = tq JOIN seen o ON o.q = oq),
   scored AS (SELECT scan_id, oq, tq, n + n / (2.0::DOUBLE * (length(oq) - 1)) AS score FROM hits JOIN seqs ON q = oq)
   SELECT scan_id, tq AS peptide, round(score, 6) AS score, tq = oq AS is_truth FROM scored WHERE score >= 5 QUALIFY round(score, 9) = max(round(score, 9)) OVER (PARTITION BY scan_id)"""
 
