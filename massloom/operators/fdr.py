@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.operators.ordered import bare, lay_out, running_extreme, running_sums
+from massloom.operators.ordered import bare, lay_out, running, running_extreme, running_sums
 from massloom.session import materialize
 
 #: Fixed value: with fewer rows than this the running maximum is used, else the running minimum from the end with one decoy added.
@@ -16,37 +16,44 @@ FEW_ROWS = 1000
 FEW_FOR_PEP = 100
 
 
+def _counts(decoy: Column, weight: Column | None) -> dict[str, Column]:
+    one = F.lit(1).cast("bigint") if weight is None else weight
+    zero = one * 0
+    return {"cumulative_target": F.when(decoy, zero).otherwise(one), "cumulative_decoy": F.when(decoy, one).otherwise(zero)}
+
+
 def target_decoy_counts(rows: DataFrame, order: Sequence[Column], decoy: Column, groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """`rows` laid out in order, with `cumulative_target` and `cumulative_decoy`.
 
     `order` are ascending keys that together are unique; `weight` is each row's share of a match (1 if None). Ties can't occur in a total
     order; rows to leave out, such as those without score, are the caller's to filter.
     """
-    one = F.lit(1).cast("bigint") if weight is None else weight
-    laid = lay_out(rows, groups, order)
-    zero = one * 0
-    return running_sums(laid, groups, {"cumulative_target": F.when(decoy, zero).otherwise(one), "cumulative_decoy": F.when(decoy, one).otherwise(zero)})
+    return running_sums(lay_out(rows, groups, order), groups, _counts(decoy, weight))
 
 
-def q_traditional(counted: DataFrame, groups: Sequence[str] = (), name: str = "q_value") -> DataFrame:
-    """The running maximum of decoys over targets, 1 at most."""
-    ratio = F.least(F.col("cumulative_decoy") / F.greatest("cumulative_target", F.lit(1)), F.lit(1.0))
-    return running_extreme(counted, groups, name, ratio, least=False, forward=True)
+def _rules(scale: float) -> dict[str, tuple[Column, bool, bool]]:
+    """The ratio of each rule, with whether the least of them and whether from the start counts; counts are in units of one over `scale`."""
+    t, d = F.col("cumulative_target") / scale, F.col("cumulative_decoy") / scale
+    many = F.greatest(t, F.lit(1.0))
+    return {
+        # The running maximum of decoys over targets, 1 at most.
+        "traditional": (F.least(d / many, F.lit(1.0)), False, True),
+        # The least ratio of decoys and one more to targets from here on, 1 at most.
+        "inverted": (F.least((d + 1) / many, F.lit(1.0)), True, False),
+        # The same not capped, and infinite without targets.
+        "pep": (F.when(t == 0, float("inf")).otherwise((d + 1) / t), True, False),
+        # The least ratio of decoys to targets from here on, nothing added.
+        "protein": (d / many, True, False),
+    }
 
 
-def q_inverted(counted: DataFrame, groups: Sequence[str] = (), name: str = "q_value", capped: bool = True) -> DataFrame:
-    """The least ratio of decoys and one more to targets from here on, 1 at most (W3); not capped and infinite without targets for PEP."""
-    if capped:
-        ratio = F.least((F.col("cumulative_decoy") + 1) / F.greatest("cumulative_target", F.lit(1)), F.lit(1.0))
-    else:
-        ratio = F.when(F.col("cumulative_target") == 0, float("inf")).otherwise((F.col("cumulative_decoy") + 1) / F.col("cumulative_target"))
-    return running_extreme(counted, groups, name, ratio, least=True, forward=False)
+def with_q(rows: DataFrame, order: Sequence[Column], decoy: Column, names: dict[str, str], groups: Sequence[str] = (), weight: Column | None = None, scale: float = 1.0) -> DataFrame:
+    """`rows` with cumulative counts and the q-values of `names` (column to rule: traditional, inverted, pep or protein), by one pass over the order.
 
-
-def q_protein(counted: DataFrame, groups: Sequence[str] = (), name: str = "q_value") -> DataFrame:
-    """The least ratio of decoys to targets from here on, nothing added."""
-    ratio = F.col("cumulative_decoy") / F.greatest("cumulative_target", F.lit(1))
-    return running_extreme(counted, groups, name, ratio, least=True, forward=False)
+    `weight` counts in units of one over `scale`.
+    """
+    rules = _rules(scale)
+    return bare(running(lay_out(rows, groups, order), groups, _counts(decoy, weight), {n: rules[r] for n, r in names.items()}))
 
 
 def q_plain(counted: DataFrame) -> DataFrame:
@@ -56,16 +63,15 @@ def q_plain(counted: DataFrame) -> DataFrame:
 
 def q_values(rows: DataFrame, order: Sequence[Column], decoy: Column, groups: Sequence[str] = ()) -> DataFrame:
     """Counts and q-values by the rule for the size of each group."""
-    # Written once: both rules and the sizes read it several times.
-    counted = materialize(target_decoy_counts(rows, order, decoy, groups), "counted")
-    both = q_inverted(q_traditional(counted, groups, "q_few"), groups, "q_many")
-    size = counted.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"))
+    both = with_q(rows, order, decoy, {"q_few": "traditional", "q_many": "inverted"}, groups)
+    size = both.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_rows"))
     renamed = size.select(*[F.col(g).alias(f"{g}__g") for g in groups], "group_rows")
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"{g}__g"))
+    # Without groups the sizes are one row.
     sized = both.join(F.broadcast(renamed) if not groups else renamed, same).drop(*[f"{g}__g" for g in groups])
-    return bare(sized.withColumn("q_value", F.when(F.col("group_rows") < FEW_ROWS, F.col("q_few")).otherwise(F.col("q_many"))).drop("q_few", "q_many", "group_rows"))
+    return sized.withColumn("q_value", F.when(F.col("group_rows") < FEW_ROWS, F.col("q_few")).otherwise(F.col("q_many"))).drop("q_few", "q_many", "group_rows")
 
 
 def hypothesis_weights(rows: DataFrame, key: str, cell: str, separator: str = "|") -> DataFrame:
@@ -150,9 +156,9 @@ def picked(proteins: DataFrame, accession: str, score: str, decoy: str, prefix:
     """The better of each target and decoy pair, with its q-value; losing targets come back with the q-value of all proteins."""
     base = materialize(proteins.withColumn("pair__", F.regexp_replace(accession, f"^{prefix}", "")), "proteins")
     order = [-F.col(score), F.col(accession)]
-    classic = q_protein(target_decoy_counts(base, order, F.col(decoy)), name="classic_q__").select(*base.columns, "classic_q__")
+    classic = with_q(base, order, F.col(decoy), {"classic_q__": "protein"}).select(*base.columns, "classic_q__")
     winner = first_of_each(classic, ["pair__"], [F.desc(score), F.asc(decoy), F.asc(accession)])
-    scored = bare(q_protein(target_decoy_counts(winner, order, F.col(decoy)))).drop("cumulative_target", "cumulative_decoy")
+    scored = with_q(winner, order, F.col(decoy), {"q_value": "protein"}).drop("cumulative_target", "cumulative_decoy")
     losers = classic.filter(~F.col(decoy)).join(winner.select(F.col(accession).alias("won__")), F.col(accession) == F.col("won__"), "left_anti")
     out = scored.withColumn("rescued", F.lit(False)).unionByName(losers.withColumn("q_value", F.col("classic_q__")).withColumn("rescued", F.lit(True)))
     return out.drop("pair__", "classic_q__")

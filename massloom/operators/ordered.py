@@ -53,6 +53,28 @@ def running_extreme(laid: DataFrame, groups: Sequence[str], name: str, value: Co
     return out.withColumn(name, both(name, "ordered_offset")).drop("ordered_offset")
 
 
+def running(laid: DataFrame, groups: Sequence[str], sums: dict[str, Column], extremes: dict[str, tuple[Column, bool, bool]]) -> DataFrame:
+    """`laid` with running sums and with running extremes of values made from them, in one pass over the rows.
+
+    `extremes` maps a name to (value, whether the least, whether forward). Both directions are windows over the same partitions, so the rows are shuffled
+    once; what a partition passes on to the next ones is a row of its own.
+    """
+    within, parts = _windows(groups)
+    totals = laid.groupBy(*groups, _PART).agg(*[F.sum(v).alias(f"{n}__t") for n, v in sums.items()])
+    offsets = totals.select(*groups, _PART, *[F.coalesce(F.sum(f"{n}__t").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{n}__o") for n in sums])
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    out = _joined(laid, offsets, groups).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"{n}__o") for n, v in sums.items()}).drop(*[f"{n}__o" for n in sums])
+    back = Window.partitionBy(*groups, _PART).orderBy(F.desc("ordered_key")).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({n: (F.min if least else F.max)(v).over(upto if forward else back) for n, (v, least, forward) in extremes.items()})
+    out = materialize(out, "running")
+    ends = out.groupBy(*groups, _PART).agg(*[(F.min if least else F.max)(n).alias(f"{n}__t") for n, (_, least, _f) in extremes.items()])
+    others = (Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*groups).orderBy(F.desc(_PART))
+    passed = ends.select(*groups, _PART, *[(F.min if least else F.max)(f"{n}__t").over((parts if forward else after).rowsBetween(*others)).alias(f"{n}__o") for n, (_, least, forward) in extremes.items()])
+    out = _joined(out, passed, groups)
+    return out.withColumns({n: (F.least if least else F.greatest)(n, f"{n}__o") for n, (_, least, _f) in extremes.items()}).drop(*[f"{n}__o" for n in extremes])
+
+
 def _joined(rows: DataFrame, offsets: DataFrame, groups: Sequence[str]) -> DataFrame:
     keys = [*groups, _PART]
     other = offsets.select(*[F.col(k).alias(f"{k}__k") for k in keys], *[c for c in offsets.columns if c not in keys])

@@ -178,7 +178,7 @@ def tolerance_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     ppm = F.expr("try_cast(trim(mass_diff_ppm) AS double)")
     rows = table(spark, sf_dir, "psms").withColumn("ppm", ppm).filter("ppm IS NOT NULL AND NOT isnan(ppm)")
     out = agg.new_tolerance(rows, ["full_file_path"], "ppm", 3.0)
-    return out.select("full_file_path", F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr"))
+    return out.select("full_file_path", F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr"), "tolerance")
 
 
 def digestion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ SQL = {
     "time_bins": "WITH r AS (SELECT full_file_path, CAST(2 * round_even(scan_retention_time / 2, 0) AS INTEGER) AS bin, num_experimental_peaks AS y FROM psms WHERE scan_retention_time IS NOT NULL AND NOT isnan(scan_retention_time) AND num_experimental_peaks IS NOT NULL AND NOT isnan(num_experimental_peaks)), g AS (SELECT full_file_path, stddev_samp(y) AS o FROM r GROUP BY 1), b AS (SELECT full_file_path, bin, count(*) AS n, avg(y) AS m, stddev_samp(y) AS s FROM r GROUP BY 1, 2) SELECT full_file_path, bin, n, round(m, 4) AS mean, round(CASE WHEN s IS NULL OR s < 0.5 OR s > 3 * o THEN o ELSE s END, 4) AS stdev FROM b JOIN g USING (full_file_path)",
     "chimera_count": "SELECT psm_id, count(*) OVER (PARTITION BY full_file_path, scan_number, precursor_scan_number) AS chimera_count FROM psms WHERE scan_number IS NOT NULL",
     "weighted_error": f"WITH {_PPM} SELECT full_file_path, round(sum(ppm * total_ion_current) / sum(total_ion_current), 6) AS mean_error FROM p WHERE ppm IS NOT NULL AND NOT isnan(ppm) AND total_ion_current > 0 AND NOT isnan(total_ion_current) GROUP BY 1",
-    "tolerance_update": f"WITH {_PPM} SELECT full_file_path, round(quantile_cont(ppm, 0.5), 6) AS median, round(quantile_cont(ppm, 0.75) - quantile_cont(ppm, 0.25), 6) AS iqr FROM p WHERE ppm IS NOT NULL AND NOT isnan(ppm) GROUP BY 1",
+    "tolerance_update": f"WITH {_PPM} SELECT full_file_path, round(quantile_cont(ppm, 0.5), 6) AS median, round(quantile_cont(ppm, 0.75) - quantile_cont(ppm, 0.25), 6) AS iqr, round(3 * (quantile_cont(ppm, 0.75) - quantile_cont(ppm, 0.25)) + abs(quantile_cont(ppm, 0.5)), 1) AS tolerance FROM p WHERE ppm IS NOT NULL AND NOT isnan(ppm) GROUP BY 1",
     "digestion_counts": "SELECT n_peptides, count(*) AS n_proteins FROM (SELECT accession, count(DISTINCT base_sequence) AS n_peptides FROM psms WHERE accession IS NOT NULL AND base_sequence IS NOT NULL GROUP BY 1) GROUP BY 1",
     "best_spectrum": "SELECT full_sequence, precursor_charge, psm_id FROM psms WHERE score IS NOT NULL AND NOT isnan(score) AND full_sequence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY full_sequence, precursor_charge ORDER BY score DESC, psm_id) = 1",
     "site_rollup": "SELECT accession, base_sequence, bool_or(coalesce(ambiguity_level = '1', false)) AS is_localized, min(q_value) AS least_q, min(ambiguity_level) AS best_level FROM psms WHERE accession IS NOT NULL AND base_sequence IS NOT NULL AND q_value IS NOT NULL AND NOT isnan(q_value) GROUP BY 1, 2",

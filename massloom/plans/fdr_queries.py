@@ -32,13 +32,13 @@ def fdr_running_target_decoy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qvalue_traditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = fdr.target_decoy_counts(scored(spark, sf_dir).select("psm_id", "score", "delta_score", "is_decoy"), _order(), F.col("is_decoy"))
-    return fdr.q_traditional(counted).select("psm_id", "q_value")
+    rows = scored(spark, sf_dir).select("psm_id", "score", "delta_score", "is_decoy")
+    return fdr.with_q(rows, _order(), F.col("is_decoy"), {"q_value": "traditional"}).select("psm_id", "q_value")
 
 
 def qvalue_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = fdr.target_decoy_counts(scored(spark, sf_dir).select("psm_id", "score", "delta_score", "is_decoy"), _order(), F.col("is_decoy"))
-    return fdr.q_inverted(counted).select("psm_id", "q_value")
+    rows = scored(spark, sf_dir).select("psm_id", "score", "delta_score", "is_decoy")
+    return fdr.with_q(rows, _order(), F.col("is_decoy"), {"q_value": "inverted"}).select("psm_id", "q_value")
 
 
 def qvalue_by_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,7 @@ def qvalue_by_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pep_qvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).filter("pep IS NOT NULL AND NOT isnan(pep)").select("psm_id", "pep", "is_decoy")
-    counted = fdr.target_decoy_counts(rows, [F.col("pep"), F.col("psm_id")], F.col("is_decoy"))
-    return fdr.q_inverted(counted, name="pep_q_value", capped=False).select("psm_id", "pep_q_value")
+    return fdr.with_q(rows, [F.col("pep"), F.col("psm_id")], F.col("is_decoy"), {"pep_q_value": "pep"}).select("psm_id", "pep_q_value")
 
 
 def notch_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +62,7 @@ def notch_qvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select("psm_id", "score", "delta_score", "is_decoy", "notch")
     weights = fdr.hypothesis_weights(rows, "psm_id", "notch").withColumnRenamed("value", "one_notch")
     hypotheses = rows.join(weights, "psm_id")
-    counted = fdr.target_decoy_counts(hypotheses, _order(), F.col("is_decoy"), ["one_notch"], F.round(F.col("weight") * 1e6).cast("bigint"))
-    ratio = counted.withColumn("cumulative_target", F.col("cumulative_target") / 1e6).withColumn("cumulative_decoy", F.col("cumulative_decoy") / 1e6)
-    out = fdr.q_inverted(ratio, ["one_notch"], "hypothesis_q")
+    out = fdr.with_q(hypotheses, _order(), F.col("is_decoy"), {"hypothesis_q": "inverted"}, ["one_notch"], F.round(F.col("weight") * 1e6).cast("bigint"), 1e6)
     return out.select("psm_id", F.col("one_notch").alias("notch"), "hypothesis_q", F.when(F.col("weight") < 1, 2.0).otherwise(F.col("hypothesis_q")).alias("q_value_notch"))
 
 
@@ -122,8 +119,7 @@ def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def protein_qvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6."""
-    counted = fdr.target_decoy_counts(_proteins(spark, sf_dir), [-F.col("score"), F.col("accession")], F.col("is_decoy"))
-    return fdr.q_protein(counted).select("accession", "q_value")
+    return fdr.with_q(_proteins(spark, sf_dir), [-F.col("score"), F.col("accession")], F.col("is_decoy"), {"q_value": "protein"}).select("accession", "q_value")
 
 
 def picked_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:

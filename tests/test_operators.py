@@ -13,8 +13,7 @@ from massloom.operators import aggregates, chromatograms, fdr, filters, glycans,
 def test_running_counts_and_q_values(spark):
     rows = [(i, float(100 - i), i % 4 == 3) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, score double, d boolean")
-    counted = fdr.target_decoy_counts(df, [-F.col("score"), F.col("id")], F.col("d"))
-    got = {r.id: r for r in fdr.q_inverted(fdr.q_traditional(counted, name="few"), name="many").collect()}
+    got = {r.id: r for r in fdr.with_q(df, [-F.col("score"), F.col("id")], F.col("d"), {"few": "traditional", "many": "inverted"}).collect()}
     t = d = 0
     for i, _, decoy in rows:
         t, d = t + (not decoy), d + decoy
@@ -82,6 +81,17 @@ def test_parsimony_is_the_greedy_loop(spark, seed):
     assert inference.parsimonious(df.limit(0), "protein", "peptide").count() == 0
 
 
+def test_parsimony_keeps_digests_apart(spark):
+    """A peptide that only A gives in one digest is A's own, though B gives it in another."""
+    rows = [("A", "x", "trypsin"), ("A", "x", "Arg-C"), ("B", "x", "Arg-C"), ("C", "y", "trypsin"), ("D", "y", "trypsin"), ("C", "z", None)]
+    df = spark.createDataFrame(rows, "protein string, peptide string, protease string")
+    got = {(r.protein, r.reason) for r in inference.parsimonious(df, "protein", "peptide", "protease").collect()}
+    assert got == {("A", "unique"), ("C", "unique")}
+    kept = spark.createDataFrame([("A",)], "protein string")
+    matches = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B")], "id int, protein string")
+    assert [(r.id, r.protein) for r in inference.trimmed(matches, "id", "protein", kept).collect()] == [(1, "A")]
+
+
 def test_density_peaks_against_the_plain_way(spark):
     rng = np.random.default_rng(3)
     v = np.round(np.r_[rng.normal(0, 0.002, 60), rng.normal(1.0, 0.002, 40), rng.normal(1.006, 0.001, 20), rng.uniform(2, 90, 15)], 4)
