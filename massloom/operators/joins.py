@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.ordered import bare, lay_out, running
+
 
 def band_join(left: DataFrame, right: DataFrame, lo: str, hi: str, value: str, width: float, keys: Sequence[str] = (), scale: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows of `left` and `right` with `lo` <= `value` <= `hi` and equal `keys`.
@@ -26,16 +28,16 @@ def band_join(left: DataFrame, right: DataFrame, lo: str, hi: str, value: str, w
 def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, payload: Sequence[str] = ()) -> DataFrame:
     """Each left row with `nearest`: the right row (value and `payload`) of equal keys whose value is closest, of two as close the lower one.
 
-    The closest is chosen before any filter, so a closer unfit one hides a fit one behind it; callers filter afterwards. Both sides are sorted once
+    The closest is chosen before any filter, so a closer unfit one hides a fit one behind it; callers filter afterwards. Both sides are laid out in one order
     and the neighbours on either side carried along; ties of the value go to the least payload. Null where the keys have no right row.
     """
     row = F.struct(F.col(value).alias("value"), *payload)
     taken = right.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("at__")).agg(F.min(row).alias("row__"))
     points = taken.select(*keys, "at__", "row__", F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("left__"))
     asked = left.select(*keys, F.col(at).cast(right.schema[value].dataType).alias("at__"), F.lit(None).cast(taken.schema["row__"].dataType).alias("row__"), F.struct(*left.columns).alias("left__"))
-    by = Window.partitionBy(*keys).orderBy("at__", F.col("left__").isNotNull())
-    back = Window.partitionBy(*keys).orderBy(F.desc("at__"), F.col("left__").isNotNull())
-    both = points.unionByName(asked).withColumn("below__", F.last("row__", True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above__", F.last("row__", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    # One total order of both sides, a point before those that ask at its value; a hot key is as many tasks as it needs.
+    laid = lay_out(points.unionByName(asked), keys, [F.col("at__"), F.col("left__").isNotNull()])
+    both = bare(running(laid, keys, {}, {"below__": (F.col("row__"), False, True), "above__": (F.col("row__"), True, False)}))
     down, up = F.col("at__") - F.col("below__.value"), F.col("above__.value") - F.col("at__")
     nearest = F.when(F.col("below__").isNull() | (down > up), F.col("above__")).otherwise(F.col("below__"))
     return both.filter("left__ IS NOT NULL").select("left__.*", nearest.alias("nearest"))

@@ -60,10 +60,11 @@ def running(laid: DataFrame, groups: Sequence[str], sums: dict[str, Column], ext
     once; what a partition passes on to the next ones is a row of its own.
     """
     within, parts = _windows(groups)
-    totals = laid.groupBy(*groups, _PART).agg(*[F.sum(v).alias(f"{n}__t") for n, v in sums.items()])
-    offsets = totals.select(*groups, _PART, *[F.coalesce(F.sum(f"{n}__t").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{n}__o") for n in sums])
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    out = _joined(laid, offsets, groups).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"{n}__o") for n, v in sums.items()}).drop(*[f"{n}__o" for n in sums])
+    upto, out = within.rowsBetween(Window.unboundedPreceding, 0), laid
+    if sums:
+        totals = laid.groupBy(*groups, _PART).agg(*[F.sum(v).alias(f"{n}__t") for n, v in sums.items()])
+        offsets = totals.select(*groups, _PART, *[F.coalesce(F.sum(f"{n}__t").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{n}__o") for n in sums])
+        out = _joined(laid, offsets, groups).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"{n}__o") for n, v in sums.items()}).drop(*[f"{n}__o" for n in sums])
     back = Window.partitionBy(*groups, _PART).orderBy(F.desc("ordered_key")).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({n: (F.min if least else F.max)(v).over(upto if forward else back) for n, (v, least, forward) in extremes.items()})
     out = materialize(out, "running")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -54,21 +55,34 @@ def carried_forward(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return rows.withColumn(name, F.last(value, True).over(w))
 
 
-def density_neighbours(rows: DataFrame, value: str, radius: float, groups: Sequence[str] = ()) -> DataFrame:
-    """Each row with `density`: the other rows within `radius` of its value.
+def _densities(distinct: DataFrame, radius: float, groups: Sequence[str] = ()) -> DataFrame:
+    """`distinct` (`groups`, value, n) with `density`: the other rows within `radius` of each value.
 
-    Rows are spread over cells of the value's line; each cell also gets the rows within `radius` of it, so every window is local and no task
-    sorts all values.
+    Values are spread over cells of their line; each cell also gets the values within `radius` of it, so every window is local and no task
+    sorts all values. A value comes once, however often it occurs.
     """
-    cell = F.floor(F.col(value) / (8 * radius))
-    spread = rows.withColumn("home__", cell)
-    span = F.array_distinct(F.array(F.floor((F.col(value) - radius) / (8 * radius)), F.floor((F.col(value) + radius) / (8 * radius)), cell))
-    spread = spread.withColumn("cell__", F.explode(span))
+    cell = F.floor(F.col("value") / (8 * radius))
+    span = F.array_distinct(F.array(F.floor((F.col("value") - radius) / (8 * radius)), F.floor((F.col("value") + radius) / (8 * radius)), cell))
+    spread = distinct.withColumn("home__", cell).withColumn("cell__", F.explode(span))
     by = ", ".join(f"`{c}`" for c in [*groups, "cell__"])
-    near = F.expr(f"count(1) OVER (PARTITION BY {by} ORDER BY `{value}` RANGE BETWEEN {float(radius)!r}D PRECEDING AND {float(radius)!r}D FOLLOWING)")
+    near = F.expr(f"sum(n) OVER (PARTITION BY {by} ORDER BY value RANGE BETWEEN {float(radius)!r}D PRECEDING AND {float(radius)!r}D FOLLOWING)")
     return spread.withColumn("density", near - 1).filter("home__ = cell__").drop("home__", "cell__")
 
 
+def density_neighbours(rows: DataFrame, value: str, radius: float, groups: Sequence[str] = ()) -> DataFrame:
+    """Each row with `density`: the other rows within `radius` of its value (W16). Null and NaN values give no rows.
+
+    Equal values are counted before any window, so a value that a third of all rows have is one row there.
+    """
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    distinct = known.groupBy(*groups, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = _densities(distinct, radius, groups).select(*[F.col(g).alias(f"{g}__g") for g in groups], F.col("value").alias("value__"), "density")
+    same = F.col(value) == F.col("value__")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}__g"))
+    return known.join(found, same).drop("value__", *[f"{g}__g" for g in groups])
+
+
 def distance_to_denser(pdf: pd.DataFrame, value: str) -> np.ndarray:
     """For values in ascending order, how far the nearest one of higher density is; for the densest, the farther end."""
     v, p = pdf[value].to_numpy(float), pdf["density"].to_numpy()
@@ -93,8 +107,8 @@ def density_peaks(rows: DataFrame, key: str, value: str, radius: float) -> DataF
     count come out, those of one member aside. Values farther apart than `radius` can't affect each other, so the values are cut into runs at
     larger gaps and each run is clustered on its own; equal values of a run come as one row with their number.
     """
-    points = density_neighbours(rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(key).alias("key"), F.col(value).alias("value")), "value", radius)
-    distinct = points.groupBy("value").agg(F.max("density").alias("density"), F.count(F.lit(1)).alias("n"))
+    known = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    distinct = _densities(known.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")), radius)
     # A run ends where no value follows within the radius: found by cells, then numbered by the running count of ends.
     laid = lay_out(distinct, [], [F.col("value")])
     ends = _last_of_runs(distinct, radius)
@@ -104,13 +118,17 @@ def density_peaks(rows: DataFrame, key: str, value: str, radius: float) -> DataF
         pdf = pdf.sort_values("value", ignore_index=True)
         sigma = distance_to_denser(pdf, "value")
         v, p, n = pdf["value"].to_numpy(), pdf["density"].to_numpy(), pdf["n"].to_numpy()
-        chosen: list[float] = []
+        chosen: list[float] = []  # ascending, so only the neighbours on either side can be near
         for i in np.lexsort((v, -p)).tolist():
-            if p[i] >= 1 and (sigma[i] >= radius or p[i] == p.max()) and all(abs(v[i] - c) > radius for c in chosen):
-                chosen.append(v[i])
+            if p[i] >= 1 and (sigma[i] >= radius or p[i] == p.max()):
+                at = bisect.bisect(chosen, v[i])
+                if all(abs(v[i] - c) > radius for c in chosen[max(at - 1, 0) : at + 1]):
+                    chosen.insert(at, v[i])
         found = []
         for c in chosen:
-            near = np.abs(v - c) <= radius
+            # Values within the radius stand in a row; the ends are compared as differences, as everywhere else.
+            a, b = np.searchsorted(v, [c - 2 * radius, c + 2 * radius])
+            near = a + np.flatnonzero(np.abs(v[a:b] - c) <= radius)
             found.append((c, int(n[near].sum()), float((v[near] * n[near]).sum() / n[near].sum())))
         return pd.DataFrame([f for f in found if f[1] > 1], columns=["peak", "n_members", "mean_value"])
 

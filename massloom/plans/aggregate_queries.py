@@ -311,5 +311,6 @@ SQL = {
     "motif_sites": "SELECT accession, m AS motif, CAST(i AS INTEGER) AS site FROM (SELECT accession, base_sequence, unnest(generate_series(1, length(base_sequence) - 2)) AS i FROM proteins), (VALUES ('Nxs', 'S'), ('Nxt', 'T')) t(m, z) WHERE substring(base_sequence, i, 1) = 'N' AND substring(base_sequence, i + 2, 1) = z",
     "linker_sites": "SELECT base_sequence, CAST(length(b) - length(replace(b, 'K', '')) AS INTEGER) AS n_sites FROM (SELECT DISTINCT base_sequence, left(base_sequence, greatest(length(base_sequence) - 1, 0)) AS b FROM psms WHERE base_sequence IS NOT NULL)",
     "peak_filter": "WITH p AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS mz FROM embeddings), b AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS base FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id, mz // 16 ORDER BY x DESC, mz) AS rn FROM b WHERE CAST(x AS DOUBLE) >= CAST(base AS DOUBLE) * 0.2) SELECT vec_id, CAST(mz AS INTEGER) AS mz FROM k WHERE rn <= 2",
+    "precursor_dedupe": "WITH l AS (SELECT list({'id': psm_id, 'v': precursor_mz} ORDER BY psm_id) AS l FROM psms WHERE scan_number IS NOT NULL AND precursor_mz IS NOT NULL AND NOT isnan(precursor_mz) GROUP BY full_file_path, scan_number, precursor_charge), k AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda k: abs(b[1].v - k.v) <= k.v * 10.0::DOUBLE / 1e6)) = 0 THEN list_concat(a, b) ELSE a END)) AS x FROM l) SELECT x.id AS psm_id FROM k",
     "isolation_windows": "WITH d AS (SELECT floor(precursor_mz * 100) AS v, count(*) AS n FROM psms WHERE precursor_mz IS NOT NULL AND NOT isnan(precursor_mz) GROUP BY 1), s AS (SELECT *, CASE WHEN v - lag(v) OVER (ORDER BY v) > 5 THEN 1 ELSE 0 END AS st FROM d), w AS (SELECT *, sum(st) OVER (ORDER BY v) AS window_no FROM s) SELECT CAST(window_no AS BIGINT) AS window_no, min(v) AS lowest, max(v) AS highest, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY 1",
 }

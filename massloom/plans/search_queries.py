@@ -168,7 +168,34 @@ _GOOD = "full_file_path IS NOT NULL AND scan_number IS NOT NULL"
 _LINKS = "links AS (SELECT DISTINCT unnest(regexp_extract_all(accession, '[A-Za-z0-9_-]+')) AS accession, base_sequence FROM psms WHERE decoy = 'N' AND q_value <= 0.01 AND NOT isnan(q_value) AND base_sequence IS NOT NULL AND trim(base_sequence) <> '')"
 
 QUERIES = {f.__name__: f for f in (parsimony, protein_groups, accession_dedupe, renamed_duplicates, disambiguate, enough_ions, tied_for_best, crosslink_class, crosslink_collapse, digest, decoy_proteins, peptide_masses, classic_search, modern_search, shift_dedupe, trace_extraction, xic_groups)}
+_PARSIMONY = f"""WITH RECURSIVE {_LINKS},
+  totals AS (SELECT accession, count(*) AS total FROM links GROUP BY 1), own AS (SELECT DISTINCT accession FROM links QUALIFY count(*) OVER (PARTITION BY base_sequence) = 1),
+  first AS (SELECT accession, base_sequence FROM links WHERE base_sequence NOT IN (SELECT base_sequence FROM links WHERE accession IN (FROM own))),
+  g AS (SELECT 0 AS step, accession, base_sequence FROM first UNION ALL
+    SELECT step, accession, base_sequence FROM (
+      WITH b AS (SELECT n.accession FROM (SELECT accession, count(*) AS n, max(step) AS step FROM g WHERE base_sequence IS NOT NULL GROUP BY 1) n JOIN totals USING (accession) ORDER BY n DESC, total DESC, accession LIMIT 1)
+      SELECT step + 1 AS step, accession, base_sequence FROM g WHERE base_sequence IS NOT NULL AND base_sequence NOT IN (SELECT base_sequence FROM g WHERE base_sequence IS NOT NULL AND accession IN (FROM b))
+      UNION ALL SELECT 1, accession, NULL FROM b)),
+  taken AS (SELECT accession, 'unique' AS reason FROM own UNION ALL SELECT accession, 'greedy' FROM g WHERE base_sequence IS NULL),
+  sets AS (SELECT accession, list_sort(list(base_sequence)) AS peptides FROM links GROUP BY 1)
+  SELECT accession, reason FROM taken UNION ALL SELECT accession, 'indistinguishable' FROM sets WHERE accession NOT IN (SELECT accession FROM taken) AND peptides IN (SELECT peptides FROM sets WHERE accession IN (SELECT accession FROM taken))"""
+_XIC = """WITH p AS (SELECT event_type, CAST(date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS INTEGER) AS scan, floor(value / 10) + 1 AS mz, count(*) AS n, sum(value) AS i FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2, 3),
+  c AS (SELECT *, sum(new) OVER (ORDER BY event_type, mz, scan) - 1 AS chain FROM (SELECT *, CASE WHEN mz - lag(mz) OVER (PARTITION BY event_type ORDER BY mz, scan) <= mz * 10 / 1e6 THEN 0 ELSE 1 END AS new FROM p)),
+  points AS (SELECT event_type, chain, sum(gap) OVER (PARTITION BY event_type, chain ORDER BY scan, mz) AS part, scan, n, i FROM (SELECT *, CASE WHEN scan - lag(scan) OVER (PARTITION BY event_type, chain ORDER BY scan, mz) <= 2 THEN 0 ELSE 1 END AS gap FROM c)),
+  xy AS (SELECT event_type, CAST(chain AS BIGINT) || '-' || CAST(part AS BIGINT) AS trace, scan, sum(n) AS n, sum(i) AS i FROM points GROUP BY ALL),
+  t AS (SELECT event_type, trace, arg_max(scan, i) AS apex, min(scan) AS s, max(scan) AS e FROM xy GROUP BY 1, 2 HAVING sum(n) >= 3),
+  near AS (SELECT a.trace AS ta, b.trace AS tb, greatest(a.s, b.s) AS lo, least(a.e, b.e) AS hi, (least(a.e, b.e) - greatest(a.s, b.s)) / nullif(greatest(a.e, b.e) - least(a.s, b.s), 0) AS overlap FROM t a JOIN t b ON a.event_type = 'view' AND b.event_type = 'click' AND b.apex BETWEEN a.apex - 2 AND a.apex + 2),
+  ok AS (SELECT *, hi - lo + 1 AS m FROM near WHERE overlap >= 0.2 AND hi > lo AND hi - lo + 1 >= 3),
+  a AS (SELECT ta, tb, sum(i) AS s, sum(i * i) AS q FROM ok JOIN xy ON event_type = 'view' AND trace = ta AND scan BETWEEN lo AND hi GROUP BY 1, 2), b AS (SELECT ta, tb, sum(i) AS s, sum(i * i) AS q FROM ok JOIN xy ON event_type = 'click' AND trace = tb AND scan BETWEEN lo AND hi GROUP BY 1, 2),
+  ab AS (SELECT ta, tb, sum(x.i * y.i) AS s FROM ok JOIN xy x ON x.event_type = 'view' AND x.trace = ta AND x.scan BETWEEN lo AND hi JOIN xy y ON y.event_type = 'click' AND y.trace = tb AND y.scan = x.scan GROUP BY 1, 2),
+  k AS (SELECT ok.ta, ok.tb, overlap, (coalesce(ab.s, 0) - coalesce(a.s, 0) * coalesce(b.s, 0) / m) / sqrt(nullif((a.q - a.s * a.s / m) * (b.q - b.s * b.s / m), 0)) AS r FROM ok LEFT JOIN a USING (ta, tb) LEFT JOIN b USING (ta, tb) LEFT JOIN ab USING (ta, tb)),
+  many AS (SELECT * FROM k WHERE r >= 0.3 QUALIFY count(*) OVER (PARTITION BY ta) > 1),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY ta ORDER BY r DESC, tb) AS f, row_number() OVER (PARTITION BY tb ORDER BY r DESC, ta) AS p FROM many)
+  SELECT ta AS precursor, tb AS fragment, round(overlap, 6) AS overlap, round(r, 6) AS correlation, CAST(f AS INTEGER) AS fragment_rank, CAST(p AS INTEGER) AS precursor_rank FROM ranked WHERE f <= 100 AND p <= 10"""
+
 SQL = {
+    "parsimony": _PARSIMONY,
+    "xic_groups": _XIC,
     "classic_search": _SEARCH,
     "modern_search": _SEARCH,
     "peptide_masses": f"WITH r(a, x) AS (VALUES {_LETTERS}), s AS (SELECT DISTINCT base_sequence AS q FROM psms WHERE regexp_full_match(base_sequence, '[ACDEFGHIKLMNPQRSTVWY]{{2,}}')), {_LADDERS.format('s', 'th')} SELECT q AS base_sequence, round(max(mass), 4) AS mass, CAST(sum((ion < 2000)::INT) AS INTEGER) AS n_small_ions FROM th_l JOIN th_m USING (q) GROUP BY 1",

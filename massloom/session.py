@@ -106,6 +106,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
         print(f"massloom: {path} is left: {type(e).__name__}", file=sys.stderr)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def local_path(path: str) -> str:
     """file:/a, file:///a or /a as /a."""
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path

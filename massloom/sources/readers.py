@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massloom.functions.text import bound
 from massloom.operators.bad_rows import DESIGN_RULES, bad_rows, good_rows
 
 #: The accepted endings.
@@ -63,6 +64,35 @@ def with_sequence(databases: Sequence[DataFrame]) -> tuple[DataFrame, int]:
     return every.filter(F.length("base_sequence") > 0), every.filter(F.coalesce(F.length("base_sequence"), F.lit(0)) == 0).count()
 
 
+def database_counts(databases: Sequence[DataFrame], decoy: str = "DECOY_") -> DataFrame:
+    """(is_contaminant, n_targets, n_decoys, n_empty) of all databases together (S6), by one scan."""
+    every = databases[0]
+    for d in databases[1:]:
+        every = every.unionByName(d)
+    empty = F.coalesce(F.length("base_sequence"), F.lit(0)) == 0
+    is_decoy = F.col("accession").startswith(decoy)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return every.groupBy("is_contaminant").agg(count(~empty & ~is_decoy).alias("n_targets"), count(~empty & is_decoy).alias("n_decoys"), count(empty).alias("n_empty"))
+
+
+def filtered_spectra(spectra: DataFrame, keys: Sequence[str], per_window: int = 200, window: float | None = None, least_ratio: float = 0.01, low_cid: bool = False) -> DataFrame:
+    """Spectra (`keys`, mz, intensity) with their highest peaks only (S2, F13): of each window up to `per_window`, of `least_ratio` of the base peak at least.
+
+    Spectra of low-energy CID stay as they are. A spectrum stays where its arrays are, so nothing is shuffled; null and empty ones stay.
+    """
+    if low_cid:
+        return spectra
+    pairs = F.arrays_zip(F.col("mz").alias("mz"), F.col("intensity").alias("intensity"))
+    base = F.array_max("intensity") * least_ratio
+    strong = F.filter(pairs, lambda p: p["intensity"] >= base)
+    ranked = F.array_sort(F.transform(strong, lambda p: F.struct((F.floor(p["mz"] / window) if window else F.lit(0).cast("bigint")).alias("w"), (-p["intensity"]).alias("i"), p["mz"].alias("mz"))))
+    # In the order of windows and intensity a peak's place within its window is its distance from the window's first one.
+    kept = bound(ranked, lambda r: bound(F.transform(r, lambda x: x["w"]), lambda w: F.filter(r, lambda x, i: i + 1 - F.array_position(w, x["w"]) < per_window)))
+    by_mz = F.array_sort(F.transform(kept, lambda x: F.struct(x["mz"].alias("mz"), (-x["i"]).alias("intensity"))))
+    has = F.size("mz") > 0
+    return spectra.withColumn("kept__", F.when(has, by_mz)).withColumn("mz", F.when(has, F.transform("kept__", lambda p: p["mz"])).otherwise(F.col("mz"))).withColumn("intensity", F.when(has, F.transform("kept__", lambda p: p["intensity"])).otherwise(F.col("intensity"))).drop("kept__")
+
+
 def read_protein_xml(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(accession, full_name, gene, organism, base_sequence, features) of the entries of a protein XML file."""
     feature = T.StructType([T.StructField(n, T.StringType()) for n in ("_type", "_description", "original", "variation")] + [T.StructField("location", T.StructType([T.StructField(n, T.StructType([T.StructField("_position", T.IntegerType())])) for n in ("position", "begin", "end")]))])

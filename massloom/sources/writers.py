@@ -1,17 +1,16 @@
-"""Writers of result files (K1-K18). Tables are written by Spark; XML is streamed from sorted rows, so the driver never holds a result."""
+"""Writers of result files (K1-K18). All are written by Spark into folders, documents as parts in order, so the driver never holds a result."""
 
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator, Sequence
-from xml.sax.saxutils import escape, quoteattr
+from collections.abc import Sequence
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions.masses import shortened
-from massloom.session import local_path
+from massloom.functions.sequences import bare_sequence, modifications
 
 
 def _cell(df: DataFrame, name: str, digits: int) -> Column:
@@ -64,46 +63,96 @@ def write_mgf(df: DataFrame, path: str) -> None:
     df.select(F.concat(head, lines, F.lit("\nEND IONS\n")).alias("value")).write.mode("overwrite").text(path)
 
 
-def _streamed(df: DataFrame, order: Sequence[str]) -> Iterator[dict]:
-    for r in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
-        yield r.asDict()
+def xml_text(col: Column) -> Column:
+    """A value as text or attribute of an XML document; null as empty."""
+    out = F.coalesce(col.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    # Other control characters can't stand in XML at all.
+    return F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
 
 
-def write_pepxml(df: DataFrame, path: str, enzyme: str = "trypsin") -> None:
-    """pepXML of matches (file_name, scan_number, precursor_charge, precursor_mass, peptide, protein, score, q_value) by file and scan (K5)."""
-    with open(local_path(path), "w", encoding="utf-8") as f:
-        f.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<msms_pipeline_analysis xmlns="http://regis-web.systemsbiology.net/pepXML">\n<msms_run_summary base_name="run" raw_data_type="raw" raw_data="mzML">\n<sample_enzyme name={quoteattr(enzyme)}/>\n')
-        for i, r in enumerate(_streamed(df, ["file_name", "scan_number"]), 1):
-            scan = r["scan_number"]
-            f.write(f'<spectrum_query spectrum={quoteattr(f"{r["file_name"]}.{scan}.{scan}.{r["precursor_charge"]}")} start_scan="{scan}" end_scan="{scan}" precursor_neutral_mass="{r["precursor_mass"]}" assumed_charge="{r["precursor_charge"]}" index="{i}"><search_result><search_hit hit_rank="1" peptide={quoteattr(r["peptide"] or "")} protein={quoteattr(r["protein"] or "")}><search_score name="score" value="{r["score"]}"/><search_score name="q_value" value="{r["q_value"]}"/></search_hit></search_result></spectrum_query>\n')
-        f.write("</msms_run_summary>\n</msms_pipeline_analysis>\n")
+def _write_document(parts: Sequence[str | tuple[DataFrame, Sequence[str], Column]], spark: SparkSession, path: str) -> None:
+    """A document of fixed lines and of lines made from rows, each in order of its keys: a folder of parts that read one after another are the document."""
+    every = None
+    for i, part in enumerate(parts):
+        if isinstance(part, str):
+            rows = spark.createDataFrame([(i, part)], "part int, line string").withColumn("keys", F.lit(""))
+        else:
+            df, keys, line = part
+            # Numbers are padded, so that as text they sort as numbers.
+            rows = df.select(F.lit(i).alias("part"), line.alias("line"), F.concat_ws("\x00", *[F.lpad(F.col(k).cast("string"), 20, "0") if df.schema[k].dataType.typeName() in ("integer", "long") else F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("keys"))
+        every = rows if every is None else every.unionByName(rows)
+    every.orderBy("part", "keys", "line").select("line").write.mode("overwrite").text(path)
+
+
+def write_pepxml(df: DataFrame, path: str, enzyme: str = "trypsin", settings: dict[str, str] | None = None) -> None:
+    """pepXML of matches (file_name, scan_number, precursor_charge, precursor_mass, peptide, protein, score, q_value) by file and scan (K5), as a folder of parts.
+
+    `settings` are written as parameters of the search; an optional column `mods`, (residue, mass) each, as modified residues.
+    """
+    x = lambda c: xml_text(F.col(c))
+    spectrum = F.concat(x("file_name"), F.lit("."), x("scan_number"), F.lit("."), x("scan_number"), F.lit("."), x("precursor_charge"))
+    mods = F.lit("")
+    if "mods" in df.columns:
+        each = F.array_join(F.transform("mods", lambda m: F.concat(F.lit('<mod_aminoacid_mass position="'), m["residue"].cast("string"), F.lit('" mass="'), m["mass"].cast("string"), F.lit('"/>'))), "")
+        mods = F.when(F.size("mods") > 0, F.concat(F.lit("<modification_info>"), each, F.lit("</modification_info>"))).otherwise("")
+    line = F.concat(
+        F.lit('<spectrum_query spectrum="'), spectrum, F.lit('" start_scan="'), x("scan_number"), F.lit('" end_scan="'), x("scan_number"), F.lit('" precursor_neutral_mass="'), x("precursor_mass"), F.lit('" assumed_charge="'), x("precursor_charge"),
+        F.lit('"><search_result><search_hit hit_rank="1" peptide="'), x("peptide"), F.lit('" protein="'), x("protein"), F.lit('">'), mods, F.lit('<search_score name="score" value="'), x("score"), F.lit('"/><search_score name="q_value" value="'), x("q_value"), F.lit('"/></search_hit></search_result></spectrum_query>'),
+    )
+    parameters = "".join(f"<parameter name={quoteattr(k)} value={quoteattr(v)}/>" for k, v in (settings or {}).items())
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<msms_pipeline_analysis xmlns="http://regis-web.systemsbiology.net/pepXML">\n<msms_run_summary base_name="run" raw_data_type="raw" raw_data="mzML">\n<sample_enzyme name={quoteattr(enzyme)}/>\n<search_summary base_name="run" search_engine="massloom">{parameters}</search_summary>'
+    _write_document([head, (df, ["file_name", "scan_number"], line), "</msms_run_summary>\n</msms_pipeline_analysis>"], df.sparkSession, path)
 
 
 def write_mzidentml(df: DataFrame, path: str) -> None:
-    """mzIdentML of the same rows (K4): sequences, peptides, evidence and items, each part streamed from its own distinct rows."""
-    name = lambda kind, text: f"{kind}_{hashlib.md5((text or '').encode()).hexdigest()[:16]}"
-    with open(local_path(path), "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<MzIdentML version="1.1.1" id="result" xmlns="http://psidev.info/psi/pi/mzIdentML/1.1">\n<SequenceCollection>\n')
-        for r in _streamed(df.select("protein").distinct(), ["protein"]):
-            f.write(f"<DBSequence id={quoteattr(name('DBS', r['protein']))} accession={quoteattr(r['protein'] or '')} searchDatabase_ref=\"SDB\"/>\n")
-        for r in _streamed(df.select("peptide").distinct(), ["peptide"]):
-            f.write(f"<Peptide id={quoteattr(name('PEP', r['peptide']))}><PeptideSequence>{escape(r['peptide'] or '')}</PeptideSequence></Peptide>\n")
-        for r in _streamed(df.select("peptide", "protein").distinct(), ["peptide", "protein"]):
-            f.write(f"<PeptideEvidence id={quoteattr(name('EV', (r['peptide'] or '') + '/' + (r['protein'] or '')))} peptide_ref={quoteattr(name('PEP', r['peptide']))} dBSequence_ref={quoteattr(name('DBS', r['protein']))}/>\n")
-        f.write('</SequenceCollection>\n<DataCollection><AnalysisData><SpectrumIdentificationList id="SIL">\n')
-        for i, r in enumerate(_streamed(df, ["file_name", "scan_number"]), 1):
-            f.write(f'<SpectrumIdentificationResult id="SIR_{i}" spectrumID="scan={r["scan_number"]}" spectraData_ref={quoteattr(name("SD", r["file_name"]))}><SpectrumIdentificationItem id="SII_{i}" chargeState="{r["precursor_charge"]}" rank="1" passThreshold="{str((r["q_value"] or 0) <= 0.01).lower()}" peptide_ref={quoteattr(name("PEP", r["peptide"]))}><cvParam accession="MS:1002354" name="PSM-level q-value" cvRef="PSI-MS" value="{r["q_value"]}"/></SpectrumIdentificationItem></SpectrumIdentificationResult>\n')
-        f.write("</SpectrumIdentificationList></AnalysisData></DataCollection>\n</MzIdentML>\n")
+    """mzIdentML of the same rows (K4), as a folder of parts: sequences, peptides with their modifications, evidence, inputs and items, each from its own distinct rows."""
+    x = lambda c: xml_text(F.col(c))
+    ref = lambda kind, *cols: F.concat(F.lit(kind + "_"), F.substring(F.md5(F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("")) for c in cols])), 1, 16))
+    bare, mods = bare_sequence(F.coalesce("peptide", F.lit(""))), modifications(F.coalesce("peptide", F.lit("")), with_fixed=True)
+    each = F.array_join(F.transform(mods, lambda m: F.concat(F.lit('<Modification location="'), m["residue"].cast("string"), F.lit('"><cvParam cvRef="PSI-MS" accession="MS:1001460" name="unknown modification" value="'), xml_text(m["name"]), F.lit('"/></Modification>'))), "")
+    protein = F.concat(F.lit('<DBSequence id="'), ref("DBS", "protein"), F.lit('" accession="'), x("protein"), F.lit('" searchDatabase_ref="SDB"/>'))
+    peptide = F.concat(F.lit('<Peptide id="'), ref("PEP", "peptide"), F.lit('"><PeptideSequence>'), bare, F.lit("</PeptideSequence>"), each, F.lit("</Peptide>"))
+    evidence = F.concat(F.lit('<PeptideEvidence id="'), ref("EV", "peptide", "protein"), F.lit('" peptide_ref="'), ref("PEP", "peptide"), F.lit('" dBSequence_ref="'), ref("DBS", "protein"), F.lit('"/>'))
+    spectra = F.concat(F.lit('<SpectraData id="'), ref("SD", "file_name"), F.lit('" location="'), x("file_name"), F.lit('"/>'))
+    name = F.concat(ref("SII", "file_name", "peptide"), F.lit("_"), x("scan_number"))
+    item = F.concat(
+        F.lit('<SpectrumIdentificationResult id="'), F.replace(name, F.lit("SII_"), F.lit("SIR_")), F.lit('" spectrumID="scan='), x("scan_number"), F.lit('" spectraData_ref="'), ref("SD", "file_name"), F.lit('"><SpectrumIdentificationItem id="'), name, F.lit('" chargeState="'), x("precursor_charge"),
+        F.lit('" rank="1" passThreshold="'), F.when(F.col("q_value") <= 0.01, "true").otherwise("false"), F.lit('" peptide_ref="'), ref("PEP", "peptide"), F.lit('"><PeptideEvidenceRef peptideEvidence_ref="'), ref("EV", "peptide", "protein"), F.lit('"/><cvParam accession="MS:1002354" name="PSM-level q-value" cvRef="PSI-MS" value="'), x("q_value"), F.lit('"/></SpectrumIdentificationItem></SpectrumIdentificationResult>'),
+    )
+    parts = [
+        '<?xml version="1.0" encoding="UTF-8"?>\n<MzIdentML version="1.1.1" id="result" xmlns="http://psidev.info/psi/pi/mzIdentML/1.1">\n<SequenceCollection>',
+        (df.select("protein").distinct(), ["protein"], protein), (df.select("peptide").distinct(), ["peptide"], peptide), (df.select("peptide", "protein").distinct(), ["peptide", "protein"], evidence),
+        '</SequenceCollection>\n<AnalysisProtocolCollection><SpectrumIdentificationProtocol id="SIP" analysisSoftware_ref="AS"><Threshold><cvParam accession="MS:1001448" name="pep:FDR threshold" cvRef="PSI-MS" value="0.01"/></Threshold></SpectrumIdentificationProtocol></AnalysisProtocolCollection>\n<DataCollection><Inputs><SearchDatabase id="SDB" location=""/>',
+        (df.select("file_name").distinct(), ["file_name"], spectra), '</Inputs><AnalysisData><SpectrumIdentificationList id="SIL">',
+        (df, ["file_name", "scan_number"], item), "</SpectrumIdentificationList></AnalysisData></DataCollection>\n</MzIdentML>",
+    ]
+    _write_document(parts, df.sparkSession, path)
 
 
 def write_protein_xml(df: DataFrame, path: str) -> None:
-    """A protein XML database with modified residues as features: (accession, full_name, base_sequence, features of (type, description, begin)) (K8)."""
-    with open(local_path(path), "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<mzLibProteinDb>\n')
-        for r in _streamed(df, ["accession"]):
-            spans = "".join(f"<feature type={quoteattr(x['type'])} description={quoteattr(x['description'])}><location><position position=\"{x['begin']}\"/></location></feature>" for x in r["features"] or [])
-            f.write(f"<entry><accession>{escape(r['accession'])}</accession><name>{escape(r['full_name'] or '')}</name>{spans}<sequence length=\"{len(r['base_sequence'])}\">{r['base_sequence']}</sequence></entry>\n")
-        f.write("</mzLibProteinDb>\n")
+    """A protein XML database with modified residues as features: (accession, full_name, base_sequence, features of (type, description, begin)) (K8), as a folder of parts."""
+    spans = F.array_join(F.transform("features", lambda f: F.concat(F.lit('<feature type="'), xml_text(f["type"]), F.lit('" description="'), xml_text(f["description"]), F.lit('"><location><position position="'), f["begin"].cast("string"), F.lit('"/></location></feature>'))), "")
+    x = lambda c: xml_text(F.col(c))
+    line = F.concat(F.lit("<entry><accession>"), x("accession"), F.lit("</accession><name>"), x("full_name"), F.lit("</name>"), F.coalesce(spans, F.lit("")), F.lit('<sequence length="'), F.length("base_sequence").cast("string"), F.lit('">'), x("base_sequence"), F.lit("</sequence></entry>"))
+    _write_document(['<?xml version="1.0" encoding="UTF-8"?>\n<mzLibProteinDb>', (df, ["accession"], line), "</mzLibProteinDb>"], df.sparkSession, path)
+
+
+#: The columns of a written table of matches in their order, by the names of this engine's columns.
+MATCH_HEADER = {
+    "file_name": "File Name", "scan_number": "Scan Number", "scan_retention_time": "Scan Retention Time", "num_experimental_peaks": "Num Experimental Peaks", "total_ion_current": "Total Ion Current", "precursor_scan_number": "Precursor Scan Number", "precursor_charge": "Precursor Charge", "precursor_mz": "Precursor MZ", "precursor_mass": "Precursor Mass",
+    "score": "Score", "delta_score": "Delta Score", "notch": "Notch", "base_sequence": "Base Sequence", "full_sequence": "Full Sequence", "ambiguity_level": "Ambiguity Level", "missed_cleavages": "Missed Cleavages", "peptide_monoisotopic_mass": "Peptide Monoisotopic Mass", "mass_diff_da": "Mass Diff (Da)", "mass_diff_ppm": "Mass Diff (ppm)",
+    "accession": "Protein Accession", "protein_name": "Protein Name", "gene_name": "Gene Name", "organism_name": "Organism Name", "identified_sequence_variations": "Identified Sequence Variations", "contaminant": "Contaminant", "decoy": "Decoy", "decoy_contaminant_target": "Decoy/Contaminant/Target", "matched_ion_counts": "Matched Ion Counts",
+    "cumulative_target": "Cumulative Target", "cumulative_decoy": "Cumulative Decoy", "q_value": "QValue", "q_value_notch": "QValue Notch", "pep": "PEP", "pep_q_value": "PEP_QValue",
+}
+
+
+def write_matches(df: DataFrame, path: str, order: Sequence[Column] = (), per_file: bool = False) -> None:
+    """A table of matches or peptides with the columns of MATCH_HEADER that `df` has, in that order (K1); with `per_file` one folder for each file."""
+    names = {c: h for c, h in MATCH_HEADER.items() if c in df.columns}
+    out = df.select(*[F.col(c).alias(h) for c, h in names.items()], *([F.col("file_name").alias("file")] if per_file else []))
+    write_tsv(out, path, order, per="file" if per_file else None)
 
 
 def pruned(database: DataFrame, observed: DataFrame, rules: dict[str, int]) -> DataFrame:
@@ -134,9 +183,6 @@ def cached_index(build, spark: SparkSession, folder: str, parameters: str) -> Da
     return spark.read.parquet(path)
 
 
-def write_summary(lines: Sequence[str], path: str) -> None:
-    """results.txt."""
-    here = local_path(path)
-    os.makedirs(os.path.dirname(here), exist_ok=True)
-    with open(here, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+def write_summary(spark: SparkSession, lines: Sequence[str], path: str) -> None:
+    """results.txt (K16), as a folder with one part."""
+    _write_document(list(lines), spark, path)
