@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from massloom.functions.text import is_blank
-from massloom.session import new_path
+from massloom.session import new_path, path_exists
 
 #: Rows of a row group of the clustered table: few, since a row group is what is read or skipped.
 ROW_GROUP_ROWS = 4096
@@ -54,7 +54,7 @@ def kept_layout(rows: DataFrame, key: str, group: str, score: str) -> str:
     state = listed.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
     plan = rows._jdf.queryExecution().analyzed().canonicalized().hashCode()
     at = (spark.sparkContext.applicationId, key, group, score, plan, *state)
-    if at not in _LAYOUTS:
+    if at not in _LAYOUTS or not path_exists(spark, _LAYOUTS[at]):
         _LAYOUTS[at] = cluster_rows(rows, key, group, score)
     return _LAYOUTS[at]
 
