@@ -110,7 +110,7 @@ def write_mzidentml(df: DataFrame, path: str) -> None:
     """mzIdentML of the same rows (K4), as a folder of parts: sequences, peptides with their modifications, evidence, inputs and items, each from its own distinct rows."""
     x = lambda c: xml_text(F.col(c))
     ref = lambda kind, *cols: F.concat(F.lit(kind + "_"), F.substring(F.md5(F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("")) for c in cols])), 1, 16))
-    bare, mods = bare_sequence(F.coalesce("peptide", F.lit(""))), modifications(F.coalesce("peptide", F.lit("")), with_fixed=True)
+    bare, mods = xml_text(bare_sequence(F.coalesce("peptide", F.lit("")))), modifications(F.coalesce("peptide", F.lit("")), with_fixed=True)
     each = F.array_join(F.transform(mods, lambda m: F.concat(F.lit('<Modification location="'), m["residue"].cast("string"), F.lit('"><cvParam cvRef="PSI-MS" accession="MS:1001460" name="unknown modification" value="'), xml_text(m["name"]), F.lit('"/></Modification>'))), "")
     protein = F.concat(F.lit('<DBSequence id="'), ref("DBS", "protein"), F.lit('" accession="'), x("protein"), F.lit('" searchDatabase_ref="SDB"/>'))
     peptide = F.concat(F.lit('<Peptide id="'), ref("PEP", "peptide"), F.lit('"><PeptideSequence>'), bare, F.lit("</PeptideSequence>"), each, F.lit("</Peptide>"))

@@ -87,17 +87,53 @@ def test_written_tables(spark, tmp_path):
     back = [r.asDict() for r in readers.read_table(spark, str(tmp_path / "t")).collect()]
     assert back == [{"Scan": "1", "Score": "NaN", "Name": "a b"}, {"Scan": "2", "Score": "1.235", "Name": None}]
     rows = spark.createDataFrame([("f", 3, 2, 900.0, "PEP<K", "P1", 5.0, 0.001), ("f", 1, 2, 900.0, "AAK", None, 4.0, 0.5)], "file_name string, scan_number int, precursor_charge int, precursor_mass double, peptide string, protein string, score double, q_value double")
-    writers.write_pepxml(rows, str(tmp_path / "x.pepXML"))
-    writers.write_mzidentml(rows, str(tmp_path / "x.mzid"))
+    writers.write_pepxml(rows, str(tmp_path / "pepxml"))
+    writers.write_mzidentml(rows, str(tmp_path / "mzid"))
     import xml.etree.ElementTree as ET
 
-    assert len(list(ET.parse(tmp_path / "x.pepXML").getroot().iter("{http://regis-web.systemsbiology.net/pepXML}search_hit"))) == 2
-    assert len(list(ET.parse(tmp_path / "x.mzid").getroot().iter("{http://psidev.info/psi/pi/mzIdentML/1.1}SpectrumIdentificationItem"))) == 2
+    def document(folder):
+        """The parts of a written document one after another."""
+        return ET.fromstring("".join(p.read_text() for p in sorted((tmp_path / folder).glob("part-*"))))
+
+    assert len(list(document("pepxml").iter("{http://regis-web.systemsbiology.net/pepXML}search_hit"))) == 2
+    assert len(list(document("mzid").iter("{http://psidev.info/psi/pi/mzIdentML/1.1}SpectrumIdentificationItem"))) == 2
     keys = "accession string, position int, modification string, mod_type string"
     db, seen = spark.createDataFrame([("A", 1, "m", "t1"), ("A", 2, "m", "t2"), ("A", 3, "m", "t0")], keys), spark.createDataFrame([("A", 1, "m", "t1"), ("A", 9, "m", "t3")], keys)
     assert {r.position for r in writers.pruned(db, seen, {"t0": 0, "t1": 1, "t2": 2, "t3": 3}).collect()} == {1, 2, 9}
 
 
+def test_documents_are_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([("f", n, 2, 900.0, f"A[Common:Ox on A]K{'A' * (n % 3)}", "P&1", 5.0, 0.001, [{"residue": 1, "mass": 87.0}] if n % 2 else []) for n in (9, 10, 100, 2)], "file_name string, scan_number int, precursor_charge int, precursor_mass double, peptide string, protein string, score double, q_value double, mods array<struct<residue:int,mass:double>>").repartition(4)
+    writers.write_pepxml(rows, str(tmp_path / "p"), settings={"a": "b & c"})
+    text = "".join(p.read_text() for p in sorted((tmp_path / "p").glob("part-*")))
+    assert [int(x.split('"')[0]) for x in text.split('start_scan="')[1:]] == [2, 9, 10, 100]
+    assert text.count("<mod_aminoacid_mass") == 1 and "b &amp; c" in text
+    writers.write_mzidentml(rows.drop("mods"), str(tmp_path / "m"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "m").glob("part-*")))
+    assert text.count("<Modification ") == 3 and text.count("<SpectraData ") == 1
+    writers.write_summary(spark, ["one", "two"], str(tmp_path / "s"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "s").glob("part-*"))) == "one\ntwo\n"
+    matches = spark.createDataFrame([(0.5, "b", 2, "x"), (0.25, "a", 1, "y")], "q_value double, file_name string, scan_number int, other string")
+    writers.write_matches(matches, str(tmp_path / "t"), [F.col("`File Name`")])
+    back = readers.read_matches(spark, str(tmp_path / "t"))
+    assert back.columns == ["File Name", "Scan Number", "QValue"] and sorted(tuple(r) for r in back.collect()) == [("a", 1, 0.25), ("b", 2, 0.5)]
+
+
+def test_filtered_spectra(spark):
+    """The highest peaks of each window of 10 against a plain selection; null and empty spectra stay."""
+    rng = np.random.default_rng(1)
+    spectra = [(i, sorted(set(np.round(rng.uniform(0, 40, 30), 3).tolist()))) for i in range(20)]
+    rows = [(i, mz, np.round(rng.uniform(0, 9, len(mz)), 1).tolist()) for i, mz in spectra]
+    df = spark.createDataFrame([*rows, (98, [], []), (99, None, None)], "id int, mz array<double>, intensity array<double>")
+    got = {r.id: (r.mz, r.intensity) for r in readers.filtered_spectra(df, ["id"], 3, 10.0, 0.2).collect()}
+    assert got[98] == ([], []) and got[99] == (None, None)
+    for i, mz, intensity in rows:
+        ok = [(m, x) for m, x in zip(mz, intensity, strict=True) if x >= 0.2 * max(intensity)]
+        kept = sorted(p for w in range(4) for p in sorted((q for q in ok if q[0] // 10 == w), key=lambda q: (-q[1], q[0]))[:3])
+        assert list(zip(*got[i], strict=True)) == kept
+    assert readers.filtered_spectra(df, ["id"], low_cid=True).count() == 22
+
+
 def test_readers_survive_bad_cells(spark, tmp_path):
     """A bad cell is null and never ends the read; marks of a record's end count only at the beginning of a line."""
     msp = _file(tmp_path, "x.msp", 'Name: PEPK/2\nMW: 900.5\nComment: FullName: x Parent=450 iRT=-\nNum peaks: 1\n1.0.1\t0.5\t"b2/0ppm"\n\nName: AAK/1\nMW: 1\nNum peaks: 0\n')
