@@ -82,12 +82,6 @@ def released(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that `materialize` made and that no result reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete_path(df.sparkSession, path)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a written table; where the session has ended, local files still go."""
     if path.startswith("file:"):

@@ -136,7 +136,7 @@ def write_protein_xml(df: DataFrame, path: str) -> None:
     spans = F.array_join(F.transform("features", lambda f: F.concat(F.lit('<feature type="'), xml_text(f["type"]), F.lit('" description="'), xml_text(f["description"]), F.lit('"><location><position position="'), f["begin"].cast("string"), F.lit('"/></location></feature>'))), "")
     x = lambda c: xml_text(F.col(c))
     line = F.concat(F.lit("<entry><accession>"), x("accession"), F.lit("</accession><name>"), x("full_name"), F.lit("</name>"), F.coalesce(spans, F.lit("")), F.lit('<sequence length="'), F.length("base_sequence").cast("string"), F.lit('">'), x("base_sequence"), F.lit("</sequence></entry>"))
-    _write_document(['<?xml version="1.0" encoding="UTF-8"?>\n<mzLibProteinDb>', (df, ["accession"], line), "</mzLibProteinDb>"], df.sparkSession, path)
+    _write_document(['<?xml version="1.0" encoding="UTF-8"?>\n<uniprot>', (df, ["accession"], line), "</uniprot>"], df.sparkSession, path)
 
 
 #: The columns of a written table of matches in their order, by the names of this engine's columns.
