@@ -67,8 +67,11 @@ def running(laid: DataFrame, groups: Sequence[str], sums: dict[str, Column], ext
         out = _joined(laid, offsets, groups).withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"{n}__o") for n, v in sums.items()}).drop(*[f"{n}__o" for n in sums])
     back = Window.partitionBy(*groups, _PART).orderBy(F.desc("ordered_key")).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({n: (F.min if least else F.max)(v).over(upto if forward else back) for n, (v, least, forward) in extremes.items()})
-    out = materialize(out, "running")
-    ends = out.groupBy(*groups, _PART).agg(*[(F.min if least else F.max)(n).alias(f"{n}__t") for n, (_, least, _f) in extremes.items()])
+    if sums:
+        out = materialize(out, "running")
+        ends = out.groupBy(*groups, _PART).agg(*[(F.min if least else F.max)(n).alias(f"{n}__t") for n, (_, least, _f) in extremes.items()])
+    else:  # the values don't depend on what is before them, so a partition's extreme is known at once
+        ends = laid.groupBy(*groups, _PART).agg(*[(F.min if least else F.max)(v).alias(f"{n}__t") for n, (v, least, _f) in extremes.items()])
     others = (Window.unboundedPreceding, -1)
     after = Window.partitionBy(*groups).orderBy(F.desc(_PART))
     passed = ends.select(*groups, _PART, *[(F.min if least else F.max)(f"{n}__t").over((parts if forward else after).rowsBetween(*others)).alias(f"{n}__o") for n, (_, least, forward) in extremes.items()])
