@@ -196,3 +196,16 @@ def test_masses_polish_and_reporters(spark):
     long = pd.DataFrame([("A", f"p{i}", f"s{j}", 2.0 ** (a + b)) for i, a in enumerate(r) for j, b in enumerate(c)], columns=["protein", "peptide", "sample", "x"])
     got = {x["sample"]: x["abundance"] for x in aggregates.protein_rollup(spark.createDataFrame(long), "protein", "peptide", "sample", "x").collect()}
     assert got["s1"] - got["s0"] == pytest.approx(2)
+
+
+def test_pairs_to_sum_never_shuffles_the_targets(spark):
+    mods = spark.createDataFrame([("A", 1.0), ("B", 2.5), ("None", 0.0)], "mod string, mass double")
+    shifts = spark.range(200).select("id", (F.col("id") / 20).alias("shift"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.pairs_to_sum(mods, shifts, "mass", "mod", "shift", 0.002)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted((round(s * 20), a, b) for a, x in (("A", 1.0), ("B", 2.5), ("None", 0.0)) for b, y in (("A", 1.0), ("B", 2.5), ("None", 0.0)) if a <= b and (s := x + y) < 10)
+    assert sorted((r.id, r.first, r.second) for r in out.collect()) == want
