@@ -94,7 +94,10 @@ def filtered_spectra(spectra: DataFrame, keys: Sequence[str], per_window: int =
 
 
 def read_protein_xml(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(accession, full_name, gene, organism, base_sequence, features) of the entries of a protein XML file."""
+    """(accession, full_name, gene, organism, base_sequence, features) of the entries of a protein XML file.
+
+    Files are cut at the ends of entries, so a part of a document, which has no root of its own, gives all its entries too.
+    """
     feature = T.StructType([T.StructField(n, T.StringType()) for n in ("_type", "_description", "original", "variation")] + [T.StructField("location", T.StructType([T.StructField(n, T.StructType([T.StructField("_position", T.IntegerType())])) for n in ("position", "begin", "end")]))])
     text = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_type", T.StringType())])
     schema = T.StructType([
@@ -103,7 +106,9 @@ def read_protein_xml(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
         T.StructField("organism", T.StructType([T.StructField("name", T.ArrayType(text))])),
         T.StructField("feature", T.ArrayType(feature)), T.StructField("sequence", T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_length", T.IntegerType())])),
     ])
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(paths)
+    # Entries don't nest: the last start before an end is that entry's.
+    entry = spark.read.option("lineSep", "</entry>").text(paths).select(F.regexp_extract("value", r"(?s).*(<entry[\s>].*)", 1).alias("entry")).filter("entry <> ''")
+    rows = entry.select(F.from_xml(F.concat("entry", F.lit("</entry>")), schema).alias("e")).select("e.*")
     spans = F.transform(F.coalesce("feature", F.array().cast(T.ArrayType(feature))), lambda f: F.struct(f["_type"].alias("type"), f["_description"].alias("description"), f["original"].alias("original"), f["variation"].alias("variation"), F.coalesce(f["location"]["position"]["_position"], f["location"]["begin"]["_position"]).alias("begin"), F.coalesce(f["location"]["position"]["_position"], f["location"]["end"]["_position"]).alias("end")))
     return rows.select(F.col("accession")[0].alias("accession"), F.col("name").alias("full_name"), F.col("gene")[0]["name"][0]["_VALUE"].alias("gene"), F.col("organism.name")[0]["_VALUE"].alias("organism"), F.regexp_replace("sequence._VALUE", r"\s", "").alias("base_sequence"), spans.alias("features"))
 

@@ -189,3 +189,12 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Session())
+
+
+def test_protein_xml_parts_without_a_root_give_all_their_entries(spark, tmp_path):
+    entry = '<entry>\n<accession>{0}</accession><name>n &amp; {0}</name><feature type="t" description="a &lt;b&gt;"><location><position position="3"/></location></feature><sequence length="3">PE\nP</sequence></entry>\n'
+    (tmp_path / "part-0").write_text('<?xml version="1.0" encoding="UTF-8"?>\n<uniprot>\n' + entry.format("A1") + entry.format("A2"))
+    (tmp_path / "part-1").write_text("".join(entry.format(f"B{i}") for i in range(3)))
+    (tmp_path / "part-2").write_text(entry.format("C1").replace("<entry>", '<entry dataset="x">') + "</uniprot>\n")
+    got = sorted((r.accession, r.full_name, r.base_sequence, r.features[0].description, r.features[0].begin) for r in readers.read_protein_xml(spark, str(tmp_path)).collect())
+    assert got == [(a, f"n & {a}", "PEP", "a <b>", 3) for a in ("A1", "A2", "B0", "B1", "B2", "C1")]
