@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,11 +91,13 @@ def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def best_with_ties(rows: DataFrame, keys: Sequence[str], score: str, cutoff: float, digits: int = 9) -> DataFrame:
     """All rows tied for the best score of at least `cutoff`, with `runner_up`: the next score, `cutoff` if there is none (A4)."""
-    passed = rows.filter(F.col(score) >= cutoff).withColumn("rounded__", F.round(score, digits))
-    best = passed.groupBy(*keys).agg(F.max("rounded__").alias("best__"))
-    tied = passed.join(best, list(keys)).withColumn("is_best__", F.col("rounded__") == F.col("best__"))
-    next_one = tied.filter(~F.col("is_best__")).groupBy(*keys).agg(F.max("rounded__").alias("runner_up"))
-    return tied.filter("is_best__").join(next_one, list(keys), "left").withColumn("runner_up", F.coalesce("runner_up", F.lit(cutoff))).drop("rounded__", "best__", "is_best__")
+    # Windows over the keys, so `rows`, mostly the scores of a search, are worked out once; rows without a key are no group.
+    known = [F.col(k).isNotNull() for k in keys]
+    passed = rows.filter(reduce(and_, known, F.col(score) >= cutoff)).withColumn("rounded__", F.round(score, digits))
+    w = Window.partitionBy(*keys)
+    ranked = passed.withColumn("best__", F.max("rounded__").over(w))
+    ranked = ranked.withColumn("runner_up", F.coalesce(F.max(F.when(F.col("rounded__") < F.col("best__"), F.col("rounded__"))).over(w), F.lit(cutoff)))
+    return ranked.filter(F.col("rounded__") == F.col("best__")).drop("rounded__", "best__")
 
 
 def resolved(rows: DataFrame, key: Sequence[str], columns: Sequence[str], decoy: Column) -> DataFrame:

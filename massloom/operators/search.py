@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,6 +284,18 @@ def list_scores(observed: np.ndarray, intensity: np.ndarray, total: float | None
 CANDIDATES_AT_ONCE = 2000
 
 
+def candidate_lists(pairs: DataFrame, scans: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(scan_id, candidates__ (peptide, `extra`), peaks, intensities, total): the candidates of each scan in lists of up to CANDIDATES_AT_ONCE.
+
+    Pairs are shuffled once, by scan. The lists are the hashed side of the join, so spectra are neither sorted nor spilled, and where `scans` is
+    partitioned by scan_id already they aren't shuffled either.
+    """
+    number = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.lit(0)))
+    part = F.floor((number - 1) / CANDIDATES_AT_ONCE).alias("part__")
+    lists = pairs.select("scan_id", F.struct("peptide", *extra).alias("c__"), part).groupBy("scan_id", "part__").agg(F.collect_list("c__").alias("candidates__"))
+    return lists.drop("part__").hint("shuffle_hash").join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+
+
 def scored_candidates(pairs: DataFrame, scans: DataFrame, ppm: float = 20.0, kinds: str = "by", extra: Sequence[str] = ()) -> DataFrame:
     """(scan_id, peptide, `extra`, score) of each pair of `pairs` (scan_id, peptide, `extra`).
 
@@ -294,11 +306,7 @@ def scored_candidates(pairs: DataFrame, scans: DataFrame, ppm: float = 20.0, kin
     def score(observed: pd.Series, intensity: pd.Series, total: pd.Series, peptides: pd.Series) -> pd.Series:
         return pd.Series([list_scores(np.asarray(o, float), np.asarray(x, float), t, list(p), ppm, kinds) for o, x, t, p in zip(observed, intensity, total, peptides, strict=True)])
 
-    # Lists by a hash of the peptide: as many as it takes, with no sort of a hot scan's candidates.
-    count = pairs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n__"))
-    part = F.pmod(F.xxhash64("peptide"), F.floor(F.col("n__") / CANDIDATES_AT_ONCE) + 1).alias("part__")
-    lists = pairs.join(count, "scan_id").groupBy("scan_id", part).agg(F.collect_list(F.struct("peptide", *extra)).alias("candidates__"))
-    full = lists.join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+    full = candidate_lists(pairs, scans, extra)
     scores = score("peaks", "intensities", "total", F.transform("candidates__", lambda c: c["peptide"]))
     zipped = F.arrays_zip(F.col("candidates__").alias("c"), scores.alias("s"))
     out = full.select("scan_id", F.explode(zipped).alias("x"))
@@ -327,11 +335,66 @@ def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by
     return peptides.select(F.explode(bins("peptide")).alias("bin"), "peptide", "mass")
 
 
-def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: int = 5, per_dalton: int = 1000) -> DataFrame:
+#: The width of a block of masses in the logarithm, many times a precursor's window.
+BLOCK_WIDTH = 1e-3
+
+
+def block_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float, product_ppm: float, cutoff: int, per_dalton: int) -> DataFrame:
+    """(scan_id, peptide, score) of the pairs that share `cutoff` bins of fragments, by an index within each block of masses.
+
+    Peptides and scans meet in blocks by mass, a scan in each block that its window touches. The postings are made within the block, so they are
+    never shuffled or stored; a scan's window is a run of the peptides in order of mass.
+    """
+    block = lambda m: F.floor(F.log(m) / BLOCK_WIDTH)
+    touched = F.sequence(block(F.col("precursor_mass") * (1 - 2 * precursor_ppm / 1e6)), block(F.col("precursor_mass") * (1 + 2 * precursor_ppm / 1e6)))
+    asked = scans.filter("precursor_mass > 0").select("scan_id", "precursor_mass", "peaks", "intensities", "total", F.explode(touched).alias("block__"))
+    listed_ = peptides.filter("mass > 0").select("peptide", "mass", block(F.col("mass")).alias("block__"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("mass", kind="stable")
+        names, masses = right["peptide"].to_numpy(), right["mass"].to_numpy(float)
+        scan_ids, found, scores = [], [], []
+        if len(names):
+            ladders: dict[int, np.ndarray] = {}
+            for scan_id, mass, peaks, intensities, total in zip(left["scan_id"], left["precursor_mass"], left["peaks"], left["intensities"], left["total"], strict=True):
+                # Somewhat wide, then by the exact rule.
+                near = np.arange(*np.searchsorted(masses, [mass * (1 - 2 * precursor_ppm / 1e6), mass * (1 + 2 * precursor_ppm / 1e6)]))
+                near = near[np.abs(mass - masses[near]) <= masses[near] * precursor_ppm / 1e6]
+                if not len(near):
+                    continue
+                o = np.asarray(peaks, float)
+                lo, hi = np.floor(o * (1 - 2 * product_ppm / 1e6) * per_dalton), np.ceil(o * (1 + 2 * product_ppm / 1e6) * per_dalton)
+                for i in near:
+                    if i not in ladders:
+                        ions = ladder_masses(names[i])
+                        ladders[i] = np.rint(ions[~np.isnan(ions)] * per_dalton)
+                # A bin is seen if the last peak whose first bin is no higher reaches it; peaks ascend, and so do both bounds.
+                owner = np.repeat(np.arange(len(near)), [len(ladders[i]) for i in near])
+                bins = np.concatenate([ladders[i] for i in near])
+                last = np.searchsorted(lo, bins, side="right") - 1
+                seen = (last >= 0) & (hi[np.maximum(last, 0)] >= bins) if len(o) else np.zeros(len(bins), bool)
+                enough = near[np.bincount(owner[seen], minlength=len(near)) >= cutoff]
+                if len(enough):
+                    x = np.asarray(intensities, float)
+                    for start in range(0, len(enough), CANDIDATES_AT_ONCE):
+                        some = names[enough[start : start + CANDIDATES_AT_ONCE]].tolist()
+                        scan_ids += [scan_id] * len(some)
+                        found += some
+                        scores += list_scores(o, x, total, some, product_ppm).tolist()
+        return pd.DataFrame({"scan_id": pd.Series(scan_ids, dtype=left["scan_id"].dtype), "peptide": pd.Series(found, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    kind = scans.schema["scan_id"].dataType.simpleString()
+    return asked.groupBy("block__").cogroup(listed_.groupBy("block__")).applyInPandas(search, f"scan_id {kind}, peptide string, score double")
+
+
+def modern_search(scans: DataFrame, peptides: DataFrame, index: DataFrame | None = None, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: int = 5, per_dalton: int = 1000) -> DataFrame:
     """The same matches from an index (Q2): fragments in a scan's bins are counted first, and only pairs with enough of them are scored.
 
-    The count is at least the number of matched fragments, so no pair that reaches the cutoff is lost.
+    The count is at least the number of matched fragments, so no pair that reaches the cutoff is lost. Without a kept `index` one is made for each
+    block of masses (`block_search`): no posting is shuffled then.
     """
+    if index is None:
+        return best_with_ties(block_search(scans, peptides, precursor_ppm, product_ppm, cutoff, per_dalton), ["scan_id"], "score", float(cutoff))
     # A coarse bin of the peptide's mass is part of the key, so postings far from the precursor are never read into a pair.
     log_width = 8 * precursor_ppm / 1e6
     coarse = lambda m: F.floor(F.log(m) / log_width)
@@ -380,7 +443,7 @@ def localized(scans: DataFrame, matches: DataFrame, product_ppm: float = 20.0) -
             rows.append((scores.max(), ",".join(str(i + 1) for i in np.flatnonzero(scores == scores.max()))))
         return pd.DataFrame(rows, columns=["score", "sites"])
 
-    full = matches.filter(F.length("peptide") > 0).join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
+    full = matches.filter(F.length("peptide") > 0).hint("shuffle_hash").join(scans.select("scan_id", "peaks", "intensities", "total"), "scan_id")
     return full.select("scan_id", "peptide", best("peaks", "intensities", "total", "peptide", "shift").alias("b")).select("scan_id", "peptide", "b.score", "b.sites").distinct()
 
 

@@ -209,3 +209,17 @@ def test_pairs_to_sum_never_shuffles_the_targets(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = sorted((round(s * 20), a, b) for a, x in (("A", 1.0), ("B", 2.5), ("None", 0.0)) for b, y in (("A", 1.0), ("B", 2.5), ("None", 0.0)) if a <= b and (s := x + y) < 10)
     assert sorted((r.id, r.first, r.second) for r in out.collect()) == want
+
+
+def test_modern_search_by_blocks_equals_the_kept_index_without_postings_in_the_shuffle(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(7, 12))) for _ in range(300)})
+    pep = spark.createDataFrame([(p,) for p in [*names, *(p[::-1] for p in names)]], "peptide string").distinct().withColumn("mass", search.peptide_mass(F.col("peptide")))
+    masses = {r.peptide: r.mass for r in pep.collect()}
+    ladders = [(i, p, sorted(search.ladder_masses(p).tolist())) for i, p in enumerate(names)]
+    s = spark.createDataFrame([(i, masses[p], x, [1.0] * len(x), float(len(x))) for i, p, x in ladders], "scan_id int, precursor_mass double, peaks array<double>, intensities array<double>, total double")
+    rows = lambda found: sorted((r.scan_id, r.peptide, round(r.score, 9)) for r in found.collect())
+    blocks = search.modern_search(s, pep, cutoff=5, per_dalton=50)
+    want = rows(search.modern_search(s, pep, search.fragment_index(pep, 50), cutoff=5, per_dalton=50))
+    assert {(i, p) for i, p, _ in ladders} <= {x[:2] for x in want} and rows(blocks) == want
+    assert "Generate explode(bins" not in blocks._jdf.queryExecution().executedPlan().toString()
