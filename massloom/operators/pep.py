@@ -90,7 +90,8 @@ def gptmd(scans: DataFrame, peptides: DataFrame, mods: DataFrame, cutoff: float
     masses = sorted({m for (m,) in listed(mods, "mass")})
     found = classic_search(scans, peptides, cutoff=0.0, notches=(0.0, *masses))
     shifts = F.element_at(F.array(*[F.lit(x) for x in (0.0, *masses)]), F.col("notch") + 1)
-    shifted_ones = found.filter("notch > 0").select("scan_id", "peptide", shifts.alias("shift"), F.col("score").alias("bare_score"))
+    # Written once, since it is read twice; it holds no spectra.
+    shifted_ones = materialize(found.filter("notch > 0").select("scan_id", "peptide", shifts.alias("shift"), F.col("score").alias("bare_score")), "shifted")
     placed = localized(scans, shifted_ones.select("scan_id", "peptide", "shift").distinct())
     best = placed.join(shifted_ones, ["scan_id", "peptide"]).filter((F.col("score") > F.col("bare_score")) & (F.col("score") >= cutoff))
     at = best.withColumn("site", F.explode(F.transform(F.split("sites", ","), lambda x: x.cast("int"))))

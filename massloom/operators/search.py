@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from massloom.functions.masses import RESIDUES, WATER
 from massloom.functions.text import bound
 from massloom.operators.fdr import best_with_ties
-from massloom.operators.joins import band_join, listed
+from massloom.operators.joins import listed
 
 #: Where enzymes cut, as a pattern of a piece with the cut at its end.
 ENZYMES = {
@@ -282,6 +282,8 @@ def list_scores(observed: np.ndarray, intensity: np.ndarray, total: float | None
 
 #: Candidates of a scan that are scored at once: a spectrum is carried once for so many.
 CANDIDATES_AT_ONCE = 2000
+#: The width of a block of masses in the logarithm, many times a precursor's window.
+BLOCK_WIDTH = 1e-3
 
 
 def candidate_lists(pairs: DataFrame, scans: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -314,14 +316,43 @@ def scored_candidates(pairs: DataFrame, scans: DataFrame, ppm: float = 20.0, kin
 
 
 def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: float = 5.0, notches: Sequence[float] = (0.0,), kinds: str = "by") -> DataFrame:
-    """The best peptides of each scan, ties included (Q1): masses are joined first, and ladders are built only for pairs that fit.
+    """The best peptides of each scan, ties included (Q1): masses are compared first, and ladders are built only for pairs that fit.
 
-    `scans` has scan_id, precursor_mass, peaks (masses ascending), intensities and total; `peptides` has peptide and mass, each peptide once.
+    Scans and peptides meet in blocks by mass, a peptide in each block that one of its notches touches, so neither pairs nor their scores are
+    shuffled, and a spectrum is once. `scans` has scan_id, precursor_mass, peaks (masses ascending), intensities and total; `peptides` has peptide and mass, each peptide once.
     """
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("notch"), F.lit(s).alias("shift")) for i, s in enumerate(notches)]))
-    wanted = scans.select("scan_id", "precursor_mass", shifts.alias("n__")).select("scan_id", F.col("n__.notch").alias("notch"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 + precursor_ppm / 1e6)).alias("lo"), ((F.col("precursor_mass") - F.col("n__.shift")) / (1 - precursor_ppm / 1e6)).alias("hi"))
-    pairs = band_join(wanted, peptides.select("peptide", "mass"), "lo", "hi", "mass", 4 * precursor_ppm / 1e6, scale=F.log).select("scan_id", "notch", "peptide")
-    return best_with_ties(scored_candidates(pairs, scans, product_ppm, kinds, ["notch"]), ["scan_id"], "score", cutoff)
+    block = lambda m: F.floor(F.log(F.greatest(m, F.lit(1e-3))) / BLOCK_WIDTH)
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("notch"), F.lit(float(s)).alias("shift")) for i, s in enumerate(notches)]))
+    near = lambda ppm: F.col("mass") * (1 + ppm / 1e6) + F.col("n__.shift")
+    asked = scans.filter("precursor_mass IS NOT NULL AND NOT isnan(precursor_mass)").select("scan_id", "precursor_mass", "peaks", "intensities", "total", block(F.col("precursor_mass")).alias("block__"))
+    able = peptides.filter("mass > 0 AND NOT isnan(mass)").select("peptide", "mass", shifts.alias("n__"))
+    able = able.select("peptide", "mass", F.col("n__.notch").alias("notch"), F.explode(F.sequence(block(near(-2 * precursor_ppm)), block(near(2 * precursor_ppm)))).alias("block__"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        by_notch = []
+        for i, rows in right.sort_values("mass", kind="stable").groupby("notch"):
+            by_notch.append((int(i), notches[int(i)], rows["mass"].to_numpy(float), rows["peptide"].to_numpy()))
+        out: list[tuple] = []
+        for scan_id, mass, peaks, intensities, total in zip(left["scan_id"], left["precursor_mass"], left["peaks"], left["intensities"], left["total"], strict=True):
+            names, notch = [], []
+            for i, shift, masses, all_names in by_notch:
+                lo, hi = (mass - shift) / (1 + precursor_ppm / 1e6), (mass - shift) / (1 - precursor_ppm / 1e6)
+                some = all_names[np.searchsorted(masses, lo) : np.searchsorted(masses, hi, side="right")].tolist()
+                names += some
+                notch += [i] * len(some)
+            if not names:
+                continue
+            o, x = np.asarray(peaks, float), np.asarray(intensities, float)
+            scores = np.concatenate([list_scores(o, x, total, names[k : k + CANDIDATES_AT_ONCE], product_ppm, kinds) for k in range(0, len(names), CANDIDATES_AT_ONCE)])
+            rounded = np.where(scores >= cutoff, np.round(scores, 9), -np.inf)
+            if (best := rounded.max()) == -np.inf:
+                continue
+            below = rounded[rounded < best].max(initial=-np.inf)
+            out += [(scan_id, names[k], notch[k], scores[k], cutoff if below == -np.inf else below) for k in np.flatnonzero(rounded == best)]
+        return pd.DataFrame(out, columns=["scan_id", "peptide", "notch", "score", "runner_up"])
+
+    kind = scans.schema["scan_id"].dataType.simpleString()
+    return asked.groupBy("block__").cogroup(able.groupBy("block__")).applyInPandas(search, f"scan_id {kind}, peptide string, notch int, score double, runner_up double")
 
 
 def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by") -> DataFrame:
@@ -335,10 +366,6 @@ def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by
     return peptides.select(F.explode(bins("peptide")).alias("bin"), "peptide", "mass")
 
 
-#: The width of a block of masses in the logarithm, many times a precursor's window.
-BLOCK_WIDTH = 1e-3
-
-
 def block_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float, product_ppm: float, cutoff: int, per_dalton: int) -> DataFrame:
     """(scan_id, peptide, score) of the pairs that share `cutoff` bins of fragments, by an index within each block of masses.
 

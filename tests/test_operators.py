@@ -223,3 +223,18 @@ def test_modern_search_by_blocks_equals_the_kept_index_without_postings_in_the_s
     want = rows(search.modern_search(s, pep, search.fragment_index(pep, 50), cutoff=5, per_dalton=50))
     assert {(i, p) for i, p, _ in ladders} <= {x[:2] for x in want} and rows(blocks) == want
     assert "Generate explode(bins" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classic_search_never_shuffles_pairs(spark):
+    pep = spark.createDataFrame([("PEPTIDEK",), ("PEPTLDEK",), ("SAMPLERR",)], "peptide string").distinct().withColumn("mass", search.peptide_mass(F.col("peptide")))
+    peaks = F.array_sort(F.transform(search.fragments(F.col("peptide")), lambda f: f["mass"]))
+    scans = pep.select(F.col("peptide").alias("scan_id"), F.col("mass").alias("precursor_mass"), peaks.alias("peaks"), F.transform(peaks, lambda p: F.lit(1.0)).alias("intensities"), F.size(peaks).cast("double").alias("total"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.classic_search(scans, pep)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Scans and peptides are shuffled by block, pairs never.
+        assert plan.count("Exchange hashpartitioning(block__") == 2 and "bin__" not in plan and "Exchange hashpartitioning(scan_id" not in plan
+        assert sorted((r.scan_id, r.peptide) for r in found.collect()) == [("PEPTIDEK", "PEPTIDEK"), ("PEPTIDEK", "PEPTLDEK"), ("PEPTLDEK", "PEPTIDEK"), ("PEPTLDEK", "PEPTLDEK"), ("SAMPLERR", "SAMPLERR")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
