@@ -238,3 +238,15 @@ def test_classic_search_never_shuffles_pairs(spark):
         assert sorted((r.scan_id, r.peptide) for r in found.collect()) == [("PEPTIDEK", "PEPTIDEK"), ("PEPTIDEK", "PEPTLDEK"), ("PEPTLDEK", "PEPTIDEK"), ("PEPTLDEK", "PEPTLDEK"), ("SAMPLERR", "SAMPLERR")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_glyco_search_scores_and_places_each_candidate_once(spark):
+    pep = spark.createDataFrame([("PEPTIDEK",), ("PEPSLDEK",), ("SAMPLERR",)], "peptide string").distinct().withColumn("mass", search.peptide_mass(F.col("peptide")))
+    scans = pep.select(F.col("peptide").alias("scan_id"), (F.col("mass") + 203.07937).alias("precursor_mass"), F.array_sort(F.transform(search.fragments(F.col("peptide")), lambda f: f["mass"])).alias("peaks"))
+    scans = scans.withColumn("intensities", F.transform("peaks", lambda p: F.lit(1.0))).withColumn("total", F.size("peaks").cast("double"))
+    found = glycans.glyco_search(scans, pep, [(1,)], {1: 203.07937})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [score(") == 1 and plan.count("ArrowEvalPython [evidence(") == 1
+    got = found.collect()
+    assert sorted((r.scan_id, r.peptide, list(r.box), r.site, r.glycan) for r in got) == [("PEPSLDEK", "PEPSLDEK", [1], 4, 1), ("PEPTIDEK", "PEPTIDEK", [1], 4, 1), ("SAMPLERR", "SAMPLERR", [1], 1, 1)]
+    assert all(r.score == 15.0 and r.n_routes == 1 and r.probability == 1.0 for r in got)
