@@ -250,3 +250,23 @@ def test_glyco_search_scores_and_places_each_candidate_once(spark):
     got = found.collect()
     assert sorted((r.scan_id, r.peptide, list(r.box), r.site, r.glycan) for r in got) == [("PEPSLDEK", "PEPSLDEK", [1], 4, 1), ("PEPTIDEK", "PEPTIDEK", [1], 4, 1), ("SAMPLERR", "SAMPLERR", [1], 1, 1)]
     assert all(r.score == 15.0 and r.n_routes == 1 and r.probability == 1.0 for r in got)
+
+
+@pytest.mark.parametrize("dense", [1 << 26, 0])
+def test_index_count_join_counts_in_blocks_and_shuffles_no_hits(spark, monkeypatch, dense):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(12)]), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(400)]
+    listed = [(rng.choice([None, *"abcdefghij"]), rng.choice([None, *range(12)]), rng.choice([None, 1.0, 2.0])) for _ in range(150)]
+    for name, value in (("PEPTIDES_AT_ONCE", 4), ("SCANS_AT_ONCE", 10), ("DENSE_BYTES", dense)):
+        monkeypatch.setattr(joins, name, value)
+    for residual, holds in ((None, lambda x, y: True), (F.abs(F.col("seen") - F.col("held")) <= 1, lambda x, y: None not in (x, y) and abs(x - y) <= 1)):
+        want: dict = {}
+        for (s, b, x), (p, c, y) in itertools.product(rows, listed):
+            if b is not None and b == c and holds(x, y):
+                want[s, p] = want.get((s, p), 0) + 1
+        found = joins.index_count_join(spark.createDataFrame(rows, "scan long, bin int, seen double"), spark.createDataFrame(listed, "peptide string, bin int, held double"), "scan", "peptide", 12, residual)
+        got = {(r.scan, r.peptide): r.n_hits for r in found.collect()}
+        assert got == {k: n for k, n in want.items() if n >= 12} and got
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange hashpartitioning(scan" not in plan
+    assert joins.index_count_join(spark.createDataFrame([], "scan long, bin int"), spark.createDataFrame([], "peptide string, bin int"), "scan", "peptide", 1).count() == 0
