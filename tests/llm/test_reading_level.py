@@ -1,6 +1,10 @@
+import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from massloom.llm import reading_level
 from massloom.llm.reading_level import fit, reading_levels, tokens
 
 PLAIN = "The cat sits on the mat. We see the dog. It is a big dog and it can run. "
@@ -54,3 +58,27 @@ def test_held_out_accuracy(spark):
     found = {r.doc_id: r.reading_level for r in reading_levels(spark_docs, spark_labels, "doc_id", "text", "reading_level").collect()}
     right = [found.get(a) == b for a, b in zip(held.doc_id, held.reading_level, strict=True)]
     assert sum(right) / len(right) > 0.9
+
+
+def test_every_labelled_text_counts(spark):
+    """Hard texts are only among those whose hash comes after the first 2000."""
+    ids = [r.id for r in spark.range(2040).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(ids[2000:])
+    texts = [(i, (HARD * 2 if i in late else PLAIN * 3)) for i in ids] + [(-i, t * (9 + i)) for i, t in enumerate([GERMAN, CODES, LOG] * 20, 1)]
+    labels = spark.createDataFrame([(i, 5 if i in late else 1) for i in ids], "doc_id long, reading_level int")
+    found = {r.doc_id: r.reading_level for r in reading_levels(spark.createDataFrame(texts, "doc_id long, text string"), labels, "doc_id", "text", "reading_level").collect()}
+    assert found == {i: 5 if i in late else 1 for i in ids}
+
+
+def test_sums_over_parts_give_the_models_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(reading_level, "PIECE", 16)
+    texts = [((PLAIN if i % 2 else HARD) * (4 + i % 3) + f"word{i % 5} here.", [3, 0, 0, 0, 1] if i % 2 else [0, 0, 0, 0, 1]) for i in range(30)]
+    texts += [(t * (9 + i), [0] * 5) for i, t in enumerate([GERMAN, CODES, LOG, PLAIN] * 5)]
+    both = [(reading_level.counted(*tokens(t)), g) for t, g in texts]
+    want = fit([c for c, g in both if any(g)], [g for _, g in both if any(g)], [c for (c, _), g in both if not any(g)])
+    rows = [(g, list(w), list(w.values()), list(n), list(n.values())) for (w, n), g in both]
+    table = spark.createDataFrame(rows, "grades array<bigint>, words array<string>, word_counts array<bigint>, lengths array<int>, length_counts array<bigint>").repartition(3)
+    got = reading_level._fit_table(table)
+    assert got.index == want.index and got.prior == pytest.approx(want.prior)
+    for name in ("prose", "words", "sentences", "joint"):
+        assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-6), name
