@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from massloom.operators.fdr import best_with_ties
 from massloom.operators.filters import linker_sites
 from massloom.operators.joins import band_join, first_case
-from massloom.operators.search import _matches, fragment_index, ladder_masses, site_scores
+from massloom.operators.search import _matches, ladder_bins, ladder_masses, site_scores
 from massloom.operators.windows import top_with_ties
+from massloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -73,15 +74,55 @@ def exclusive_ions(rows: DataFrame, alpha_ions: str, beta_ions: str, alpha_score
     return out.withColumn(alpha_score, lower(alpha_score, "a__")).withColumn(beta_score, lower(beta_score, "b__")).drop(alpha_ions, beta_ions).withColumnsRenamed({"a__": alpha_ions, "b__": beta_ions})
 
 
+#: Of one task of `rough_arms`: scans and arms at most.
+SCANS_AT_ONCE = 4_000
+ARMS_AT_ONCE = 50_000
+
+
 def rough_arms(scans: DataFrame, arms: DataFrame, linker: Linker, product_ppm: float, cutoff: int, most: int, per_dalton: int = 200) -> DataFrame:
-    """(scan_id, alpha, alpha_mass) of the first round (Q4): peptides lighter than the precursor whose unshifted fragments are seen, the `most` with the most hits and their ties."""
+    """(scan_id, alpha, alpha_mass) of the first round (Q4): peptides lighter than the precursor whose unshifted fragments are seen, the `most` with the most hits and their ties.
+
+    Scans and arms, each once, meet in blocks of SCANS_AT_ONCE and ARMS_AT_ONCE. The index of fragments lives in a block only and hits are counted there; what
+    leaves it are the `most` arms of a scan and their ties, so neither postings nor hits are shuffled.
+    """
     reach = product_ppm * 2 / 1e6
-    peaks = scans.select("scan_id", "precursor_mass", F.explode("peaks").alias("peak"))
-    bins = F.sequence(F.floor(F.col("peak") * (1 - reach) * per_dalton), F.ceil(F.col("peak") * (1 + reach) * per_dalton))
-    seen = peaks.select("scan_id", "precursor_mass", F.explode(bins).alias("bin")).distinct()
-    hits = seen.join(fragment_index(arms, per_dalton), "bin").filter(F.col("mass") <= F.col("precursor_mass") - linker.total)
-    counted = hits.groupBy("scan_id", "peptide").agg(F.count(F.lit(1)).alias("n"), F.first("mass").alias("mass")).filter(F.col("n") >= cutoff)
-    return top_with_ties(counted, ["scan_id"], "n", most).select("scan_id", F.col("peptide").alias("alpha"), F.col("mass").alias("alpha_mass"))
+    known = arms.filter("mass IS NOT NULL AND NOT isnan(mass)").select("peptide", "mass")
+    parts, blocks = max(1, -(-scans.count() // SCANS_AT_ONCE)), max(1, -(-known.count() // ARMS_AT_ONCE))
+    spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = scans.filter("precursor_mass IS NOT NULL AND size(peaks) > 0").select("scan_id", "precursor_mass", "peaks", spread("scan_id", parts).alias("part__"), every(blocks).alias("block__"))
+    right = known.select("peptide", "mass", spread("peptide", blocks).alias("block__"), every(parts).alias("part__"))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("mass", kind="stable")
+        names, masses = b["peptide"].to_numpy(), b["mass"].to_numpy(float)
+        bins, owner = ladder_bins(names.tolist(), per_dalton)
+        order = np.argsort(bins, kind="stable")
+        bins, owner = bins[order], owner[order]
+        scan_ids, places, hits = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for scan_id, precursor, peaks in zip(a["scan_id"], a["precursor_mass"], a["peaks"], strict=True):
+            o = np.asarray(peaks, float)
+            o = np.sort(o[~np.isnan(o)])
+            able = np.searchsorted(masses, precursor - linker.total, side="right")
+            if not len(o) or not able:
+                continue
+            # Runs of seen bins; a bin that several peaks cover counts once.
+            lo, hi = np.floor(o * (1 - reach) * per_dalton).astype(np.int64), np.ceil(o * (1 + reach) * per_dalton).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
+            begin, end = np.searchsorted(bins, lo[first]), np.searchsorted(bins, hi[np.r_[first[1:] - 1, len(o) - 1]], side="right")
+            n = np.bincount(np.concatenate([owner[i:j] for i, j in zip(begin, end, strict=True)]), minlength=len(names))[:able]
+            at = np.flatnonzero(n >= max(cutoff, 1))
+            if len(at) > most:
+                at = at[n[at] >= np.partition(n[at], -most)[-most]]
+            scan_ids += [scan_id] * len(at)
+            places.append(at)
+            hits.append(n[at])
+        at = np.concatenate(places)
+        return pd.DataFrame({"scan_id": scan_ids, "alpha": names[at], "alpha_mass": masses[at], "n": np.concatenate(hits)})
+
+    kind = scans.schema["scan_id"].dataType.simpleString()
+    found = left.groupBy("part__", "block__").cogroup(right.groupBy("part__", "block__")).applyInPandas(count, f"scan_id {kind}, alpha string, alpha_mass double, n bigint")
+    return top_with_ties(found, ["scan_id"], "n", most).drop("n")
 
 
 def _best_sites(peaks: np.ndarray, intensities: np.ndarray, total: float | None, arm: str, sites: list[int], shift: float, ppm: float) -> tuple[float, int, set[int]]:
@@ -127,7 +168,7 @@ def crosslink_search(scans: DataFrame, peptides: DataFrame, linker: Linker, prec
     Round one counts unshifted fragments for first arms; round two finds the second arm by what the first leaves of the precursor and scores both
     arms at their sites. `most` first arms and their ties go on, as a parameter of the search.
     """
-    arms = peptides.filter(F.size(linker_sites(F.col("peptide"), linker.residues)) > 0).select("peptide", "mass")
+    arms = materialize(peptides.filter(F.size(linker_sites(F.col("peptide"), linker.residues)) > 0).select("peptide", "mass"), "arms")
     alphas = rough_arms(scans, arms, linker, product_ppm, rough_cutoff, most)
     pairs = pair_candidates(scans.select("scan_id", "precursor_mass"), alphas, arms, linker, precursor_ppm)
     a, b = arms.select(F.col("peptide").alias("alpha"), F.col("mass").alias("alpha_mass")), arms.select(F.col("peptide").alias("beta"), F.col("mass").alias("beta_mass"))

@@ -254,6 +254,23 @@ def ladder_masses(sequence: str, shift: float = 0.0, site: int = 0, kinds: str =
     return np.concatenate([(front if k in "abc" else back) + LADDER_OFFSETS[k] for k in kinds])
 
 
+def ladder_bins(peptides: Sequence[str], per_dalton: int, kinds: str = "by") -> tuple[np.ndarray, np.ndarray]:
+    """(bin, place of the peptide) of every known fragment of a list of peptides, also where some share a bin; peptides of a length are worked out at once."""
+    lengths = np.fromiter(map(len, peptides), np.int64, len(peptides))
+    bins, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(lengths[lengths > 1]):
+        places = np.flatnonzero(lengths == n)
+        codes = np.frombuffer("".join([peptides[i] for i in places]).encode("ascii", "replace"), np.uint8)
+        masses = _MASS_OF[np.minimum(codes, 127)].reshape(-1, n)
+        front, back = np.cumsum(masses, axis=1)[:, :-1], np.cumsum(masses[:, ::-1], axis=1)[:, :-1]
+        for k in kinds:
+            ions = (front if k in "abc" else back) + LADDER_OFFSETS[k]
+            known = ~np.isnan(ions)
+            bins.append(np.rint(ions[known] * per_dalton).astype(np.int64))
+            owners.append(np.broadcast_to(places[:, None], ions.shape)[known])
+    return np.concatenate(bins), np.concatenate(owners)
+
+
 def list_scores(observed: np.ndarray, intensity: np.ndarray, total: float | None, peptides: Sequence[str], ppm: float, kinds: str = "by") -> np.ndarray:
     """The Morpheus scores of many peptides against one spectrum, all ladders at once."""
     text = "".join(peptides)

@@ -169,3 +169,21 @@ def test_modification_sites_and_known_ones(spark):
     known = spark.createDataFrame([("a", 2, 79.9701)], "accession string, site int, mass double")
     assert {(r.modification, r.site) for r in filters.modification_sites(rows, "s", mods, known).collect()} == {("P", 3), ("N", 1)}
     assert filters.modification_sites(rows, "s", mods.limit(0)).count() == 0
+
+
+def test_rough_arms_counts_in_blocks_and_shuffles_no_hits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = sorted({"".join(rng.choice(list("ACDEGKLMPUX"), rng.integers(2, 9))) for _ in range(60)})
+    arms = spark.createDataFrame([(p, None if "X" in p else float(sum(search.ladder_masses(p[0] + p)[:1]) + search.ladder_masses(p + "G")[len(p) - 1])) for p in names], "peptide string, mass double")
+    scans = spark.createDataFrame([(i, float(rng.uniform(300, 1500)), [float(x) for x in search.ladder_masses(names[i]).round(2) if x == x] + [100.0, 100.001, 250.0]) for i in range(20)], "scan_id long, precursor_mass double, peaks array<double>")
+    linker = crosslinks.Linker("x", "K", 100.0, 0, 0, 0, 0)
+    want = set()
+    for r in scans.collect():
+        seen = {b for o in r.peaks for b in range(int(np.floor(o * (1 - 4e-5) * 200)), int(np.ceil(o * (1 + 4e-5) * 200)) + 1)}
+        n = {a.peptide: sum(int(np.rint(m * 200)) in seen for m in search.ladder_masses(a.peptide) if m == m) for a in arms.collect() if a.mass is not None and a.mass <= r.precursor_mass - 100.0}
+        want |= {(r.scan_id, p) for p, k in n.items() if k >= 2 and sum(x > k for x in n.values()) < 3}
+    monkeypatch.setattr(crosslinks, "SCANS_AT_ONCE", 5)
+    monkeypatch.setattr(crosslinks, "ARMS_AT_ONCE", 7)
+    found = crosslinks.rough_arms(scans, arms, linker, 20.0, 2, 3)
+    assert {(r.scan_id, r.alpha) for r in found.collect()} == want and want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
