@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -372,6 +373,172 @@ def classic_search(scans: DataFrame, peptides: DataFrame, precursor_ppm: float =
     return asked.groupBy("block__").cogroup(able.groupBy("block__")).applyInPandas(search, f"scan_id {kind}, peptide string, notch int, score double, runner_up double")
 
 
+#: Of one task of `nonspecific_search`: residues of proteins, stretches in order of mass and steps of their search at most; and the ranges of masses.
+RESIDUES_AT_ONCE = 12_000_000
+STRETCHES_AT_ONCE = 4_000_000
+SPANS_AT_ONCE = 2_000_000
+MASS_RANGES = 24
+#: Units a dalton: masses have up to nine decimals, so sums of units are exact. Bins a dalton in which matches are looked up before they are scored.
+_UNITS = 10**9
+_BINS = 100
+
+
+def nonspecific_search(scans: DataFrame, proteins: DataFrame, sequence: str, shortest: int = 7, longest: int = 50, precursor_ppm: float = 5.0, product_ppm: float = 20.0, cutoff: float = 5.0) -> DataFrame:
+    """(scan_id, peptide, score): the best stretches of each scan among all those of the proteins, ties included (Q3).
+
+    The result is that of `classic_search` over every stretch without an unknown residue. Stretches are never rows: a range of scans by mass meets the
+    proteins, and the stretches within its scans' windows are found there by prefix sums. Those that can't reach the best score any more are left.
+    """
+    asked = scans.filter("precursor_mass > 0 AND NOT isnan(precursor_mass)").select("scan_id", "precursor_mass", "peaks", "intensities", "total")
+    held = proteins.filter(F.length(sequence) >= shortest).select(F.col(sequence).alias("seq__"))
+    residues = held.agg(F.sum(F.length("seq__").cast("bigint"))).first()[0] or 0
+    chunks = max(1, -(-residues // RESIDUES_AT_ONCE))
+    # Any bounds give the same result.
+    cuts = asked.agg(F.percentile_approx("precursor_mass", [i / MASS_RANGES for i in range(1, MASS_RANGES)])).first()[0] or []
+    cuts = sorted(set(cuts))
+    range_of = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("precursor_mass")))
+    left = asked.withColumn("range__", range_of).withColumn("chunk__", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = held.withColumn("chunk__", F.pmod(F.xxhash64("seq__"), F.lit(chunks)).cast("int")).withColumn("range__", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+
+    def search(some: pa.Table, texts: pa.Table) -> pa.Table:
+        at, found, scores = best_stretches(some["precursor_mass"].to_numpy(), some["peaks"], some["intensities"], some["total"].to_pylist(), texts["seq__"].to_pylist(), shortest, longest, precursor_ppm, product_ppm, cutoff)
+        return pa.table({"scan_id": some["scan_id"].take(pa.array(at, pa.int64())), "peptide": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64())})
+
+    kind = scans.schema["scan_id"].dataType
+    shape = T.StructType([T.StructField("scan_id", kind), T.StructField("peptide", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = left.groupBy("range__", "chunk__").cogroup(right.groupBy("range__", "chunk__")).applyInArrow(search, shape)
+    if chunks == 1:
+        return found
+    best = found.withColumn("best__", F.max(F.round("score", 9)).over(Window.partitionBy("scan_id"))).filter(F.round("score", 9) == F.col("best__"))
+    return best.drop("best__").dropDuplicates(["scan_id", "peptide"])
+
+
+def best_stretches(precursors: np.ndarray, peaks: Sequence, intensities: Sequence, totals: Sequence, texts: Sequence[str], shortest: int, longest: int, precursor_ppm: float, product_ppm: float, cutoff: float) -> tuple[list[int], list[str], list[float]]:
+    """(place of the scan, stretch, score) of the best stretches of `texts` for each scan."""
+    out: tuple[list[int], list[str], list[float]] = ([], [], [])
+    if not len(texts) or not len(precursors):
+        return out
+    text = "\n".join(texts).encode("ascii", "replace") + b"\n"
+    masses = _MASS_OF[np.minimum(np.frombuffer(text, np.uint8), 127)]
+    stops = np.flatnonzero(np.isnan(masses))
+    sums = np.zeros(len(masses) + 1, np.int64)
+    np.cumsum(np.rint(np.nan_to_num(masses) * _UNITS).astype(np.int64), out=sums[1:])
+    del masses
+    # A stretch ends before the next unknown residue, which the ends of the proteins are too.
+    ends = np.repeat(stops, np.diff(np.r_[-1, stops])).astype(np.int32)
+    ends = np.minimum(ends, np.arange(len(ends), dtype=np.int32) + longest)
+    starts = np.flatnonzero(ends - np.arange(len(ends)) >= shortest).astype(np.int32)
+    ends = ends[starts]
+    order = np.argsort(precursors, kind="stable")
+    water = round(WATER * _UNITS)
+    lows, highs = precursors[order] / (1 + precursor_ppm / 1e6), precursors[order] / (1 - precursor_ppm / 1e6)
+    # Some of the starts tell how many stretches the windows hold.
+    few = slice(None, None, 64)
+    n = 64 * sum(len(x) for x, _, _ in _stretches_within(sums, starts[few], ends[few], shortest, lows, highs, water))
+    parts = min(len(order), max(1, -(-n // STRETCHES_AT_ONCE)))
+    for part in np.array_split(np.arange(len(order)), parts):
+        pieces = list(_stretches_within(sums, starts, ends, shortest, lows[part], highs[part], water))
+        units, first, last = (np.concatenate(x) for x in zip(*pieces, strict=True)) if pieces else [np.zeros(0, np.int64)] * 3
+        del pieces
+        sort = np.argsort(units)
+        units, first, last = units[sort] / _UNITS, first[sort], last[sort]
+        a, b = np.searchsorted(units, lows[part]), np.searchsorted(units, highs[part], side="right")
+        _score_stretches(out, order[part], a, b, text, sums, first, last, water, peaks, intensities, totals, shortest, product_ppm, cutoff)
+    return out
+
+
+def _stretches_within(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, shortest: int, lows: np.ndarray, highs: np.ndarray, water: int):
+    """Yields (mass in units, first place, place behind the last one) of the stretches whose mass is in one of the ascending windows, or by less than a bin beside it."""
+    per = _UNITS // (10 * _BINS)
+    least, most = int(np.floor(lows[0] * _UNITS)) - per, int(np.ceil(highs[-1] * _UNITS)) + per
+    # Bins of masses that a window touches.
+    lo, hi = (np.floor(lows * _UNITS).astype(np.int64) - least) // per, (np.ceil(highs * _UNITS).astype(np.int64) - least) // per
+    depth = np.zeros((most - least) // per + 2, np.int32)
+    np.add.at(depth, lo, 1)
+    np.add.at(depth, hi + 1, -1)
+    wanted = np.cumsum(depth) > 0
+    step = 1 << 20
+    for k in range(0, len(starts), step):
+        s = starts[k : k + step]
+        base = sums[s]
+        a = np.maximum(np.searchsorted(sums, base + (least - water)), s + shortest)
+        b = np.minimum(np.searchsorted(sums, base + (most - water), side="right") - 1, ends[k : k + step])
+        sizes = np.maximum(b - a + 1, 0)
+        total = np.cumsum(sizes)
+        at = 0
+        while at < len(s):
+            before = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + SPANS_AT_ONCE, side="right")))
+            z = sizes[at:to]
+            first = np.repeat(s[at:to], z)
+            last = (np.arange(len(first)) + np.repeat(a[at:to] - (total[at:to] - z - before), z)).astype(np.int32)
+            units = sums[last] - np.repeat(base[at:to], z) + water
+            keep = np.flatnonzero(wanted[np.clip((units - least) // per, 0, len(wanted) - 1)])
+            yield units[keep], first[keep], last[keep]
+            at = to
+
+
+def _score_stretches(out: tuple[list, list, list], places: np.ndarray, a: np.ndarray, b: np.ndarray, text: bytes, sums: np.ndarray, first: np.ndarray, last: np.ndarray, water: int, peaks: Sequence, intensities: Sequence, totals: Sequence, shortest: int, ppm: float, cutoff: float) -> None:
+    """Adds to `out` the best of the stretches `a` to `b` of each scan.
+
+    A bin that no peak touches can't match, so the fragments in touched bins bound the score; only stretches whose bound reaches the best score are scored.
+    """
+    scale = _BINS / _UNITS
+    bins_of = lambda kind, i, j, n: ((sums[i + n] - sums[i] if kind == "b" else sums[j] - sums[j - n] + water) * scale).astype(np.int32)
+    known = range(max(1, shortest - 4), shortest)
+    bins = np.empty((2 * len(known), len(first)), np.int32)
+    for k, (kind, n) in enumerate(itertools.product("by", known)):
+        bins[k] = bins_of(kind, first, last, n)
+    length = (last - first).astype(np.int32)
+    rest = 2 * (length - 1) - len(bins)
+    most = int(max(((sums[last] - sums[first]).max(initial=0) + water) * scale, 0)) + 2
+    touched = np.zeros(most, np.uint8)
+    for place, lo, hi in zip(places.tolist(), a.tolist(), b.tolist(), strict=True):
+        if lo == hi:
+            continue
+        o, x, total = (np.asarray(v[place].as_py() if hasattr(v[place], "as_py") else v[place], float) for v in (peaks, intensities, totals))
+        total = None if np.isnan(total) else float(total)
+        worth = 1.0 + (max(float(x.max(initial=0.0)), 0.0) / total if total and total > 0 else 0.0)
+        near = ((o / (1 + ppm / 1e6) - 1e-6) * _BINS).astype(np.int64)
+        far = ((o / (1 - ppm / 1e6) + 1e-6) * _BINS).astype(np.int64)
+        marks = np.minimum(near[:, None] + np.arange(int((far - near).max(initial=0)) + 1), far[:, None]).ravel()
+        marks = marks[(marks >= 0) & (marks < most)]
+        touched[marks] = 1
+        hits = touched[bins[:, lo:hi]].sum(axis=0, dtype=np.int32)
+
+        def scored(some: np.ndarray) -> tuple[list[str], np.ndarray]:
+            names = list(dict.fromkeys(text[i:j].decode() for i, j in zip(first[lo + some].tolist(), last[lo + some].tolist(), strict=True)))
+            return names, np.concatenate([list_scores(o, x, total, names[k : k + CANDIDATES_AT_ONCE], ppm) for k in range(0, len(names), CANDIDATES_AT_ONCE)])
+
+        # The stretch with most hits tells how good the best one is at least.
+        least = max(cutoff, float(scored(np.array([hits.argmax()]))[1].max())) - 1e-6
+        some = np.flatnonzero((hits + rest[lo:hi]) * worth >= least)
+        hits, left = hits[some], rest[lo:hi][some]
+        i, j, size = first[lo + some], last[lo + some], length[lo + some]
+        n = 0
+        while len(some) and left.max() > 0:
+            n += 1
+            if n in known:
+                continue
+            on = size > n
+            more = np.zeros(len(some), np.int32)
+            for kind in "by":
+                more[on] += touched[bins_of(kind, i[on], j[on], n)]
+            hits, left = hits + more, left - 2 * on
+            keep = (hits + left) * worth >= least
+            some, hits, left, i, j, size = some[keep], hits[keep], left[keep], i[keep], j[keep], size[keep]
+        touched[marks] = 0
+        if not len(some):
+            continue
+        names, scores = scored(some)
+        rounded = np.round(scores, 9)
+        if (best := rounded.max()) >= cutoff:
+            for k in np.flatnonzero(rounded == best).tolist():
+                out[0].append(place)
+                out[1].append(names[k])
+                out[2].append(float(scores[k]))
+
+
 def fragment_index(peptides: DataFrame, per_dalton: int = 1000, kinds: str = "by") -> DataFrame:
     """(bin, peptide, mass): the postings of an inverted index of fragments, one for each fragment, also where some share a bin (K17); write it bucketed by bin to keep it."""
 

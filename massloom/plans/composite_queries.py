@@ -71,8 +71,7 @@ def nonspecific_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nonspecific_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3: ideal spectra of the matched sequences searched among all stretches of the proteins; how many came back."""
     scans = materialize(_spectra(spark, sf_dir), "scans")
-    stretches = search.nonspecific_peptides(table(spark, sf_dir, "proteins"), ["accession"], "base_sequence").filter("mass IS NOT NULL").select("peptide", "mass").dropDuplicates(["peptide"])
-    found = search.classic_search(scans, stretches, cutoff=5.0)
+    found = search.nonspecific_search(scans, table(spark, sf_dir, "proteins"), "base_sequence", cutoff=5.0)
     back = found.join(scans.select("scan_id", "truth"), "scan_id").filter("peptide = truth")
     return back.agg(F.count(F.lit(1)).alias("n_found"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import masses, sequences
 from massloom.operators import aggregates, crosslinks, filters, isotopes, ordered, search
+from massloom.plans import composite_queries
 
 
 def test_assignment_is_the_cheapest():
@@ -100,6 +101,30 @@ def test_nonspecific_and_places(spark):
     assert sorted((r.id, r.start, r.end) for r in search.places_of(rows, "p", "w").collect()) == [(1, 1, 2), (1, 2, 3), (1, 5, 6)]
 
 
+def test_nonspecific_search_takes_every_stretch(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    proteins = ["".join(rng.choice("GASPVTLIK") for _ in range(rng.randint(5, 40))) for _ in range(60)] + ["", None, "MK", "A" * 70, "GAAILVVKS", "GAALIVVKS"]
+    df = spark.createDataFrame([(str(i), p) for i, p in enumerate(proteins)], "id string, s string")
+    truths = [p[3 : 3 + rng.randint(5, 14)] for p in proteins[:60] if len(p) > 20] + ["GGGGGG", "WWWWWW", "AAAAAAA", "AAILVVK"]
+    ladders = [sorted(search.ladder_masses(t)) for t in truths]
+    scans = spark.createDataFrame([(i, float(search._MASS_OF[[ord(a) for a in t]].sum() + masses.WATER), [float(m) for m in x], [float(k % 3) for k in range(len(x))], float(len(x))) for i, (t, x) in enumerate(zip(truths, ladders))], "scan_id int, precursor_mass double, peaks array<double>, intensities array<double>, total double")
+    stretches = search.nonspecific_peptides(df, ["id"], "s", 5, 20).select("peptide", "mass").dropDuplicates(["peptide"])
+    want = sorted((r.scan_id, r.peptide, round(r.score, 6)) for r in search.classic_search(scans, stretches, cutoff=3.0).collect())
+    got = lambda: sorted((r.scan_id, r.peptide, round(r.score, 6)) for r in search.nonspecific_search(scans, df, "s", 5, 20, cutoff=3.0).collect())
+    assert got() == want and len({w[0] for w in want}) > 20 and len(want) > len({w[0] for w in want})
+    monkeypatch.setattr(search, "RESIDUES_AT_ONCE", 300)
+    assert got() == want
+    args = [[r[k] for r in scans.collect()] for k in range(1, 5)]
+    monkeypatch.setattr(search, "STRETCHES_AT_ONCE", 50)
+    monkeypatch.setattr(search, "SPANS_AT_ONCE", 7)
+    at, names, scores = search.best_stretches(np.array(args[0]), *args[1:], [p for p in proteins if p], 5, 20, 5.0, 20.0, 3.0)
+    assert sorted((i, n, round(s, 6)) for i, n, s in zip(at, names, scores)) == want
+    # An unknown residue doesn't hide the stretches behind it.
+    spark.createDataFrame([("p", "MKXAACDEFGHIKL")], "accession string, base_sequence string").write.parquet(f"{tmp_path}/proteins.parquet")
+    spark.createDataFrame([(1, "ACDEFGH"), (2, "KXAACDE"), (3, "DEFGHIKL"), (4, "WWWWWWWW")], "psm_id long, base_sequence string").write.parquet(f"{tmp_path}/psms.parquet")
+    assert [tuple(r) for r in composite_queries.nonspecific_search(spark, str(tmp_path)).collect()] == [(2,)]
+
+
 def test_modifications_with_nested_brackets(spark):
     df = spark.createDataFrame([("[Ac on X]PEC[Common Fixed:Carb on C]S[Metal:Fe[III] on S]K",), ("PEPK",), (None,)], "s string")
     got = [r[0] for r in df.select(sequences.modifications(F.col("s"))).collect()]
