@@ -158,7 +158,10 @@ def gptmd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dia_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: the first tryptic peptide of each protein elutes over seven scans of one of forty runs; how many came back at their apex."""
     cut = search.digest(table(spark, sf_dir, "proteins"), ["accession"], "base_sequence", "trypsin", missed=0)
-    truth = cut.groupBy("accession").agg(F.min("peptide").alias("peptide")).select("peptide").distinct().withColumn("mass", search.peptide_mass(F.col("peptide"))).filter("mass IS NOT NULL")
+    # A row becomes hundreds of peaks, so rows are kept apart in a number of parts of their own.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = cut.groupBy("accession").agg(F.min("peptide").alias("peptide")).select("peptide").repartition(parts, "peptide")
+    truth = first.distinct().withColumn("mass", search.peptide_mass(F.col("peptide"))).filter("mass IS NOT NULL")
     # Runs and times by hash; a peptide's intensity by another, so that traces differ.
     truth = truth.withColumn("file", F.pmod(F.xxhash64("peptide"), F.lit(40)).cast("int")).withColumn("apex", 10 + 10 * F.pmod(F.xxhash64("peptide", F.lit(1)), F.lit(5000)).cast("int"))
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(float(h)).alias("height")) for k, h in ((-3, 1), (-2, 4), (-1, 9), (0, 12), (1, 9), (2, 4), (3, 1))]))

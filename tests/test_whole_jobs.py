@@ -48,6 +48,31 @@ def test_traces_count_every_peak_of_a_scan(spark):
     assert got == _plain_traces(peaks, 10.0, 1, 3) and got
 
 
+def test_traces_and_spectra_of_blocks_are_the_whole_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    peaks = [(rng.choice("ab"), rng.choice([*range(1, 9), *range(12, 20)]), rng.choice([500.0, 500.003, 500.02, 600.0]), float(rng.randint(1, 9))) for _ in range(150)]
+    # A long chain over many borders of blocks, and elution peaks in pairs of near scans.
+    peaks += [("a", k % 7, 300.0 * (1 + 8e-6) ** k, float(k % 5)) for k in range(60)]
+    for k in range(40):
+        peaks += [(f, 30 + 3 * k + step, m + (k % 3), float(h)) for f in "ab" for m in (450.0, 700.0, 910.0 + k % 5) for step, h in enumerate((1, 5, 9 + k % 4, 4, 1))]
+    df = spark.createDataFrame(peaks, "file string, scan int, mz double, i double")
+    monkeypatch.setattr(chromatograms, "TRACE_BLOCK", 1e-4)
+    monkeypatch.setattr(chromatograms, "APEX_BLOCK", 4)
+    key = lambda r: (r[0], r[4], r[5], r[6], round(getattr(r[2], "expected", r[2]), 4))
+    blocks = chromatograms.block_traces(df, ["file"], "scan", "mz", "i")
+    got = sorted(((r.file, r.n_peaks, r.mean_mz, r.apex_scan, r.start, r.end, [(p.scan, p.intensity) for p in r.points]) for r in blocks.collect()), key=key)
+    assert got == sorted(_plain_traces(peaks, 10.0, 1, 3), key=key) and got
+    whole = chromatograms.traces(df, ["file"], "scan", "mz", "i").localCheckpoint()
+    survey, product = "mean_mz > 600", "mean_mz < 800"
+    groups = chromatograms.precursor_groups(whole.filter(survey), whole.filter(product), ["file"], 2.0, 0.2, 0.3, 1)
+    named = whole.select("file", F.col("trace").alias("precursor"), F.col("mean_mz").alias("m"), "apex_scan")
+    spectra = chromatograms.pseudo_spectra(groups, whole, ["file"]).join(named, ["file", "precursor"])
+    want = sorted((r.file, round(r.m, 6), r.apex_scan, [(round(p.mz, 6), p.intensity) for p in r.peaks]) for r in spectra.collect())
+    made = chromatograms.block_spectra(blocks.filter(survey), blocks.filter(product), ["file"], 2.0, 0.2, 0.3, 1).collect()
+    assert sorted((r.file, round(r.precursor_mass, 6), r.apex_scan, [(round(m, 6), x) for m, x in zip(r.peaks, r.intensities)]) for r in made) == want and len(want) > 20
+    assert all(r.total == pytest.approx(sum(r.intensities)) for r in made)
+
+
 def test_trace_extraction_takes_all_events(spark, tmp_path):
     rng = random.Random(6)
     events = [(n, dt.datetime(2024, 1, rng.randint(1, 12), 3), rng.choice(["view", "click"]), rng.choice([1.5, 2.5, 7.25, 14.0, 33.0])) for n in range(120)]
