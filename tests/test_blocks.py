@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from massloom.functions import masses
-from massloom.operators import glycans, search
+from massloom.operators import crosslinks, glycans, search
 
 
 def test_glyco_search_meets_in_blocks_and_shuffles_no_pairs(spark):
@@ -38,3 +38,35 @@ def test_glyco_search_meets_in_blocks_and_shuffles_no_pairs(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "hashpartitioning(scan_id" not in plan and plan.count("Exchange hashpartitioning(block__") == 2
         assert {(r.scan_id, r.peptide, tuple(r.box), round(r.score, 9)) for r in found.collect()} == want and len({i for i, *_ in want}) > 30
+
+
+def test_crosslink_search_scores_in_blocks_what_all_pairs_give(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = sorted({"".join(rng.permutation(list(w))) + "R" for w in ("AGKPE", "AGKKE", "GVKLTE") for _ in range(9)})
+    weigh = {p: float(sum(masses.RESIDUES[x] for x in p) + masses.WATER) for p in names}
+    linker = crosslinks.Linker("x", "K", 100.0, 0, 0, 0, 0)
+    rows = []
+    for i in range(25):
+        a, b = (names[k] for k in rng.integers(len(names), size=2))
+        ions = [x for p, q in ((a, b), (b, a)) for x in search.ladder_masses(p, weigh[q] + 100.0, p.index("K") + 1) if rng.random() < 0.8]
+        o = sorted(float(x) for x in [*ions, *rng.uniform(100, 900, 6)])
+        rows.append((i, weigh[a] + weigh[b] + 100.0 + float(rng.normal()) * 1e-3, o, [float(x) for x in rng.integers(0, 3, len(o))], None if i % 6 == 0 else 30.0))
+    rows += [(25, 1000.0, [], [], None), (26, None, [100.0], [1.0], 1.0)]
+    scans = spark.createDataFrame(rows, "scan_id int, precursor_mass double, peaks array<double>, intensities array<double>, total double")
+    peptides = spark.createDataFrame([*weigh.items(), ("XKX", None)], "peptide string, mass double")
+    alphas = {(r.scan_id, r.alpha) for r in crosslinks.rough_arms(scans, peptides, linker, 20.0, 2, 5).collect()}
+    want = set()
+    for i, m, o, x, t in rows:
+        mine = {}
+        for p, q in itertools.combinations_with_replacement(names, 2):
+            if m is not None and abs(m - weigh[p] - weigh[q] - 100.0) <= m * 5e-6 and {(i, p), (i, q)} & alphas and "K" in p[:-1] and "K" in q[:-1]:
+                mine[p, q] = crosslinks._pair_score(np.array(o), np.array(x), t, p, q, weigh[p], weigh[q], linker, 20.0)
+        levels = sorted({round(r[2] + r[3], 9) for r in mine.values() if r[2] + r[3] >= 6}, reverse=True)
+        want |= {(i, *k, r[0], r[1], round(r[2] + r[3], 9), levels[1] if levels[1:] else 6.0) for k, r in mine.items() if levels and round(r[2] + r[3], 9) == levels[0]}
+    for sizes in ({}, {"SCANS_AT_ONCE": 7, "ARMS_AT_ONCE": 9, "ARMS_INDEXED": 4}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(crosslinks, k, v)
+        found = crosslinks.crosslink_search(scans, peptides, linker, rough_cutoff=2, most=5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "bin__" not in plan and "ArrowEvalPython" not in plan
+        assert {(r.scan_id, r.alpha, r.beta, r.alpha_site, r.beta_site, round(r.score, 9), round(r.runner_up, 9)) for r in found.collect()} == want and len(want) > 20
