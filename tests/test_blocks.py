@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from massloom.functions import masses
-from massloom.operators import crosslinks, glycans, search
+from massloom.operators import crosslinks, glycans, joins, search
 
 
 def test_glyco_search_meets_in_blocks_and_shuffles_no_pairs(spark):
@@ -70,3 +70,17 @@ def test_crosslink_search_scores_in_blocks_what_all_pairs_give(spark, monkeypatc
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "bin__" not in plan and "ArrowEvalPython" not in plan
         assert {(r.scan_id, r.alpha, r.beta, r.alpha_site, r.beta_site, round(r.score, 9), round(r.runner_up, 9)) for r in found.collect()} == want and len(want) > 20
+
+
+def test_index_count_join_sends_equal_lists_once(spark, monkeypatch):
+    sent = []
+    kept = joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, name: sent.append((name, kept(df, name))) or sent[-1][1])
+    monkeypatch.setattr(joins, "PAIRS_AT_ONCE", 30)
+    rows = [(None if i == 0 else i, b) for i in range(40) for b in (i % 2, 2, 3)]
+    listed = [(None if p == 1 else f"p{p}", b) for p in range(30) for b in (p % 3, 2, 2 if p % 5 == 0 else 3)]
+    found = joins.index_count_join(spark.createDataFrame(rows, "scan long, bin int"), spark.createDataFrame(listed, "peptide string, bin int"), "scan", "peptide", 3)
+    want = {(s, p): sum(b == c for t, b in rows if t == s for q, c in listed if q == p) for s in {s for s, _ in rows} for p in {p for p, _ in listed}}
+    assert {(r.scan, r.peptide): r.n_hits for r in found.collect()} == {k: n for k, n in want.items() if n >= 3} and found.count() == sum(n >= 3 for n in want.values())
+    # Two kinds of scans and six of peptides, however many there are of each.
+    assert {name: df.count() for name, df in sent if name != "kinds"} == {"scan-kinds": 2, "peptide-kinds": 6}
